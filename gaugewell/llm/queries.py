@@ -12,7 +12,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85, bands=27, rows=7)
 
 
 QUERIES = {
