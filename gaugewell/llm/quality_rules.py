@@ -20,11 +20,10 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def _counts(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more, each place counted once."""
-    n = F.size(words)
-    keys = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    return F.when(n < 3, F.array().cast("array<bigint>")).otherwise(keys)
+def _windows(words: Column) -> Column:
+    """Hashes of the 3-word windows; none in a text of fewer words."""
+    keys = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(keys)
 
 
 def _divergence(p: Column, q: Column) -> Column:
@@ -44,33 +43,37 @@ def document_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     """df's columns with q_* counts of each whole text beside them; one scan, no shuffle."""
     lists = [F.when(F.col(lang) == k, F.array(*map(F.lit, v))) for k, v in COMMON_WORDS.items()]
     none = F.array().cast("array<string>")
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("q_text", body).withColumn("q_common", F.coalesce(*lists, none))
-    out = out.withColumn("q_words", F.filter(F.split("q_text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    out = out.withColumn("q_keys", _counts(F.col("q_words")))
-    out = out.withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0))
-    out = out.withColumn("q_hits", F.filter(F.split(F.lower("q_text"), r"[\x20\x09-\x0D]+"), lambda w: F.array_contains("q_common", w)))
+    listed = sorted({w for v in COMMON_WORDS.values() for w in v})
+    size = lambda c: F.size(c).cast("bigint")
     # each array stands in a column of its own, used twice at least, so that no lambda computes it again
-    out = out.withColumn("q_ordered", F.array_sort(F.transform("q_keys", lambda k, i: F.struct(k.alias("k"), i.alias("i")))))
+    out = df.withColumn("q_text", F.coalesce(F.col(text), F.lit(""))).withColumn("q_common", F.coalesce(*lists, none))
+    out = out.withColumn("q_words", F.array_remove(F.split("q_text", r"[\x20\x09-\x0D]+"), ""))
+    out = out.withColumn("q_hits", F.transform(F.filter("q_words", lambda w: F.lower(w).isin(listed)), F.lower))
+    out = out.withColumn("q_keys", _windows(F.col("q_words")))
+    distinct = F.size(F.array_distinct("q_keys")) == F.size("q_keys")
+    pairs = F.transform("q_keys", lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+    out = out.withColumn("q_ordered", F.when(~distinct, F.sort_array(pairs)).otherwise(F.array().cast("array<struct<k:bigint,i:int>>")))
     same = lambda s, j: F.coalesce(F.get("q_ordered", j)["k"] == s["k"], F.lit(False))
     out = out.withColumn("q_again", F.filter("q_ordered", lambda s, j: same(s, j - 1) | same(s, j + 1)))
     places = F.array_distinct(F.flatten(F.transform("q_again", lambda s: F.array(s["i"], s["i"] + 1, s["i"] + 2))))
-    chars = F.length("q_text").cast("bigint")
-    classes = [chars - F.length(F.regexp_replace("q_text", f"[{c}]+", "")) for c in CLASSES.values()]
-    size = lambda c: F.size(c).cast("bigint")
+    out = out.withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0))
+    # lower-case letters and spaces are most of a text; the other classes are counted in what is left of it
+    out = out.withColumn("q_rest", F.regexp_replace("q_text", rf"[{CLASSES['lower']}{CLASSES['space']}]+", ""))
+    out = out.withColumn("q_chars", F.length("q_text").cast("bigint")).withColumn("q_word_chars", F.length(F.array_join("q_words", "")).cast("bigint"))
+    left = F.length("q_rest")
+    of = {c: left - F.length(F.regexp_replace("q_rest", f"[{CLASSES[c]}]+", "")) for c in ("upper", "digit", "mark")}
+    of |= {"lower": F.col("q_word_chars") - left, "space": F.col("q_chars") - F.col("q_word_chars")}
     return out.withColumns(
         {
             "q_n_words": size("q_words"),
-            "q_word_chars": F.length(F.translate("q_text", SPACE, "")).cast("bigint"),
-            "q_n_symbols": (F.length("q_text") - F.length(F.translate("q_text", SYMBOLS, ""))).cast("bigint"),
+            "q_n_symbols": (left - F.length(F.translate("q_rest", SYMBOLS, ""))).cast("bigint"),
             "q_n_dup_lines": size("q_lines") - size(F.array_distinct("q_lines")),
             "q_n_repeat_words": size(places),
             "q_n_hits": size("q_hits"),
-            "q_chars": chars,
-            "q_classes": F.array(*classes),
-            "q_hist": F.transform("q_common", lambda x: size(F.filter("q_hits", lambda h: h == x))),
+            "q_classes": F.array(*[of[c].cast("bigint") for c in CLASSES]),
+            "q_hist": F.transform("q_common", lambda x: F.size("q_hits") - F.size(F.array_remove("q_hits", x))),
         }
-    ).drop("q_text", "q_common", "q_words", "q_keys", "q_ordered", "q_again", "q_lines", "q_hits")
+    ).drop("q_text", "q_common", "q_words", "q_keys", "q_ordered", "q_again", "q_lines", "q_hits", "q_rest")
 
 
 def language_references(counted: DataFrame) -> DataFrame:
@@ -95,12 +98,12 @@ def diverge(counted: DataFrame, refs: DataFrame, min_chars: int, min_words: int,
     return out.drop("ref_lang", "ref_words", "ref_classes", "ref_common")
 
 
-def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", max_char_js: float = 0.03, max_word_js: float = 0.11, min_chars: int = 400, min_words: int = 100, min_reference_words: int = 1000, references: DataFrame | None = None) -> DataFrame:
+def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", max_char_js: float = 0.025, max_word_js: float = 0.085, min_chars: int = 200, min_words: int = 100, min_reference_words: int = 1000, references: DataFrame | None = None) -> DataFrame:
     """Base counts and the verdict of distribution divergence, one row per input row.
 
     A document that fails no base rule is rejected if its character classes diverge from
-    its language's by more than max_char_js bits, or its common words by more than
-    max_word_js. Minimum-length guards: the first test needs min_chars characters, the
+    its language's by more than max_char_js * (1 + 600 / characters) bits, as short texts
+    scatter more, or its common words by more than max_word_js. Minimum-length guards: the first test needs min_chars characters, the
     second min_words words and a language with a word list; both need a reference of
     min_reference_words words. references (from language_references) can come from
     another corpus. By default they come from df, twice: from all documents that pass
@@ -117,7 +120,7 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", id: str
     failed = (F.col("q_n_words") < 50) | (100 * F.col("q_n_repeat_words") > 50 * F.col("q_n_words"))
     counted = scratch.table(counted.withColumn("q_base_failed", failed), "counts")
     guards = (min_chars, min_words, min_reference_words)
-    fits = lambda x: (F.coalesce("char_js", F.lit(0.0)) <= x * max_char_js) & (F.coalesce("word_js", F.lit(0.0)) <= x * max_word_js)
+    fits = lambda x: (F.coalesce("char_js", F.lit(0.0)) <= x * max_char_js * (1 + 600 / F.greatest("q_chars", F.lit(1)))) & (F.coalesce("word_js", F.lit(0.0)) <= x * max_word_js)
     if references is None:
         sound = counted.where("not q_base_failed")
         first = scratch.table(language_references(sound), "references")
