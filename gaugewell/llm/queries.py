@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import Scratch
 from .near_dedup import near_duplicates
+from .packed_ids import read_packed, write_packed
+from .packing import pack_documents
 from .quality_rules import quality_rules
 
 
@@ -16,13 +21,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(_table(spark, sf_dir, "documents"), path, "word", capacity=2048, keep_ids=False)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85, bands=27, rows=7)
 
 
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = write_packed(_table(spark, sf_dir, "documents"), Scratch(spark, "packed"), path, "byte")
+    return read_packed(manifest).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op9_token_binary": op9_token_binary,
 }
 
 ORACLE_SQL: dict[str, str] = {}
