@@ -11,6 +11,7 @@ from .near_dedup import near_duplicates
 from .packed_ids import read_packed, write_packed
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .suffix_dedup import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +37,16 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packed(manifest).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_token_binary": op9_token_binary,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
