@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, hash_bucket
+from .common import Scratch, rank_within
 
 Pattern = tuple[int, ...]
 
@@ -156,12 +156,7 @@ def pack(df: DataFrame, scratch: Scratch, capacity: int, length: str = "length",
     places = plan(counts, capacity)
     bits = max(4, (max(1, sum(counts.values()) // rows_per_bucket)).bit_length())
     keys = [c for c in df.columns if not isinstance(df.schema[c].dataType, (T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
-    h, bucket = hash_bucket(17, bits, *keys)
-    rows = df.withColumn("p_hash", h).withColumn("p_bucket", bucket)
-    by = Window.partitionBy(length).orderBy("p_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy(length, "p_bucket").count().withColumn("p_base", F.coalesce(F.sum("count").over(by), F.lit(0))).drop("count")
-    inside = F.row_number().over(Window.partitionBy(length, "p_bucket").orderBy("p_hash", *keys))
-    ranked = rows.withColumn("p_at", inside).join(before, [length, "p_bucket"]).withColumn("p_rank", F.col("p_base") + F.col("p_at") - 1)
+    ranked = rank_within(df, length, keys, bits, 17)
     names = df.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,13 +164,13 @@ def pack(df: DataFrame, scratch: Scratch, capacity: int, length: str = "length",
         for b in batches:
             if not b.num_rows:
                 continue
-            n, r = (b.column(c).to_numpy().astype(np.int64) for c in (length, "p_rank"))
+            n, r = (b.column(c).to_numpy().astype(np.int64) for c in (length, "x_rank"))
             at = np.searchsorted(first, np.rec.fromarrays([n, r], names="n,r"), side="right") - 1
             sequence, offset = places[at, 3] + r - places[at, 1], places[at, 4]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*names, "p_rank").mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema)
 
 
 def pack_documents(df: DataFrame, path: str, kind: str = "word", text: str = "text", id: str = "doc_id", capacity: int = 2048, end: int | None = 0, keep_ids: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packed_ids import read_packed, write_packed
 from .packing import pack_documents
@@ -27,6 +28,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), path, "word", capacity=2048, keep_ids=False)
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85, bands=27, rows=7)
 
@@ -44,6 +49,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_mix_sources": op5_mix_sources,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_token_binary": op9_token_binary,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
