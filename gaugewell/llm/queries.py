@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .embedding_dedup import near_vectors
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packed_ids import read_packed, write_packed
@@ -36,6 +37,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85, bands=27, rows=7)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     manifest = write_packed(_table(spark, sf_dir, "documents"), Scratch(spark, "packed"), path, "byte")
@@ -51,6 +56,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_binary": op9_token_binary,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
