@@ -12,6 +12,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packed_ids import read_packed, write_packed
 from .packing import pack_documents
+from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .suffix_dedup import repeated_passages
 
@@ -37,6 +38,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85, bands=27, rows=7)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_binary": op9_token_binary,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
