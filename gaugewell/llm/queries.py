@@ -11,6 +11,7 @@ from .common import Scratch
 from .embedding_dedup import near_vectors
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .ngram_lm import score_texts
 from .packed_ids import read_packed, write_packed
 from .packing import pack_documents
 from .quality_classifier import score_quality
@@ -35,6 +36,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), path, "word", capacity=2048, keep_ids=False)
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_lm": op4_ngram_lm,
     "op5_mix_sources": op5_mix_sources,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
