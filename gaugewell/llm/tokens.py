@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +20,41 @@ _ODD_SPACE = re.compile(r"[^\S \t\n\r]|[\x00\x1c-\x1f\x85]")
 #: Runs that a byte-level pattern never crosses: a word with at most one space before it, or white space.
 _BYTE_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Where a final comma or full stop isn't a run of marks of its own, or white space isn't single.
-_NO_CUT = re.compile(r"(?:[^\w\s]|_)[.,](?!\S)")
+_NO_CUT = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,])(?!\S)")
+#: Bytes that no unusual white space has: printable ASCII, usual white space, and two-byte letters from U+00C0 on.
+_USUAL = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xE0)])
 _NOT_SINGLE = re.compile(r"\s\s|[\t\r]|\s\Z|\A\s")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the next one from 256 on."""
+    prints = [33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)]
+    return [chr(b) if prints[b] else chr(256 + prints[:b].count(False)) for b in range(256)]
+
+
+_LETTERS = dict(enumerate(_byte_letters()))
+_PROBES = ("the", " the", "word", " naïve", "straße", " été", "señor", "x", "internationalisation")
+
+
+class _Chunks(dict):
+    """Chunk to the bytes of its ids, from the older generation or the library if need be."""
+
+    def __init__(self, owner: Encoder) -> None:
+        super().__init__()
+        self.owner = owner
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.old.get(chunk)
+        if got is None:
+            ids = self.owner.plain(chunk)
+            if ids is None:
+                ids = self.owner.tokenizer.encode(chunk, add_special_tokens=False).ids
+            got = array(self.owner.code, ids).tobytes()
+        self[chunk] = got
+        return got
+
+
 class Encoder:
     """Ids of texts by a tokenizers file, one cached chunk at a time.
 
@@ -29,7 +62,9 @@ class Encoder:
     front of a word; kind "word" for lower-casing ones that drop white space. Both treat what
     lies between such cuts by itself, and cut between a letter and a comma or full stop
     that ends a word, so ids of chunks are the ids of the text; a text with unusual white
-    space goes to the library whole. Chunks are kept as bytes in two generations.
+    space goes to the library whole. Chunks are kept as bytes in two generations. Chunks of
+    Latin letters only go to the library's model without its normaliser and patterns,
+    which leave them as they are; a few probes make sure of that for each file.
     """
 
     def __init__(self, path: str, kind: str) -> None:
@@ -38,10 +73,25 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.kind = kind
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.code = "H" if self.width is np.uint16 else "I"
+        self.cache = _Chunks(self)
+        self.plain = lambda c: None
+        probes = [p for p in _PROBES if kind == "byte" or p[0] != " "]
+        if all(self._letters(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes):
+            self.plain = self._letters
+
+    def _letters(self, chunk: str) -> list[int] | None:
+        """Ids of a chunk of Latin letters; None for any other."""
+        body = chunk[1:] if self.kind == "byte" and chunk[:1] == " " else chunk
+        if not body.isalpha():
+            return None
+        if not body.isascii():
+            if max(body) >= "\u0250" or self.kind == "word" and body != body.lower() or not is_normalized("NFC", body):
+                return None
+        return [t.id for t in self.tokenize(chunk.encode().decode("latin-1").translate(_LETTERS))]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width)
@@ -58,25 +108,19 @@ class Encoder:
         text = text.replace(", ", "\0, ").replace(". ", "\0. ").replace(",\n", "\0,\n").replace(".\n", "\0.\n")
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def _learn(self, chunks: set[str]) -> None:
-        known, old = self.young, self.old
-        missing = []
-        for c in chunks - known.keys():
-            if (got := old.get(c)) is not None:
-                known[c] = got
-            else:
-                missing.append(c)
-        for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, self.width).tobytes()
+    def one(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, self.width)
+        if text.encode("utf-8", "surrogatepass").translate(None, _USUAL) and _ODD_SPACE.search(text):
+            return self.whole(text)
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, self.chunks(text))), self.width)
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none of a null."""
-        split = [[] if not t else None if _ODD_SPACE.search(t) else self.chunks(t) for t in texts]
-        if len(self.young) > CACHE_CHUNKS:
-            self.old, self.young = self.young, {}
-        self._learn(set().union(*filter(None, split)))
-        get = self.young.__getitem__
-        return [self.whole(t) if s is None else np.frombuffer(b"".join(map(get, s)), self.width) for t, s in zip(texts, split, strict=True)]
+        if len(self.cache) > CACHE_CHUNKS:
+            self.cache.old = dict(self.cache)
+            self.cache.clear()
+        return [self.one(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
