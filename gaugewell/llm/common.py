@@ -131,16 +131,16 @@ def hash_bucket(seed: int, buckets_log2: int, *cols: str):
 
 
 def rank_within(df: DataFrame, key: str, ties: list[str], buckets_log2: int, seed: int) -> DataFrame:
-    """df with x_rank: 0, 1, ... within each value of key, in a fixed pseudo-random order.
+    """df with __x_rank: 0, 1, ... within each value of key, in a fixed pseudo-random order.
 
     A value's rows are numbered in hash buckets, whose counts give each bucket its first
     number; so a value that a third of all rows have is spread over many tasks.
     """
     h, bucket = hash_bucket(seed, buckets_log2, *ties)
-    rows = df.withColumn("x_hash", h).withColumn("x_bucket", bucket)
-    before = rows.groupBy(F.col(key).alias("x_key"), F.col("x_bucket").alias("x_at")).count()
-    by = Window.partitionBy("x_key").orderBy("x_at").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.withColumn("x_base", F.coalesce(F.sum("count").over(by), F.lit(0))).drop("count")
-    inside = F.row_number().over(Window.partitionBy(key, "x_bucket").orderBy("x_hash", *ties)) - 1
-    joined = rows.withColumn("x_inside", inside).join(before, F.col(key).eqNullSafe(F.col("x_key")) & (F.col("x_bucket") == F.col("x_at")))
-    return joined.select(*df.columns, (F.col("x_base") + F.col("x_inside")).alias("x_rank"))
+    rows = df.withColumn("__x_hash", h).withColumn("__x_bucket", bucket)
+    before = rows.groupBy(F.col(key).alias("__x_key"), F.col("__x_bucket").alias("__x_at")).count()
+    by = Window.partitionBy("__x_key").orderBy("__x_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.withColumn("__x_base", F.coalesce(F.sum("count").over(by), F.lit(0))).drop("count")
+    inside = F.row_number().over(Window.partitionBy(key, "__x_bucket").orderBy("__x_hash", *ties)) - 1
+    joined = rows.withColumn("__x_inside", inside).join(before, F.col(key).eqNullSafe(F.col("__x_key")) & (F.col("__x_bucket") == F.col("__x_at")))
+    return joined.select(*df.columns, (F.col("__x_base") + F.col("__x_inside")).alias("__x_rank"))

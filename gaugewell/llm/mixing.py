@@ -98,9 +98,10 @@ def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, s
     a phase for each source at most, so plans grow with sources and not with rows. Rows are
     ranked in hash buckets of about rows_per_bucket, so a source of any size is spread.
     A null source is a source of its own. Repeated rows have places of their own.
-    block, slot and place must be free names. Empty input gives an empty result.
+    Columns of df named block, slot or place are replaced. Empty input gives an empty result.
     """
     prepare(df.sparkSession)
+    df = df.drop("block", "slot", "place")
     counts = sorted(((r[0], r[1]) for r in df.groupBy(source).count().collect()), key=lambda x: (x[0] is None, str(x[0])))
     names = [c[0] for c in counts]
     given = [weights.get(n, 0.0) if weights is not None else c**temperature for n, c in counts]
@@ -119,7 +120,7 @@ def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, s
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = np.array([number[v] for v in b.column(source).to_pylist()], np.int64)
-            rank = b.column("x_rank").to_numpy(zero_copy_only=False)
+            rank = b.column("__x_rank").to_numpy(zero_copy_only=False)
             block = rank // block_rows
             slot = np.zeros(len(own), np.int64)
             for s in np.unique(own):

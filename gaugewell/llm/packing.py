@@ -148,8 +148,9 @@ def pack(df: DataFrame, scratch: Scratch, capacity: int, length: str = "length",
     hash buckets of about rows_per_bucket, and each takes the place of its rank. So no
     length or group of rows meets in one task. df is read three times and should be a
     written table. Every length must be between 1 and capacity. Empty input gives an
-    empty result. Columns of df keep their names; sequence_id and offset must be free.
+    empty result. Columns of df named sequence_id or offset are replaced.
     """
+    df = df.drop("sequence_id", "offset")
     counts = {r[0]: r[1] for r in df.groupBy(length).count().collect()}
     if bad := [n for n in counts if n is None or not 1 <= n <= capacity]:
         raise ValueError(f"lengths outside 1 to {capacity}: {bad[:5]}")
@@ -164,7 +165,7 @@ def pack(df: DataFrame, scratch: Scratch, capacity: int, length: str = "length",
         for b in batches:
             if not b.num_rows:
                 continue
-            n, r = (b.column(c).to_numpy().astype(np.int64) for c in (length, "x_rank"))
+            n, r = (b.column(c).to_numpy().astype(np.int64) for c in (length, "__x_rank"))
             at = np.searchsorted(first, np.rec.fromarrays([n, r], names="n,r"), side="right") - 1
             sequence, offset = places[at, 3] + r - places[at, 1], places[at, 4]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
