@@ -603,3 +603,117 @@ def config_cross_validation(spark, d):
 def page_titles(spark, d):
     p = table(spark, d, "pages")
     return p.select("page_id", F.coalesce(text.extract_between(F.col("html"), "<title>", "</title>"), F.lit("")).alias("title"))
+
+
+# --- further scalars and projections
+
+
+@query(rf"""select idx, pred, {_strip("case when pred = '' then raw_output else " + "regexp_replace(" * 6 + "raw_output" + "".join(f", concat({_q('(?i)' + a)}, pred, {_q(b)}), '', 'g')" for a, b in ((r'\banswer\s*[:=]\s*', ''), (r'\bthe answer is\s*[:=]?\s*', ''), (r'\*\*', r'\*\*'), ('`', '`'), (r'\[', r'\]'), (r'\(', r'\)'))) + " end")} as reasoning from {SCORED}""")
+def mc_reasoning(spark, d):
+    return scored(spark, d).select("idx", "pred", choice.reasoning(F.col("raw_output"), F.col("pred")).alias("reasoning"))
+
+
+@query(f"select idx, upper(left(trim(raw_output), 1)) in ('A', 'B', 'C', 'D') and upper(left(trim(raw_output), 1)) = ref as matched from {OUT}")
+def first_letter_match(spark, d):
+    return model_outputs(spark, d).select("idx", scoring.first_letter(F.col("raw_output"), F.col("ref")).alias("matched"))
+
+
+_MESSAGE = "concat('I have ', (event_id % 64)::varchar, ' cores and ', (event_id % 128)::varchar, case when event_id % 3 = 0 then ' GB RAM' else ' disks' end, case when event_id % 2 = 0 then ', need FAST code' else ', need logic' end)"
+
+
+@query(rf"""select event_id, try_cast(regexp_extract(lower(m), '(\d+)\s*(?:cpu|core|vcpu|processor)', 1) as int) as cpu, try_cast(nullif(regexp_extract(lower(m), '(\d+)\s*(?:gb|gigabytes?)\s*(?:ram|memory)', 1), '') as int) as ram,
+ {', '.join(f"({' or '.join(f'contains(lower(m), {_q(w)})' for w in ws)}) as wants_{k}" for k, ws in text.INTENTS.items())} from (select event_id, {_MESSAGE} as m from events)""")
+def message_intents(spark, d):
+    e = table(spark, d, "events").select("event_id", F.expr(_MESSAGE.replace("::varchar", "").replace("(event_id % 64)", "cast(event_id % 64 as string)").replace("(event_id % 128)", "cast(event_id % 128 as string)")).alias("m"))
+    wants = [c.alias(f"wants_{k}") for k, c in text.intents(F.col("m")).items()]
+    return e.select("event_id", text.hardware(F.col("m")).alias("h"), *wants).select("event_id", "h.cpu", "h.ram", *[f"wants_{k}" for k in text.INTENTS])
+
+
+_MODEL = "concat((['qwen36_27b_', 'qwen3.6-35b-a3b-', 'qwen3.5-35b-a3b-', 'gemma4-26b-a4b-', 'other/x-'])[(s_suppkey % 5 + 1)::int], (['bf16', 'q8', 'q4', ''])[(s_suppkey % 4 + 1)::int])"
+
+
+@query(rf"""with m as (select s_suppkey, {_MODEL} as name from supplier), q as (select *, case when contains(name, 'bf16') then 'BF16' when contains(name, 'q8') then 'Q8_0' else 'Q4_K_M' end as quantization from m)
+ select s_suppkey, quantization, case {' '.join(f"when contains(name, {_q(a)}) then concat({_q(b + ' (')}, quantization, ')')" for a, b in leaderboard.DISPLAY)} else name end as display_name, regexp_replace(name, '[^\p{{L}}\p{{N}}_-]', '_', 'g') as file_name from q""")
+def model_names(spark, d):
+    family = F.array(*map(F.lit, ["qwen36_27b_", "qwen3.6-35b-a3b-", "qwen3.5-35b-a3b-", "gemma4-26b-a4b-", "other/x-"]))
+    kind = F.array(*map(F.lit, ["bf16", "q8", "q4", ""]))
+    name = F.concat(F.get(family, (F.col("s_suppkey") % 5).cast("int")), F.get(kind, (F.col("s_suppkey") % 4).cast("int")))
+    m = table(spark, d, "supplier").select("s_suppkey", name.alias("name"))
+    return m.select("s_suppkey", leaderboard.quantization(F.col("name")).alias("quantization"), leaderboard.display_name(F.col("name")).alias("display_name"), text.safe_name(F.col("name")).alias("file_name"))
+
+
+@query("select s_suppkey, s_nationkey::varchar as nation, 'true' as verbose from supplier")
+def key_value_arguments(spark, d):
+    s = table(spark, d, "supplier").withColumn("m", text.key_values(F.concat(F.lit("nation="), F.col("s_nationkey").cast("string"), F.lit(",verbose"))))
+    return s.select("s_suppkey", F.col("m")["nation"].alias("nation"), F.col("m")["verbose"].alias("verbose"))
+
+
+@query("select event_id, event_id % 3 <> 2 and (event_id % 3 <> 1 or event_id % 2 = 0) as valid from events")
+def func_call_validate(spark, d):
+    """A call is of an unknown function where event_id % 3 is 2, and of a wrong type where it is 1 and event_id is odd."""
+    name = F.when(F.col("event_id") % 3 == 2, "g").otherwise("f")
+    value = F.when((F.col("event_id") % 3 == 1) & (F.col("event_id") % 2 == 1), '"x"').otherwise(F.col("event_id").cast("string"))
+    known = F.array(F.struct(F.lit("f").alias("name"), F.array(F.lit("k")).alias("required"), F.create_map(F.lit("k"), F.lit("integer")).alias("types")))
+    return table(spark, d, "events").select("event_id", scoring.call_is_valid(name, F.create_map(F.lit("k"), value), known).alias("valid"))
+
+
+@query("""select conv_id, coalesce(string_agg(role || ': ' || text, chr(10) order by turn) filter (role in ('user', 'assistant') and text <> ''), '') as history
+ from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r <= 3 group by conv_id""")
+def chat_history(spark, d):
+    """The last entries of a conversation, and of those the turns with a text: the cut comes before the filter."""
+    rows = chat_messages(spark, d).withColumn("last", F.slice("messages", F.greatest(F.size("messages") - 2, F.lit(1)), F.lit(3)))
+    kept = F.filter("last", lambda m: m["role"].isin("user", "assistant") & (F.coalesce(m["content"], F.lit("")) != ""))
+    return rows.select("conv_id", F.array_join(F.transform(kept, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("history"))
+
+
+@query(f"select sum(pos)::bigint as total_samples_evaluated, count(distinct model) as models_compared from {SCORES_SQL}")
+def leaderboard_totals(spark, d):
+    return leaderboard.totals(scores(spark, d).withColumn("samples", F.col("pos")))
+
+
+@query(f"select category as error_category, count(*) as n from (select {CATEGORY} as category from {SCORED} where not passed) group by 1 order by n desc, 1 limit 3")
+def top_error_categories(spark, d):
+    return diagnostics.categories(scored(spark, d)).orderBy(F.desc("n"), "category").limit(3).withColumnRenamed("category", "error_category")
+
+
+@query("select s_nationkey, min_by(s_name, (case s_suppkey % 3 when 0 then 0 when 1 then 1 else 2 end) * 1000000 + s_acctbal) as file from supplier group by s_nationkey")
+def preferred_file(spark, d):
+    """One file for each model: by order of preference, then the smallest."""
+    rank = F.when(F.col("s_suppkey") % 3 == 0, 0).when(F.col("s_suppkey") % 3 == 1, 1).otherwise(2)
+    return table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min_by("s_name", F.struct(rank.alias("a"), F.col("s_acctbal").alias("b"))).alias("file"))
+
+
+@query(f"select task as task_name, category as model_name, count(*) as completed, max(idx)::varchar as timestamp from {OUT} group by 1, 2")
+def checkpoint_progress(spark, d):
+    rows = model_outputs(spark, d).select(F.col("task").alias("task_name"), F.col("category").alias("model_name"), "idx")
+    return resume.completed(rows, "task_name", "model_name", order="idx").withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
+@query(f"""select idx, {MC} as mc, coalesce({_BLOCKS}[-1].code, {_CLEAN}) as code, {JSON} as json from {OUT}""")
+def parse_all(spark, d):
+    """Every parser's own answer side by side."""
+    found = robust.attempts(F.col("raw_output"))
+    return model_outputs(spark, d).select("idx", *[r["content"].alias(k) for k, r in found.items()])
+
+
+@query(rf"select conv_id, turn, length({_strip('text')}) as n, left(lower({_strip('text')}), 20) as head from conversations")
+def text_preprocess(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.length(text.preprocess(F.col("text"))).cast("long").alias("n"), text.preprocess(F.col("text"), lower=True, limit=20).alias("head"))
+
+
+@query("select event_id, round(case when value > 0 then (event_id % 257) / value else 0 end, 6) as tokens_per_second, round(value * 1e9 / 1073741824, 6) as gb from events")
+def throughput_and_memory(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", F.round(scoring.throughput(F.col("event_id") % 257, F.col("value")), 6).alias("tokens_per_second"), F.round(scoring.gigabytes(F.col("value") * 1e9), 6).alias("gb"))
+
+
+@query(f"select sample_id, to_json({{'sample_id': sample_id, 'passed': passed, 'n': idx}}) as json from {SCORED} where idx < 500")
+def diagnostic_json(spark, d):
+    return scored(spark, d).where("idx < 500").select("sample_id", F.to_json(F.struct("sample_id", "passed", F.col("idx").alias("n"))).alias("json"))
+
+
+@query("select s_suppkey, s_name from supplier where s_suppkey not in (select c_custkey from customer where c_custkey % 2 = 0)")
+def upsert_skipped(spark, d):
+    board = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("s_suppkey"))
+    return leaderboard.skipped(board, table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
