@@ -8,25 +8,22 @@ from collections.abc import Mapping
 import numpy as np
 
 _ONE, _63, _6 = np.uint64(1), np.uint64(63), np.uint64(6)
-_BYTES = np.arange(256, dtype=np.uint8)
-#: Place of the k-th set bit of a byte.
-_SELECT = np.array([[p for p in range(8) if b >> p & 1] + [8] * (8 - b.bit_count()) for b in range(256)], np.uint8)
+#: Place of the k-th set bit of a byte, at 8 * byte + k.
+_SELECT = np.array([[p for p in range(8) if b >> p & 1] + [8] * (8 - b.bit_count()) for b in range(256)], np.uint8).reshape(-1)
+_LOW, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_M55, _M33, _M0F, _FF = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0xFF))
+_2, _4, _8, _3, _56 = (np.uint64(x) for x in (2, 4, 8, 3, 56))
 
 
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th (from 0) set bit of each 64-bit word."""
-    left, at = k.astype(np.int64), np.zeros(len(word), np.int64)
-    done = np.zeros(len(word), bool)
-    out = np.zeros(len(word), np.int64)
-    for byte in range(8):
-        part = (word >> np.uint64(8 * byte) & np.uint64(255)).astype(np.uint8)
-        n = np.bitwise_count(part).astype(np.int64)
-        here = ~done & (left < n)
-        out[here] = at[here] + _SELECT[part[here], left[here]]
-        done |= here
-        left -= n
-        at += 8
-    return out
+    """Place of the k-th (from 0) set bit of each 64-bit word: byte sums at once, then a table for the byte."""
+    k = k.astype(np.uint64)
+    s = word - (word >> _ONE & _M55)
+    s = (s & _M33) + (s >> _2 & _M33)
+    s = ((s + (s >> _4)) & _M0F) * _LOW  # byte i: set bits of bytes 0 to i
+    place = np.bitwise_count((k * _LOW | _HIGH) - s & _HIGH).astype(np.uint64) << _3
+    rank = k - (s << _8 >> place & _FF)
+    return (place + _SELECT[((word >> place & _FF) << _3 | rank).astype(np.int64)]).astype(np.int64)
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -77,28 +74,39 @@ class EliasFano:
     def _start(self, bucket: np.ndarray) -> np.ndarray:
         """How many numbers have high bits below bucket."""
         k = bucket - 1
-        words = np.arange(len(self.ones), dtype=np.int64)
         if not hasattr(self, "zeros"):
-            self.zeros = (words << 6) - self.ones.astype(np.int64)
+            self.zeros = (np.arange(len(self.ones), dtype=np.int64) << 6) - self.ones.astype(np.int64)
         safe = np.minimum(np.maximum(k, 0), self.zeros[-1] - 1)
         word = np.searchsorted(self.zeros, safe, side="right") - 1
         place = (word << 6) + _select_in_word(~self.high[word], safe - self.zeros[word])
         return np.where(k < 0, 0, np.minimum(place - safe, self.n))
 
-    def successor(self, target: np.ndarray) -> np.ndarray:
-        """Place of the first number that is at least target; n where there is none."""
+    def _search(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place not below target, end of target's bucket, target's low bits)."""
         target = target.astype(np.uint64)
         bucket = (target >> np.uint64(self.bits)).astype(np.int64)
-        lo, hi = self._start(bucket), self._start(bucket + 1)
+        lo, end = self._start(bucket), self._start(bucket + 1)
         want = target & np.uint64((1 << self.bits) - 1)
-        while True:
-            live = np.flatnonzero(lo < hi)
-            if not len(live):
-                return lo
+        live = np.flatnonzero(lo < end)
+        hi = end.copy()
+        while len(live):
             mid = (lo[live] + hi[live]) >> 1
             less = self._low(mid) < want[live]
             lo[live[less]] = mid[less] + 1
             hi[live[~less]] = mid[~less]
+            live = live[lo[live] < hi[live]]
+        return lo, end, want
+
+    def successor(self, target: np.ndarray) -> np.ndarray:
+        """Place of the first number that is at least target; n where there is none."""
+        return self._search(target)[0]
+
+    def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(successor's place, whether it is target itself)."""
+        lo, end, want = self._search(target)
+        ok = lo < end
+        ok[ok] = self._low(lo[ok]) == want[ok]
+        return lo, ok
 
 
 def to_file(arrays: Mapping[str, np.ndarray]) -> bytes:

@@ -116,9 +116,7 @@ class Trie:
             if s in self.words_at:
                 level = self._level(self.words_at[s])
                 want = h[a:b] & np.uint64((1 << (64 - self.bits)) - 1)
-                at = level["hash"].successor(want)
-                ok = at < level["hash"].n
-                ok[ok] = level["hash"].access(at[ok]) == want[ok]
+                at, ok = level["hash"].find(want)
                 out[a:b][ok] = self.base[s] + at[ok]
         return out
 
@@ -160,18 +158,18 @@ class Trie:
             if s < 0 or s not in self.pairs_at:
                 continue
             level = self._level(self.pairs_at[s])
-            at = left[a:b] - self.base[s]
+            own = left[a:b] - self.base[s]
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            at, which = own[new], np.cumsum(new) - 1
             first, end = (level["pointer"].access(at + k).astype(np.int64) for k in (0, 1))
-            some = np.flatnonzero(end > first)
-            if not len(some):
-                continue
-            first, end = first[some], end[some]
             # numbers of a context start from the last one of the context before it
             start = np.where(first > 0, level["next"].access(np.maximum(first - 1, 0)), np.uint64(0))
-            want = start + right[a:b][some].astype(np.uint64) + np.uint64(1)
-            place = level["next"].successor(want)
-            ok = place < end
-            ok[ok] = level["next"].access(place[ok]) == want[ok]
+            some = np.flatnonzero((end > first)[which])
+            if not len(some):
+                continue
+            which = which[some]
+            place, ok = level["next"].find(start[which] + right[a:b][some].astype(np.uint64) + np.uint64(1))
+            ok &= place < end[which]
             out[a + some[ok]] = level["p.book"][level["p.code"][place[ok]]]
         return out
 
@@ -290,6 +288,7 @@ def build(training: DataFrame, scratch: Scratch, bits: int) -> tuple[list, list,
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([uri]), pa.array([len(keys)]), pa.array([int(n.sum())])], ["shard", "uri", "n", "tokens"])
 
     pairs = [(r["shard"], r["uri"]) for r in scratch.table(dealt(count_pairs).mapInArrow(write_pairs, names), "manifest").collect()]
+    scratch.drop(*scratch.made)  # counts and manifests are in the files and on the driver by now
     return words, pairs, tokens
 
 
