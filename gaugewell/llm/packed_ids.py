@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import binary_column, token_pieces
+from .tokens import binary_column
 
 MAGIC, VERSION, BLOCK_IDS = 0x4B434150444957, 1, 1 << 16
+#: Ranges of ids at most; each holds one file or more.
+MAX_RANGES = 10_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -122,8 +124,9 @@ def write_packed(df: DataFrame, scratch: Scratch, path: str, kind: str = "byte",
     """Encode every whole text and write the ids in ascending order of id; returns the files' manifest.
 
     Manifest: file (their order), uri, n_docs, n_ids, first_id (ids in all files before it).
-    Files are runs of the order of about docs_per_file documents. They are written under
-    another name and renamed, so a task that runs again writes the same file again.
+    Files are runs of the order of about docs_per_file documents, by ranges of ids of which
+    there are at most MAX_RANGES; a range that is larger has several files. They are written
+    under another name and renamed, so a task that runs again writes the same file again.
     Texts are encoded where they are read; ids are shuffled once. Equal ids go by
     their tokens; null ids come first; a null text is an empty one. Extra columns are
     ignored. Empty input gives an empty manifest.
@@ -133,40 +136,45 @@ def write_packed(df: DataFrame, scratch: Scratch, path: str, kind: str = "byte",
     bits = bits_for(vocabulary or encoder(path, kind).tokenizer.get_vocab_size())
     picked = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     n = picked.count()
-    files = max(1, -(-n // docs_per_file))
-    cuts = [] if files == 1 else sorted({x for x in picked.agg(F.percentile_approx("id", [i / files for i in range(1, files)], 10 * files)).first()[0] or []})
+    ranges = min(MAX_RANGES, max(1, -(-n // docs_per_file)))
+    cuts = [] if ranges == 1 else sorted({x for x in picked.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []})
     edges = np.array(cuts, np.int64)
     folder = f"{scratch.root}/ids"
-    encoded = token_pieces(picked, path, kind, "text", None, end).select("id", "ids")
+    width = "<u2" if bits <= 16 else "<u4"
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = encoder(path, kind)
+        tail = np.array([] if end is None else [end], width)
         for b in batches:
             at = np.searchsorted(edges, b.column("id").fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), *b.columns], ["file", *b.schema.names])
+            ids = [np.concatenate([x.astype(width, copy=False), tail]) for x in of.batch(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), b.column("id"), binary_column(ids)], ["file", "id", "ids"])
 
-    dealt = encoded.mapInArrow(deal, "file long, id long, ids binary")
-    dealt = dealt.repartition(files, "file").sortWithinPartitions("file", F.col("id").asc_nulls_first(), "ids")
+    dealt = picked.mapInArrow(encode, "file long, id long, ids binary")
+    dealt = dealt.repartition(ranges, "file").sortWithinPartitions("file", F.col("id").asc_nulls_first(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = _filesystem(folder)
         where.create_dir(base, recursive=True)
-        current, writer, held = None, None, ""
+        current, writer, held, no = None, None, "", 0
 
         def done() -> pa.RecordBatch:
             writer.close()
-            where.move(held, f"{base}/{current:08d}.ids")
-            row = [[current], [f"{folder}/{current:08d}.ids"], [len(writer.docs)], [writer.n_ids]]
+            number = current * 1_000_000 + no
+            where.move(held, f"{base}/{number:012d}.ids")
+            row = [[number], [f"{folder}/{number:012d}.ids"], [len(writer.docs)], [writer.n_ids]]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["file", "uri", "n_docs", "n_ids"])
 
         for b in batches:
             ids = b.column("ids")
             for i, (file, doc) in enumerate(zip(b.column("file").to_pylist(), b.column("id").to_pylist(), strict=True)):
-                if file != current:
+                if file != current or len(writer.docs) >= 4 * docs_per_file:
                     if writer:
                         yield done()
-                    current, held = file, f"{base}/.{file:08d}-{uuid.uuid4().hex}"
+                    no = no + 1 if file == current else 0
+                    current, held = file, f"{base}/.{file}-{no}-{uuid.uuid4().hex}"
                     writer = Writer(where.open_output_stream(held), bits)
-                writer.add(doc, np.frombuffer(ids[i].as_buffer(), "<u4"))
+                writer.add(doc, np.frombuffer(ids[i].as_buffer(), width).astype(np.uint32))
         if writer:
             yield done()
 
@@ -175,8 +183,8 @@ def write_packed(df: DataFrame, scratch: Scratch, path: str, kind: str = "byte",
     return manifest.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_packed(manifest: DataFrame, id: str = "doc_id", partitions: int = 256) -> DataFrame:
-    """The files' documents: id, start (ids in all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
+def read_packed(manifest: DataFrame, id: str = "doc_id") -> DataFrame:
+    """The files' documents: id, start (ids in all documents before it), n_tokens, ids (little-endian unsigned 32-bit). A task per file."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,5 +198,5 @@ def read_packed(manifest: DataFrame, id: str = "doc_id", partitions: int = 256)
                     doc = pa.array(file.docs[lo:hi], pa.int64(), mask=file.null[lo:hi])
                     yield pa.RecordBatch.from_arrays([doc, pa.array(first + s[:-1]), pa.array(np.diff(s)), binary_column(parts)], [id, "start", "n_tokens", "ids"])
 
-    spread = manifest.select("file", "uri", "first_id").repartition(partitions, "file")
+    spread = manifest.select("file", "uri", "first_id").repartition(max(1, manifest.count()), "file")
     return spread.mapInArrow(read, f"{id} long, start long, n_tokens long, ids binary")
