@@ -23,7 +23,7 @@ _BYTE_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _NO_CUT = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,])(?!\S)")
 #: Bytes that no unusual white space has: printable ASCII, usual white space, and two-byte letters from U+00C0 on.
 _USUAL = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xE0)])
-_NOT_SINGLE = re.compile(r"\s\s|[\t\r]|\s\Z|\A\s")
+_NOT_SINGLE = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 
 
 def _byte_letters() -> list[str]:
@@ -88,10 +88,13 @@ class Encoder:
         body = chunk[1:] if self.kind == "byte" and chunk[:1] == " " else chunk
         if not body.isalpha():
             return None
-        if not body.isascii():
+        if body.isascii():
+            written = body if body is chunk else "\u0120" + body
+        else:
             if max(body) >= "\u0250" or self.kind == "word" and body != body.lower() or not is_normalized("NFC", body):
                 return None
-        return [t.id for t in self.tokenize(chunk.encode().decode("latin-1").translate(_LETTERS))]
+            written = chunk.encode().decode("latin-1").translate(_LETTERS)
+        return [t.id for t in self.tokenize(written)]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width)
@@ -103,7 +106,7 @@ class Encoder:
             if cut:
                 text = text.replace(", ", " , ").replace(". ", " . ").replace(",\n", " ,\n").replace(".\n", " .\n")
             return text.split()
-        if not cut or _NOT_SINGLE.search(text):
+        if not cut or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _NOT_SINGLE):
             return _BYTE_CHUNK.findall(text)
         text = text.replace(", ", "\0, ").replace(". ", "\0. ").replace(",\n", "\0,\n").replace(".\n", "\0.\n")
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
