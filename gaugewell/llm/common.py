@@ -9,7 +9,6 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows, and about so many bytes, that Python gets at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -68,8 +67,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def fields(df: DataFrame, *names: str) -> list[T.StructField]:
-    return [df.schema[n] for n in names]
+#: Rows of about 40 bytes that a join may send to every task.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table as a join's side: sent to all tasks if its count allows, else left to a shuffle."""
+    return F.broadcast(table) if table.count() <= limit else table
 
 
 def words_of(text: bytes | None) -> list[bytes]:

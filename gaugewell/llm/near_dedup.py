@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, fingerprint, mix, shingles, signed, words_of
+from .common import Scratch, WordHashes, fingerprint, mix, shingles, signed, small_side, words_of
 from .graph import connected_components
 
 #: Members of a block of a band that is too large for one group.
@@ -196,7 +196,8 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", k: in
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     live = scratch.table(keyed.join(shared, "key"), "bands")
     wanted = nodes.join(live.select("node").distinct(), "node").select("node", F.col("rep.id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
-    found = hashed.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & F.col("text_hash").eqNullSafe(F.col("rhash"))).select("node", "text")
+    wanted = scratch.table(wanted, "wanted")
+    found = hashed.join(small_side(wanted), F.col("id").eqNullSafe(F.col("rid")) & F.col("text_hash").eqNullSafe(F.col("rhash"))).select("node", "text")
     texts = scratch.table(found, "texts")
     first = live.groupBy("key").agg(F.min("node").alias("c"))
     pairs = live.join(first, "key").where("node != c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
