@@ -23,6 +23,8 @@ END = b""
 LEVELS = 256
 #: Tokens that a task gathers before it counts them.
 GATHER = 4_000_000
+#: Tokens scored at once: each different pair among them is looked up once.
+SCORE_TOKENS = 2_000_000
 
 
 def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +123,7 @@ class Trie:
         return out
 
     def token_ids(self, words: list[bytes]) -> np.ndarray:
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.ids) > 2 * CACHE_WORDS:
             self.ids.clear()
         missing = list(set(words) - self.ids.keys())
         if missing:
@@ -326,24 +328,35 @@ def score_texts(df: DataFrame, text: str = "text", id: str = "doc_id", folds: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _trie(words, pairs, bits, tokens)
+        held: list[pa.RecordBatch] = []
+        texts: list[list[bytes]] = []
+        n = 0
         for b in batches:
-            texts = [[*words_of(t), END] for t in b.column("text").cast(pa.binary()).to_pylist()]
-            if not texts:
-                continue
-            flat = trie.token_ids([END, *(w for t in texts for w in t)])
-            ids, at = np.unique(flat, return_inverse=True)
-            count, p, back = trie.word_facts(ids)
-            base = np.log10((count + 0.5) / (tokens + 0.5 * (trie.v + 1)))
-            key, where = np.unique((flat[:-1] + 1) << 32 | (flat[1:] + 1), return_inverse=True)
-            left, right = (key >> 32) - 1, (key & 0xFFFFFFFF) - 1
-            seen = trie.pair_scores(left, right)
-            unseen = back[np.searchsorted(ids, left)] + p[np.searchsorted(ids, right)]
-            scores = np.where(np.isnan(seen), unseen, seen)[where]
-            size = np.array([len(t) for t in texts])
-            first = np.concatenate([[0], np.cumsum(size)[:-1]])
-            own = at[1:]
-            columns = [pa.array(size), pa.array(np.add.reduceat((count > 0)[own].astype(np.int64), first)), pa.array(np.full(len(size), tokens)), pa.array(np.add.reduceat(base[own], first)), pa.array(np.add.reduceat(scores, first))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), *columns], names)
+            new = [[*words_of(t), END] for t in b.column("text").cast(pa.binary()).to_pylist()]
+            n += sum(map(len, new))
+            texts += new
+            held.append(b)
+            if n >= SCORE_TOKENS:
+                yield scored(trie, held, texts)
+                held, texts, n = [], [], 0
+        if texts:
+            yield scored(trie, held, texts)
+
+    def scored(trie: Trie, held: list[pa.RecordBatch], texts: list[list[bytes]]) -> pa.RecordBatch:
+        flat = trie.token_ids([END, *(w for t in texts for w in t)])
+        ids, at = np.unique(flat, return_inverse=True)
+        count, p, back = trie.word_facts(ids)
+        base = np.log10((count + 0.5) / (tokens + 0.5 * (trie.v + 1)))
+        key, where = np.unique(at[:-1] * len(ids) + at[1:], return_inverse=True)
+        left, right = np.divmod(key, len(ids))
+        seen = trie.pair_scores(ids[left], ids[right])
+        scores = np.where(np.isnan(seen), back[left] + p[right], seen)[where]
+        size = np.array([len(t) for t in texts])
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        own = at[1:]
+        columns = [pa.array(size), pa.array(np.add.reduceat((count > 0)[own].astype(np.int64), first)), pa.array(np.full(len(size), tokens)), pa.array(np.add.reduceat(base[own], first)), pa.array(np.add.reduceat(scores, first))]
+        kept = [pa.concat_arrays([b.column(c) for b in held]) for c in ("id", "held_out")]
+        return pa.RecordBatch.from_arrays([*kept, *columns], names)
 
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     id_type = picked.schema["id"].dataType.simpleString()
