@@ -63,6 +63,17 @@ def minimisers(windows: Windows, length: int) -> tuple[np.ndarray, np.ndarray]:
     return place, g[place]
 
 
+def _parts(windows: Windows, place: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, range]]:
+    """Per part: which places have its words, their keys, and how far before a place its windows start."""
+    third = (length - GRAM) // 3 + 1
+    for i in range(3):
+        left = i * third
+        most = min(left + third - 1, length - GRAM)
+        right = max(GRAM, length - most)
+        ok = np.flatnonzero((place >= left) & (place + right <= windows.n))
+        yield ok, mix(windows.at(place[ok] - left, left + right) ^ np.uint64(i + 1)), range(left, most + 1)
+
+
 def contexts(windows: Windows, place: np.ndarray, length: int) -> np.ndarray:
     """Sort keys of the retained suffixes: each selected place with part of its words to the left and to the right.
 
@@ -70,13 +81,25 @@ def contexts(windows: Windows, place: np.ndarray, length: int) -> np.ndarray:
     sides, whatever its offset, so two places of one passage are neighbours under
     at least one key.
     """
-    third = (length - GRAM) // 3 + 1
-    out = []
-    for i in range(3):
-        left = i * third
-        right = max(GRAM, length - min(left + third - 1, length - GRAM))
-        ok = place[(place >= left) & (place + right <= windows.n)]
-        out.append(mix(windows.at(ok - left, left + right) ^ np.uint64(i + 1)))
+    return np.unique(np.concatenate([keys for _, keys, _ in _parts(windows, place, length)]))
+
+
+def whole_windows(windows: Windows, keys: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows of length words that stand around a place with one of keys and have their smallest k-gram there.
+
+    Where a window starts before its place says which part's key it goes with, so equal
+    windows are under equal keys.
+    """
+    place, g = minimisers(windows, length)
+    low = _sliding(windows.at(np.arange(windows.n - GRAM + 1), GRAM), length - GRAM + 1, np.minimum)
+    out = [np.empty(0, np.uint64)]
+    for ok, found, lefts in _parts(windows, place, length):
+        ok = ok[np.isin(found, keys)]
+        start = (place[ok, None] - np.array(lefts)).ravel()
+        least = np.repeat(g[ok], len(lefts))
+        inside = (start >= 0) & (start < len(low))
+        start, least = start[inside], least[inside]
+        out.append(windows.at(start[low[start] == least], length))
     return np.unique(np.concatenate(out))
 
 
@@ -98,6 +121,23 @@ def _keyed(length: int):
     return run
 
 
+def _windowed(length: int):
+    """(o, text, keys) to a row per different whole window under the keys: (o, window)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            at, found = [], []
+            for i, t in enumerate(b.column("text").cast(pa.binary())):
+                keys = b.column("keys")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                found.append(signed(whole_windows(Windows(cache.of(words_of(t.as_py()))), keys, length)))
+                at.append(np.full(len(found[-1]), i))
+            if at:
+                yield pa.RecordBatch.from_arrays([b.column("o").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(found), pa.int64())], ["o", "window"])
+
+    return run
+
+
 def shared_passages(a: np.ndarray, b: np.ndarray, length: int, of_a: tuple, of_b: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Which words of a and of b lie in runs of at least length words that both have; of_a, of_b: their minimisers."""
     cover_a, cover_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
@@ -166,11 +206,12 @@ def repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", len
 
     Rows of equal word sequences are one node from the start; in all of them but that of the
     smallest id the whole text is removable. Suffixes are kept at the minimisers of each
-    length-word window and sorted by their words to both sides; in every run of equal sort keys
-    each member is compared with the two members at the ends of the run's order of ids, both
-    texts are aligned on the places they share, and matches are extended left and right to
-    their ends. So pairs grow with the rows and not with the square of a group. Members
-    of a run share 36 words at least; a match of 50 that neither end has can be missed. Repeats inside one text alone
+    length-word window and sorted by their words to both sides. The two members of a run of
+    equal sort keys are compared; in a longer run the whole windows around the places are
+    grouped, and each member is compared with the one of the smallest id that has the same
+    window. Both texts are then aligned on the places they share, and matches are extended left
+    and right to their ends. So pairs grow with the rows and not with the square of a group,
+    and no window that two texts have goes without a pair. Repeats inside one text alone
     are not reported.
 
     Null texts and texts of fewer than length words have no passages. Null ids are compared as
@@ -188,17 +229,21 @@ def repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", len
     chosen = nodes.select("node", "o", F.col("rep.id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
     kept = long_.join(chosen, "node").where(F.col("id").eqNullSafe(F.col("rid")) & F.col("text_hash").eqNullSafe(F.col("rhash")))
     suffixes = scratch.table(kept.select("o", "node", F.explode("keys").alias("key")), "suffixes")
-    groups = suffixes.groupBy("key").agg(F.min("o").alias("low"), F.max("o").alias("high")).where("low != high")
-    ends = F.explode(F.array_distinct(F.array("low", "high")))
-    pairs = suffixes.join(groups, "key").select("o", "node", "low", "high").distinct().select("o", ends.alias("end")).where("o != end")
-    pairs = pairs.select(F.least("o", "end").alias("oa"), F.greatest("o", "end").alias("ob")).distinct()
+    groups = suffixes.groupBy("key").agg(F.min("o").alias("low"), F.max("o").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high")
+    runs = scratch.table(suffixes.join(groups, "key").select("o", "node", "key", "low", "high", "members"), "runs")
+    wanted = scratch.table(runs.select("node").distinct().join(chosen, "node"), "wanted")
+    found = hashed.join(small_side(wanted), F.col("id").eqNullSafe(F.col("rid")) & F.col("text_hash").eqNullSafe(F.col("rhash"))).select("node", "o", "text")
+    texts = scratch.table(found, "texts")
+    hot = runs.where("members > 2").groupBy("node").agg(F.collect_set("key").alias("keys"))
+    windows = texts.join(hot, "node").select("o", "text", "keys").mapInArrow(_windowed(length), "o long, window long")
+    windows = scratch.table(windows, "windows")
+    lows = windows.groupBy("window").agg(F.min("o").alias("low"), F.max("o").alias("high")).where("low != high").select("window", "low")
+    pairs = windows.join(lows, "window").select(F.col("low").alias("oa"), F.col("o").alias("ob")).where("oa != ob")
+    pairs = pairs.union(runs.where("members = 2").select("low", "high")).distinct()
     by_o = nodes.select("o", "node")
     pairs = pairs.join(by_o.toDF("oa", "a"), "oa").join(by_o.toDF("ob", "b"), "ob").where("a != b")
     pairs = scratch.table(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(chosen, "node")
-    wanted = scratch.table(wanted, "wanted")
-    found = hashed.join(small_side(wanted), F.col("id").eqNullSafe(F.col("rid")) & F.col("text_hash").eqNullSafe(F.col("rhash"))).select("node", "text")
-    texts = scratch.table(found, "texts")
+    texts = texts.drop("o")
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     spans = both.select("a", "b", "oa", "ob", "text_a", "text_b").mapInArrow(_extend(length), "node long, s long, e long, other long, later boolean")

@@ -165,3 +165,18 @@ def test_repeated_passages(docs, plain, none):
     whole = [r for r in repeated_passages(docs).collect() if r.doc_id == 1 and r.start_word == 0 and r.end_word == 120]
     assert sum(not r.removable for r in whole) == 1
     assert repeated_passages(none).count() == 0
+
+
+def test_middle_members_of_a_frequent_passage(spark):
+    """Many texts have 45 words; two in the middle of their ids have 51 that the others don't."""
+    spread = [prose(45, 1000 + k, 10**6) for k in range(12)]
+    data, want = [], set()
+    for k, p in enumerate(spread):
+        tail = prose(6, 2000 + k, 10**6)
+        for i in range(8):
+            id_ = 100 * k + i
+            data.append((id_, f"{prose(60, 3000 + id_, 10**6)} {p} {tail if i in (3, 4) else prose(6, 5000 + id_, 10**6)} {prose(60, 7000 + id_, 10**6)}"))
+            if i in (3, 4):
+                want.add((id_, 60, 111, id_ + 7 - 2 * i, i == 4))
+    got = repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert {tuple(r) for r in got} == want
