@@ -138,31 +138,33 @@ def _windowed(length: int):
     return run
 
 
-def shared_passages(a: np.ndarray, b: np.ndarray, length: int, of_a: tuple, of_b: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Which words of a and of b lie in runs of at least length words that both have; of_a, of_b: their minimisers."""
-    cover_a, cover_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    (pa_, ga), (pb, gb) = of_a, of_b
-    common = np.intersect1d(ga, gb)
-    if not len(common):
-        return cover_a, cover_b
-    ia, ib = np.flatnonzero(np.isin(ga, common)), np.flatnonzero(np.isin(gb, common))
-    first_a = {k: p for k, p in zip(ga[ia][::-1].tolist(), pa_[ia][::-1].tolist(), strict=True)}
-    first_b = {k: p for k, p in zip(gb[ib][::-1].tolist(), pb[ib][::-1].tolist(), strict=True)}
-    todo = [(p, first_b[k]) for k, p in zip(ga[ia].tolist(), pa_[ia].tolist(), strict=True)]
-    todo += [(first_a[k], q) for k, q in zip(gb[ib].tolist(), pb[ib].tolist(), strict=True)]
-    done = set()
-    for p, q in todo:
-        d = p - q
-        if d in done or cover_a[p] and cover_b[q]:
-            continue
-        done.add(d)
-        lo, hi = max(0, d), min(len(a), len(b) + d)
-        same = np.concatenate([[False], a[lo:hi] == b[lo - d : hi - d], [False]])
-        edge = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
-        for s, e in edge[edge[:, 1] - edge[:, 0] >= length] + lo:
-            cover_a[s:e] = True
-            cover_b[s - d : e - d] = True
-    return cover_a, cover_b
+def index(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, sorted hashes of all windows of length words, the first place of each)."""
+    n = max(0, len(h) - length + 1)
+    return h, *np.unique(Windows(h).at(np.arange(n), length), return_index=True)
+
+
+def shared_passages(a: tuple, b: tuple, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of a and of b, as index gives them, lie in runs of at least length words that both have."""
+    return _covered(a, b, length), _covered(b, a, length)
+
+
+def _covered(a: tuple, b: tuple, length: int) -> np.ndarray:
+    """Words of a in windows that b has too. Every window of a is looked up, so repeats inside a text hide nothing; words are then compared."""
+    h, other = a[0], b[0]
+    cover = np.zeros(len(h), bool)
+    if not len(a[1]) or not len(b[1]):
+        return cover
+    w = Windows(h).at(np.arange(len(h) - length + 1), length)
+    at = np.minimum(np.searchsorted(b[1], w), len(b[1]) - 1)
+    found = np.flatnonzero(b[1][at] == w)
+    place = b[2][at[found]]
+    for part in np.split(np.arange(len(found)), np.flatnonzero((np.diff(found) != 1) | (np.diff(place) != 1)) + 1):
+        if len(part):
+            s, t, n = found[part[0]], place[part[0]], len(part) + length - 1
+            for x, y in _runs(h[s : s + n] == other[t : t + n]):
+                cover[s + x : s + y] |= y - x >= length
+    return cover
 
 
 def _runs(cover: np.ndarray) -> list[list[int]]:
@@ -176,19 +178,14 @@ def _extend(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
 
-        def index(text: bytes) -> tuple:
-            h = cache.of(words_of(text))
-            return h, minimisers(Windows(h), length)
-
         last, held = None, None
         for b in batches:
             rows: list[tuple] = []
             ta, tb = (b.column(x).cast(pa.binary()) for x in ("text_a", "text_b"))
             for i, (na, nb, oa, ob) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "b", "oa", "ob")), strict=True)):
                 if na != last:
-                    last, held = na, index(ta[i].as_py())
-                h, m = index(tb[i].as_py())
-                ca, cb = shared_passages(held[0], h, length, held[1], m)
+                    last, held = na, index(cache.of(words_of(ta[i].as_py())), length)
+                ca, cb = shared_passages(held, index(cache.of(words_of(tb[i].as_py())), length), length)
                 rows += [(na, s, e, ob, False) for s, e in _runs(ca)] + [(nb, s, e, oa, True) for s, e in _runs(cb)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             names = ["node", "s", "e", "other", "later"]
@@ -209,8 +206,8 @@ def repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", len
     length-word window and sorted by their words to both sides. The two members of a run of
     equal sort keys are compared; in a longer run the whole windows around the places are
     grouped, and each member is compared with the one of the smallest id that has the same
-    window. Both texts are then aligned on the places they share, and matches are extended left
-    and right to their ends. So pairs grow with the rows and not with the square of a group,
+    window. Of both texts of a pair every window is then looked up in the other, and the
+    windows found make up the spans. So pairs grow with the rows and not with the square of a group,
     and no window that two texts have goes without a pair. Repeats inside one text alone
     are not reported.
 

@@ -10,7 +10,7 @@ from gaugewell.llm.graph import connected_components, union_find
 from gaugewell.llm.common import Scratch
 from gaugewell.llm.near_dedup import near_duplicates, superminhash
 from gaugewell.llm.quality_rules import quality_rules
-from gaugewell.llm.suffix_dedup import Windows, cut_passages, minimisers, repeated_passages
+from gaugewell.llm.suffix_dedup import Windows, cut_passages, index, minimisers, repeated_passages, shared_passages
 
 
 def split(t):
@@ -180,3 +180,19 @@ def test_middle_members_of_a_frequent_passage(spark):
                 want.add((id_, 60, 111, id_ + 7 - 2 * i, i == 4))
     got = repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
     assert {tuple(r) for r in got} == want
+
+
+def test_shared_passages_with_lines_that_repeat():
+    """The line that stands earlier in both texts holds the passage's only minimiser in some of the cases."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        passage = rng.integers(0, 2**63, 60).astype(np.uint64)
+        line = passage[20:40]
+        words = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (30, 40, 30, 70, 30, 30)]
+        a = np.concatenate([words[0], line, words[1], passage, words[4]])
+        b = np.concatenate([words[2], line, words[3], passage, words[5]])
+        ca, cb = shared_passages(index(a, 50), index(b, 50), 50)
+        assert np.flatnonzero(ca).tolist() == list(range(90, 150)) and np.flatnonzero(cb).tolist() == list(range(120, 180))
+    same = np.full(300, 5, np.uint64)
+    assert all(c.all() for c in shared_passages(index(same, 50), index(same[:60], 50), 50))
+    assert not any(c.any() for c in shared_passages(index(same, 50), index(same[:49], 50), 50))
