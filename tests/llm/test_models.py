@@ -12,7 +12,7 @@ from conftest_rows import prose, rows
 import corpus_pipeline
 from gaugewell.llm import embedding_dedup, queries
 from gaugewell.llm.elias_fano import EliasFano, from_buffer, to_file
-from gaugewell.llm.embedding_dedup import near_vectors
+from gaugewell.llm.embedding_dedup import near_vectors, passes_for
 from gaugewell.llm.ngram_lm import quantise, score_texts
 from gaugewell.llm.quality_classifier import FACTORS, SIZE, Machine, features, score_quality
 
@@ -168,3 +168,18 @@ def test_rules_beside_their_sql(spark):
 
 def test_queries_are_registered():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+def test_passes_grow_with_the_vectors(spark):
+    """Isolated pairs just above the threshold among many other vectors, in windows that are small for them."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((300, 32))
+    y -= (y * x[:300]).sum(axis=1, keepdims=True) * x[:300]
+    x[-300:] = 0.902 * x[:300] + np.sqrt(1 - 0.902**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in near_vectors(df, window=4).collect()}
+    assert all(got[5700 + i] == got[i] for i in range(300))
+    assert 16 <= passes_for(2000, 0.9, 64) < passes_for(10**5, 0.9, 64) < passes_for(10**7, 0.9, 64) < 200
+    assert passes_for(0, 0.9, 64) == passes_for(10, 1.0, 64) == 16
