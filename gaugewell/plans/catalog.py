@@ -288,8 +288,9 @@ def detect_language(spark, d):
 
 @query()
 def syntax_check(spark, d):
-    rows = model_outputs(spark, d).where("event_id % 14 in (9, 13)")
-    return rows.select("idx", code.syntax_ok(code.extract(F.col("raw_output"))).alias("ok"))
+    """Null where an output holds no code."""
+    rows = model_outputs(spark, d)
+    return rows.select("idx", F.when(F.size(code.blocks(F.col("raw_output"))) > 0, code.syntax_ok(code.extract(F.col("raw_output")))).alias("ok"))
 
 
 @query()
@@ -308,8 +309,11 @@ def robust_parse(spark, d):
 
 @query()
 def safety_check(spark, d):
-    rows = model_outputs(spark, d).where("event_id % 14 = 9").select("idx", F.concat(F.when(F.col("event_id") % 3 == 0, "import os\n").otherwise(""), code.extract(F.col("raw_output"))).alias("code"))
-    return execution.safety_check(rows, "code").select("idx", "safety.is_safe", "safety.violations")
+    """Null where an output holds no code."""
+    text = F.concat(F.when(F.col("event_id") % 3 == 0, "import os\n").otherwise(""), code.extract(F.col("raw_output")))
+    rows = model_outputs(spark, d).select("idx", text.alias("code"), (F.size(code.blocks(F.col("raw_output"))) > 0).alias("held"))
+    checked = execution.safety_check(rows, "code").withColumn("safety", F.when(F.col("held"), F.col("safety")))
+    return checked.select("idx", "safety.is_safe", "safety.violations")
 
 
 @query()

@@ -143,3 +143,13 @@ def test_stream(spark, tmp_path):
     run = results.progress(stream).writeStream.format("memory").queryName("progress").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("progress").select("passed", "failed").first()[:] == (1, 1)
+
+
+def test_code_queries_take_all_outputs(spark, tmp_path):
+    """Code is in the outputs 9 (Python) and 13 (JavaScript) of every 14; the others have none."""
+    spark.range(28).selectExpr("id as event_id", "id as user_id", "'view' as event_type", "1.0D as value").write.parquet(str(tmp_path / "events.parquet"))
+    ok = {r["idx"]: r["ok"] for r in catalog.syntax_check(spark, str(tmp_path)).collect()}
+    assert ok == {i: {9: True, 13: False}.get(i % 14) for i in range(28)}
+    safe = {r["idx"]: (r["is_safe"], bool(r["violations"])) for r in catalog.safety_check(spark, str(tmp_path)).collect()}
+    held = {9: (False, True), 23: (True, False), 13: (False, True), 27: (False, True)}
+    assert safe == {i: held.get(i, (None, False)) for i in range(28)}
