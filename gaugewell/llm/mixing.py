@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,8 @@ from pyspark.sql import types as T
 from .common import prepare, rank_within
 
 
-def period(shares: list[int]) -> np.ndarray:
-    """The source of each slot of one period of sum(shares) slots.
+def period(shares: list[int], blocks: list[int] | None = None) -> np.ndarray:
+    """The source of each slot of one period of sum(shares) slots, or until a source has had its number of blocks.
 
     Block i of a source with share k of a period of q slots is released at floor(i * q / k) and
     due at ceil((i + 1) * q / k). Earliest deadline first among released blocks meets every
@@ -26,16 +28,25 @@ def period(shares: list[int]) -> np.ndarray:
     waiting = [(0, -(-q // k), s, 0) for s, k in enumerate(shares) if k]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = np.empty(q, np.int64)
+    out: list[int] = []
     for slot in range(q):
         while waiting and waiting[0][0] <= slot:
             _, due, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, i))
         _, s, i = heapq.heappop(ready)
-        out[slot] = s
+        out.append(s)
+        if blocks and i + 1 == blocks[s]:
+            break
         if i + 1 < shares[s]:
             heapq.heappush(waiting, ((i + 1) * q // shares[s], -(-(i + 2) * q // shares[s]), s, i + 1))
-    return out
+    return np.array(out, np.int64)
+
+
+def exact(weights: list[float]) -> list[int]:
+    """Whole numbers in just the proportions of weights."""
+    parts = [Fraction(w) for w in weights]
+    scale = math.lcm(*(p.denominator for p in parts))
+    return [int(p * scale) for p in parts]
 
 
 def quantised(weights: np.ndarray, quantum: int) -> list[int]:
@@ -49,7 +60,7 @@ def quantised(weights: np.ndarray, quantum: int) -> list[int]:
 
 @dataclass
 class Phase:
-    """From one source's end to the next: shares of the sources that are left, which blocks it starts with, and its first slot."""
+    """From one source's end to the next: blocks that the sources left have in it, which blocks it starts with, and its first slot."""
 
     start: int
     sources: list[int]
@@ -58,44 +69,45 @@ class Phase:
     slots: np.ndarray
 
 
-def schedule(blocks: list[int], weights: list[float], quantum: int = 1000) -> list[Phase]:
+def schedule(blocks: list[int], weights: list[float], quantum: int | None = None) -> list[Phase]:
     """Phases for sources with so many blocks: each ends when a source has none left, whose weight then goes to the others in proportion.
 
-    Sources of weight 0 come after all others, in proportion to their blocks.
+    Sources of weight 0 come after all others, in proportion to their blocks. Weights are exact, or
+    rounded to 1/quantum where one is given.
     """
     left = dict(enumerate(blocks))
     done = dict.fromkeys(left, 0)
     start, phases = 0, []
     while alive := [s for s, n in left.items() if n]:
         wanted = [s for s in alive if weights[s] > 0] or alive
-        w = np.array([weights[s] if weights[s] > 0 else left[s] for s in wanted], float)
-        shares = quantised(w, max(quantum, 10 * len(wanted)))
-        slots = period(shares)
-        q = len(slots)
-        at = [np.flatnonzero(slots == i) for i in range(len(wanted))]
-        end = 1 + min((left[s] - 1) // k * q + int(at[i][(left[s] - 1) % k]) for i, (s, k) in enumerate(zip(wanted, shares, strict=True)))
-        phases.append(Phase(start, wanted, shares, {s: done[s] for s in wanted}, slots))
-        for i, (s, k) in enumerate(zip(wanted, shares, strict=True)):
-            ran = end // q * k + int((at[i] < end % q).sum())
-            left[s] -= ran
-            done[s] += ran
+        w = [float(weights[s]) if weights[s] > 0 else float(left[s]) for s in wanted]
+        shares = quantised(np.array(w), max(quantum, 10 * len(wanted))) if quantum else exact(w)
+        # a source ends within so many slots, for one has its share; whole periods follow each other
+        times = 1 + min((left[s] - 1) // k for s, k in zip(wanted, shares, strict=True))
+        slots = period([k * times for k in shares], [left[s] for s in wanted])
+        end = len(slots)
+        ran = np.bincount(slots, minlength=len(wanted)).tolist()
+        phases.append(Phase(start, wanted, ran, {s: done[s] for s in wanted}, slots))
+        for s, k in zip(wanted, ran, strict=True):
+            left[s] -= k
+            done[s] += k
         start += end
     return phases
 
 
-def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", id: str = "doc_id", block_rows: int = 16, temperature: float = 0.7, quantum: int = 1000, seed: int = 11, rows_per_bucket: int = 100_000) -> DataFrame:
+def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", id: str = "doc_id", block_rows: int = 16, temperature: float = 0.7, quantum: int | None = None, seed: int = 11, rows_per_bucket: int = 100_000) -> DataFrame:
     """df with block, slot and place: the order in which its rows are to be read.
 
     A source's rows, in a pseudo-random but fixed order, form blocks of block_rows. Blocks take
     slots by Pfair scheduling: after any slot, each source has had less than one block
-    more or less than its weight's share (shares are rounded to 1/quantum). Within a
+    more or less than its weight's share (exactly, or rounded to 1/quantum where that is given). Within a
     slot, rows go by place. Every row keeps exactly one place: when a source ends, its
     weight goes to the others, and the bound holds anew from there. weights by source name; without any, a
     source's weight is the number of its rows to the power of temperature. Sources that
     weights omits come last.
 
-    Counts by source go to the driver, which plans one period for each phase; there is
-    a phase for each source at most, so plans grow with sources and not with rows. Rows are
+    Counts by source go to the driver, which plans the slots of each phase; there is
+    a phase for each source at most. Plans hold 8 bytes a block of block_rows rows. Rows are
     ranked in hash buckets of about rows_per_bucket, so a source of any size is spread.
     A null source is a source of its own. Repeated rows have places of their own.
     Columns of df named block, slot or place are replaced. Empty input gives an empty result.

@@ -123,6 +123,18 @@ def test_pfair_bounds():
     assert [p.sources for p in phases] == [[0, 1], [0], [3]] and schedule([], []) == []
 
 
+def test_weights_hold_over_many_slots():
+    for weights in ([1.0, 1.0, 1.0], [0.0001, 0.3, 0.6999], [3.0, 0.7, 0.11, 1e-3]):
+        blocks = [60_000] * len(weights)
+        first = schedule(blocks, weights)[0]
+        n = np.arange(1, len(first.slots) + 1)
+        assert len(n) > 60_000
+        for s, w in enumerate(weights):
+            assert np.abs(np.cumsum(first.slots == s) - w / sum(weights) * n).max() < 1 + 1e-6
+    phases = schedule([50, 500, 7], [0.2, 0.3, 0.5])
+    assert sum(len(p.slots) for p in phases) == 557 and phases[-1].sources == [1]
+
+
 def test_mixing(docs, none):
     got = mix_sources(docs, {"s0": 1.0, "s1": 3.0}, block_rows=2).collect()
     assert len(got) == len(rows())
