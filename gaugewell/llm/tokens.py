@@ -19,8 +19,8 @@ CACHE_CHUNKS = 400_000
 _ODD_SPACE = re.compile(r"[^\S \t\n\r]|[\x00\x1c-\x1f\x85]")
 #: Runs that a byte-level pattern never crosses: a word with at most one space before it, or white space.
 _BYTE_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Where a final comma or full stop isn't a run of marks of its own, or white space isn't single.
-_NO_CUT = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,])(?!\S)")
+#: A comma or full stop at a word's end that does not follow a plain Latin letter or a digit, so it may belong to what is before it.
+_NO_CUT = re.compile(r"(?<![A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,](?!\S)")
 #: Bytes that no unusual white space has: printable ASCII, usual white space, and two-byte letters from U+00C0 on.
 _USUAL = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xE0)])
 _NOT_SINGLE = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
@@ -56,13 +56,14 @@ class _Chunks(dict):
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file, one cached chunk at a time.
+    """Ids of texts by a tokenizers file as the library gives them with add_special_tokens=False, one cached chunk at a time.
 
     kind "byte" is for byte-level pre-tokenizers, which cut before every single space in
     front of a word; kind "word" for lower-casing ones that drop white space. Both treat what
-    lies between such cuts by itself, and cut between a letter and a comma or full stop
-    that ends a word, so ids of chunks are the ids of the text; a text with unusual white
-    space goes to the library whole. Chunks are kept as bytes in two generations. Chunks of
+    lies between such cuts by itself. A text whose final commas and full stops all follow a Latin
+    letter or a digit is also cut before these, for both patterns end a run of letters or digits there. A text with
+    unusual white space, or with the string of a special token, goes to the library whole: it
+    gives such a string the token's id. Chunks are kept as bytes in two generations. Chunks of
     Latin letters only go to the library's model without its normaliser and patterns,
     which leave them as they are; a few probes make sure of that for each file.
     """
@@ -72,12 +73,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
         self.kind = kind
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = "H" if self.width is np.uint16 else "I"
         self.cache = _Chunks(self)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
+        self.openings = {t[:2] for t in special}  # a quick look first, where no case can differ
+        if any(c.isalpha() for t in self.openings for c in t):
+            self.openings = {""}
         self.plain = lambda c: None
         probes = [p for p in _PROBES if kind == "byte" or p[0] != " "]
         if all(self._letters(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes):
@@ -114,6 +119,8 @@ class Encoder:
     def one(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, self.width)
+        if self.special and any(o in text for o in self.openings) and self.special.search(text):
+            return self.whole(text)
         if text.encode("utf-8", "surrogatepass").translate(None, _USUAL) and _ODD_SPACE.search(text):
             return self.whole(text)
         return np.frombuffer(b"".join(map(self.cache.__getitem__, self.chunks(text))), self.width)

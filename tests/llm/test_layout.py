@@ -22,13 +22,21 @@ WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe
 ODD = ["a  b\n\nc \n d", "x\t\ty  ", "  lead", "I'll don't we've's 's", " ", "\n", "don' t", "naïve café é  x", "1234 12.5%", "<|endoftext|> a<|startoftext|>b", "日本語 テキスト", "a\r\nb", "Ab'S 'S", "​zero​w", "a　b", "ﬁ ligature Ⅷ²", "각 가", "a ́b", "a, b. c", "a., b", "x_, y", "é, ü. ", "end.", "end,\n", "), x. y", "a.\n\nb, \nc", " . , .", "3.5, 4. 5,5", "\0 a\0b", "Á, b", "K, K", " ,\n", "É été ÉTÉ", "a b", "\x1ca\x85b"]
 
 
+#: What words and marks around cuts are made of: marks after letters, digits, space and combining marks, case that changes length, special tokens.
+PARTS = ["a", "b", "Word", "the", " ", "  ", "\n", "\t", ",", ".", ", ", ". ", " ,", " .", ",\n", ".\n", "\u00c9", "e\u0301", "\u0130", "\u00df", "'s", "'", "1", "42", "\u00b2", "_", "-", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "\ufb01", "\u03a3", "\u0391\u03a3", "\u65e5\u672c", "\u00a0", "\u200b", "\u3000", "\r\n", "\x85", "\u00aa", "\u00b5", "\u00d7", "\u0149", "\u01c5", "\u0307", "\u212a", "\U0001f600", "\u1e9e", "\x00", "\u0301", "\u00bd", "y.z", "...", "I'LL"]
+
+
 @pytest.mark.parametrize("path,kind", [(WORD, "word"), (BYTE, "byte")])
-def test_chunks_give_the_ids_of_the_text(path, kind):
-    e = Encoder(path, kind)
+def test_chunks_give_the_ids_of_the_library(path, kind):
+    """Against a tokenizer without any switch: many random texts, the odd ones and every special token."""
+    e, tok = Encoder(path, kind), Tokenizer.from_file(path)
     rng = random.Random(4)
-    texts = ODD + ["".join(rng.choice("ab ,.\nÉé'1_") for _ in range(60)) for _ in range(300)] + [r[1] for r in rows() if r[1]]
-    for t, got in zip(texts, e.batch(texts), strict=True):
-        assert np.array_equal(got, e.whole(t)), t
+    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts = ODD + ["".join(rng.choices(PARTS, k=rng.randint(1, 9))) for _ in range(200_000)] + [r[1] for r in rows() if r[1]]
+    texts += [f(x) for s in special for f in (str, str.upper) for x in (s, f"a{s}b", f"a {s} b, ", f"{s}{s}")]
+    got = [x for i in range(0, len(texts), 1000) for x in e.batch(texts[i : i + 1000])]
+    want = tok.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g.tolist() != w.ids] == []
     assert len(e.batch([None, ""])[0]) == 0
 
 
@@ -54,7 +62,6 @@ def test_best_fit_and_search():
 def test_pack_documents(docs, none):
     got = packing.pack_documents(docs, WORD, capacity=64).collect()
     tok = Tokenizer.from_file(WORD)
-    tok.encode_special_tokens = True
     want = Counter()
     for i, t, *_ in rows():
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
