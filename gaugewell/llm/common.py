@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,22 +27,39 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a session of one process makes its own where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="gaugewell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+#: A row's place in a written table: a hash of its file's name, and its number in the file.
+FILE, ROW = "__x_file", "__x_row"
+_roots: list[str] = []
+
+
 class Scratch:
-    """Tables of one run in the shared folder, so that a lost executor costs a read and not a recomputation."""
+    """Tables of one run in the shared folder, so that a lost executor costs a read and not a recomputation.
+
+    An operator's result may read its tables later; drop_scratch removes those of all runs of
+    this session.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: list[str] = []
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{len(self.made)}"
@@ -66,14 +86,96 @@ class Scratch:
         self.drop(*before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-
-#: Rows of about 40 bytes that a join may send to every task.
-BROADCAST_ROWS = 500_000
-
-
-def small_side(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table as a join's side: sent to all tasks if its count allows, else left to a shuffle."""
-    return F.broadcast(table) if table.count() <= limit else table
+    def notes(self, notes: DataFrame, name: str) -> str:
+        """Notes on rows of a written table, at most one a row, as a file of notes beside each of its files.
+
+        notes has FILE, ROW and what is noted. Only they are shuffled, by file; the table's own rows
+        meet them where they are read (see noted), so its texts never move to learn whether they are wanted.
+        """
+        folder = self.path(name)
+        self.made.append(folder)
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            where, base = filesystem(folder)
+            where.create_dir(base, recursive=True)
+            held: list[pa.RecordBatch] = []
+            n = 0
+
+            def out() -> None:
+                file = held[0].column(FILE)[0].as_py()
+                under = f"{base}/.{file}-{uuid.uuid4().hex}"
+                table = pa.Table.from_batches(held).drop_columns([FILE]).combine_chunks()
+                with where.open_output_stream(under) as f, pa.ipc.new_file(f, table.schema) as sink:
+                    sink.write_table(table)
+                where.move(under, f"{base}/{file}")
+
+            for b in batches:
+                for part in _by_file(b):
+                    if held and held[0].column(FILE)[0] != part.column(FILE)[0]:
+                        out()
+                        held = []
+                    held.append(part)
+                    n += part.num_rows
+            if held:
+                out()
+            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+        dealt = notes.select(F.col(FILE).alias(FILE), F.col(ROW).alias(ROW), *(c for c in notes.columns if c not in (FILE, ROW)))
+        dealt = dealt.repartition(FILE).sortWithinPartitions(FILE, ROW)
+        dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+        return folder
+
+
+def located(table: DataFrame) -> DataFrame:
+    """A written table with FILE and ROW."""
+    return table.select("*", F.xxhash64("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+
+
+def _by_file(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if b.num_rows:
+        file = b.column(FILE).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.concatenate([[True], file[1:] != file[:-1]]))
+        for a, z in zip(cut, [*cut[1:], b.num_rows], strict=True):
+            yield b.slice(a, z - a)
+
+
+def noted(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.RecordBatch]]:
+    """Batches of a located table with their notes: (rows of one file, which of them are noted, their notes)."""
+    where, base = filesystem(folder)
+    held: int | None = None
+    for b in batches:
+        for part in _by_file(b):
+            file = part.column(FILE)[0].as_py()
+            if file != held:
+                held, path = file, f"{base}/{file}"
+                there = where.get_file_info(path).type != fs.FileType.NotFound
+                notes = pa.ipc.open_file(where.open_input_file(path)).read_all().combine_chunks() if there else None
+                rows = notes.column(ROW).to_numpy() if there else np.empty(0, np.int64)
+            own = part.column(ROW).to_numpy()
+            at = np.searchsorted(rows, own)
+            on = np.flatnonzero(at < len(rows))
+            on = on[rows[at[on]] == own[on]] if len(on) else on
+            yield part, on, notes.take(pa.array(at[on])) if len(on) else None
+
+
+def without_noted(table: DataFrame, folder: str) -> DataFrame:
+    """The rows of a written table that have no note."""
+    names = table.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, on, _ in noted(batches, folder):
+            keep = np.ones(part.num_rows, bool)
+            keep[on] = False
+            yield part.select(names).filter(pa.array(keep))
+
+    return located(table).mapInArrow(run, table.schema)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables of all runs of this session, also those that results still read."""
+    while _roots:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_roots.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def words_of(text: bytes | None) -> list[bytes]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, fingerprint, mix, shingles, signed, small_side, words_of
+from .common import FILE, ROW, Scratch, WordHashes, fingerprint, located, mix, noted, shingles, signed, without_noted, words_of
 from .graph import connected_components
 
 #: Members of a block of a band that is too large for one group.
@@ -72,15 +72,29 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _signed_rows(column: str, k: int, bands: int, rows: int):
+def _signed_rows(k: int, bands: int, rows: int):
+    """Rows with x_text to the same with set size, node and band keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            sets = [np.unique(shingles(cache.of(words_of(t)), k)) for t in b.column(column).cast(pa.binary()).to_pylist()]
+            sets = [np.unique(shingles(cache.of(words_of(t)), k)) for t in b.column("x_text").cast(pa.binary()).to_pylist()]
             keys = signed(band_keys(superminhash(sets, bands * rows), bands, rows))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
             node = pa.array([fingerprint(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), node, lists], ["id", "text_hash", "n_shingles", "node", "bands"])
+            added = [pa.array([len(s) for s in sets], pa.int64()), node, lists]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], [*b.schema.names, "n_shingles", "node", "bands"])
+
+    return run
+
+
+def _wanted_texts(folder: str):
+    """Texts of the noted rows, with their nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, on, notes in noted(batches, folder):
+            if len(on):
+                yield pa.RecordBatch.from_arrays([notes.column("node").combine_chunks(), part.column("x_text").take(pa.array(on))], ["node", "text"])
 
     return run
 
@@ -163,50 +177,26 @@ def _finish_band(k: int, percent: int):
     return run
 
 
-def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = 5, percent: int = 80, bands: int = 28, rows: int = 6, one_task: int = 1_000_000) -> DataFrame:
-    """Group rows whose sets of distinct k-word shingles have a Jaccard similarity of percent/100 or more.
-
-    Returns one row per input row: id, n_shingles (set size), component_id (smallest id
-    reachable over links, its own included), kept (id = component_id).
-
-    Equal sets are one node from the start, whatever their number. In each band a node is
-    first compared with the band's smallest node, on full sets; that costs in proportion
-    to the group and joins most near copies. Bands in which more than one component is
-    left are finished in groups of at most about 2 * BLOCK members (a larger band as
-    pairs of blocks), each from one inverted index, so every candidate is settled and
-    no pairs but links are emitted. A pair at the threshold is missed with probability
-    (1 - (percent/100)^rows)^bands: 2e-4 at 80 by default, 3e-5 at 85 with 27 bands of 7.
-
-    Null and word-less texts have no shingles and link with nothing; a text of fewer than
-    k words is one shingle. Repeated rows and repeated ids are rows of their own; rows
-    of equal sets share a component. A null id belongs to a component only through
-    the non-null ids in it. Columns beside id and text are ignored. Empty input gives
-    an empty result.
-    """
-    scratch = Scratch(df.sparkSession, "near")
-    base = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    hashed = base.withColumn("text_hash", F.xxhash64("text"))
-    id_type = base.schema["id"].dataType.simpleString()
-    sigs = hashed.mapInArrow(_signed_rows("text", k, bands, rows), f"id {id_type}, text_hash long, n_shingles long, node long, bands array<long>")
-    sigs = scratch.table(sigs, "signatures")
-    full = sigs.where("n_shingles > 0")
-    nodes = full.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.min("id").alias("min_id"), F.min_by("bands", "text_hash").alias("bands"))
+def _grouped(rows: DataFrame, scratch: Scratch, k: int, percent: int, bands: int, one_task: int) -> DataFrame:
+    """Signed rows, written, to (node, low): low is the first row of the node's component, as (without id, id, FILE, ROW)."""
+    first = F.min(F.struct(F.col("x_id").isNull().alias("no_id"), F.col("x_id").alias("id"), FILE, ROW))
+    nodes = located(rows).where("n_shingles > 0").groupBy("node").agg(first.alias("low"), F.first("bands").alias("bands"))
     nodes = scratch.table(nodes, "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     live = scratch.table(keyed.join(shared, "key"), "bands")
-    wanted = nodes.join(live.select("node").distinct(), "node").select("node", F.col("rep.id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
-    wanted = scratch.table(wanted, "wanted")
-    found = hashed.join(small_side(wanted), F.col("id").eqNullSafe(F.col("rid")) & F.col("text_hash").eqNullSafe(F.col("rhash"))).select("node", "text")
-    texts = scratch.table(found, "texts")
-    first = live.groupBy("key").agg(F.min("node").alias("c"))
-    pairs = live.join(first, "key").where("node != c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
+    wanted = nodes.join(live.select("node").distinct(), "node").select(F.col(f"low.{FILE}"), F.col(f"low.{ROW}"), "node")
+    folder = scratch.notes(wanted, "wanted")
+    texts = located(rows).select("x_text", FILE, ROW).mapInArrow(_wanted_texts(folder), "node long, text string")
+    texts = scratch.table(texts, "texts")
+    centre = live.groupBy("key").agg(F.min("node").alias("c"))
+    pairs = live.join(centre, "key").where("node != c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     links = scratch.table(both.mapInArrow(_verify(k, percent), "a long, b long"), "links")
     labels = scratch.table(connected_components(links, scratch, one_task), "labels")
 
-    left = live.join(first.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti")
+    left = live.join(centre.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti")
     marked = left.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("l"))
     mixed = marked.groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -216,10 +206,64 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", k: in
     last = split.join(texts, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     more = scratch.table(last.mapInArrow(_finish_band(k, percent), "a long, b long"), "links")
     labels = scratch.table(connected_components(links.unionByName(more), scratch, one_task), "labels")
-    grouped = nodes.join(labels, "node", "left").select("node", "min_id", F.coalesce("label", "node").alias("label"))
-    smallest = grouped.groupBy("label").agg(F.min("min_id").alias("component_id"))
-    member = grouped.join(smallest, "label").select("node", "component_id")
-    out = sigs.drop("bands", "text_hash").join(member, "node", "left")
-    out = out.select(F.col("id").alias(id), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    grouped = nodes.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
+    smallest = grouped.groupBy("label").agg(F.min("low").alias("low"))
+    return grouped.drop("low").join(smallest, "label").select("node", "low")
+
+
+def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = 5, percent: int = 80, bands: int = 28, rows: int = 6, one_task: int = 1_000_000) -> DataFrame:
+    """Group rows whose sets of distinct k-word shingles have a Jaccard similarity of percent/100 or more.
+
+    Returns one row per input row: id, n_shingles (set size), component_id (smallest id
+    reachable over links, its own included), kept (id = component_id).
+
+    Rows are written once with their signatures. Rows whose sets have the same 64-bit fingerprint are one node from
+    the start, whatever their number; sets and intersections are of 64-bit hashes of shingles. In
+    each band a node is first compared with the band's smallest node, on full sets; that costs in proportion
+    to the group and joins most near copies. Bands in which more than one component is
+    left are finished in groups of at most about 2 * BLOCK members (a larger band as
+    pairs of blocks), each from one inverted index, so every candidate is settled and
+    no pairs but links are emitted. A pair at the threshold is missed with probability
+    (1 - (percent/100)^rows)^bands: 2e-4 at 80 by default, 3e-5 at 85 with 27 bands of 7.
+
+    Null and word-less texts have no shingles and link with nothing; a text of fewer than
+    k words is one shingle; very long texts are read whole, their signatures in parts. Repeated
+    rows and repeated ids are rows of their own; rows
+    of equal sets share a component. A null id belongs to a component only through
+    the non-null ids in it. Columns beside id and text are ignored. Empty input gives
+    an empty result.
+    """
+    scratch = Scratch(df.sparkSession, "near")
+    base = df.select(F.col(id).alias("x_id"), F.col(text).cast("string").alias("x_text"))
+    signed_ = scratch.table(_signed(base, k, bands, rows), "rows")
+    member = _grouped(signed_, scratch, k, percent, bands, one_task).select("node", F.col("low.id").alias("component_id"))
+    out = signed_.select("x_id", "n_shingles", "node").join(member, "node", "left")
+    out = out.select(F.col("x_id").alias(id), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("x_id")).alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
     return scratch.finish(out)
+
+
+def _signed(base: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    from pyspark.sql import types as T
+
+    added = [("n_shingles", T.LongType()), ("node", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
+    return base.mapInArrow(_signed_rows(k, bands, rows), T.StructType([*base.schema.fields, *(T.StructField(n, t) for n, t in added)]))
+
+
+def drop_near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", k: int = 5, percent: int = 80, bands: int = 28, rows: int = 6, one_task: int = 1_000_000) -> DataFrame:
+    """df's rows without near copies, in df's columns: of each group as near_duplicates forms it, one row of the smallest id stays.
+
+    All columns are written once beside the signatures; what goes is noted by the rows' places, so
+    texts are not shuffled to learn it. Of rows that repeat an id in one group one stays; rows
+    without an id stay only where their group has no id. Rows without words stay.
+    """
+    scratch = Scratch(df.sparkSession, "near")
+    names = [f"x_{i}" for i in range(len(df.columns))]
+    wide = df.toDF(*names)
+    wide = wide.select("*", F.col(names[df.columns.index(id)]).alias("x_id"), F.col(names[df.columns.index(text)]).cast("string").alias("x_text"))
+    signed_ = scratch.table(_signed(wide, k, bands, rows), "rows")
+    member = _grouped(signed_, scratch, k, percent, bands, one_task)
+    own = located(signed_).where("n_shingles > 0").select(FILE, ROW, "node")
+    gone = own.join(member.select("node", F.col(f"low.{FILE}").alias("f"), F.col(f"low.{ROW}").alias("r")), "node")
+    folder = scratch.notes(gone.where((F.col(FILE) != F.col("f")) | (F.col(ROW) != F.col("r"))).select(FILE, ROW), "gone")
+    return without_noted(signed_.select(*names), folder).toDF(*df.columns)

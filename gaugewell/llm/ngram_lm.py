@@ -13,9 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Scratch, WordHashes, words_of
+from .common import CACHE_WORDS, Scratch, WordHashes, filesystem, words_of
 from .elias_fano import EliasFano, from_buffer, to_file
-from .packed_ids import _filesystem
 
 #: The token after a text's words and before its first: no word is empty.
 END = b""
@@ -67,7 +66,7 @@ def _unblob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _publish(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
-    where, base = _filesystem(folder)
+    where, base = filesystem(folder)
     where.create_dir(base, recursive=True)
     held = f"{base}/.{name}-{uuid.uuid4().hex}"
     with where.open_output_stream(held) as f:
@@ -79,8 +78,8 @@ def _publish(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
 def _mapped(uri: str) -> dict[str, np.ndarray]:
     """A published file, memory-mapped: in place if this machine sees it, else from a local copy that has no name any more."""
     if uri.startswith("file:"):
-        return from_buffer(np.memmap(_filesystem(uri)[1], np.uint8, "r"))
-    where, path = _filesystem(uri)
+        return from_buffer(np.memmap(filesystem(uri)[1], np.uint8, "r"))
+    where, path = filesystem(uri)
     with tempfile.NamedTemporaryFile() as copy:
         with where.open_input_stream(path) as source:
             shutil.copyfileobj(source, copy)

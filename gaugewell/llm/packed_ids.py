@@ -16,11 +16,10 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, filesystem
 from .tokens import binary_column
 
 MAGIC, VERSION, BLOCK_IDS = 0x4B434150444957, 1, 1 << 16
@@ -45,10 +44,6 @@ def unpack_bits(data: bytes, n: int, bits: int) -> np.ndarray:
     return flat.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
 class Writer:
     """One file, in one pass; documents come in order and one block is held."""
 
@@ -91,7 +86,7 @@ class Reader:
     """Random access by ids or documents; only the blocks asked for are read."""
 
     def __init__(self, uri: str) -> None:
-        where, path = _filesystem(uri)
+        where, path = filesystem(uri)
         self.file = where.open_input_file(path)
         size = self.file.size()
         magic, version, self.bits, self.block, blocks, docs, self.n_ids = (int(x) for x in np.frombuffer(self.file.read_at(56, size - 56), "<u8"))
@@ -154,7 +149,7 @@ def write_packed(df: DataFrame, scratch: Scratch, path: str, kind: str = "byte",
     dealt = dealt.repartition(ranges, "file").sortWithinPartitions("file", F.col("id").asc_nulls_first(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base = _filesystem(folder)
+        where, base = filesystem(folder)
         where.create_dir(base, recursive=True)
         current, writer, held, no = None, None, "", 0
 

@@ -111,20 +111,35 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", id: str
     against the first references, so that what is to be rejected does not shape them.
 
     Null and empty texts have no words and fail the base rules. Null or unlisted languages
-    are languages of their own, without the word test. Repeated rows and ids are rows of
+    are languages of their own, without the word test. Very long texts are counted whole. Repeated rows and ids are rows of
     their own. Extra columns are ignored. Empty input gives an empty result.
     """
-    scratch = Scratch(df.sparkSession, "quality")
     picked = df.select(F.col(id).alias("q_id"), F.col(lang).alias("q_lang"), F.col(text).cast("string").alias("q_body"))
     counted = document_counts(picked, "q_body", "q_lang").drop("q_body")
+    out = _judged(counted, max_char_js, max_word_js, (min_chars, min_words, min_reference_words), references)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return out.select(F.col("q_id").alias(id), *[F.col(f"q_{n}").alias(n) for n in names], "char_js", "word_js", "kept")
+
+
+def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", max_char_js: float = 0.025, max_word_js: float = 0.085, min_chars: int = 200, min_words: int = 100, min_reference_words: int = 1000, references: DataFrame | None = None) -> DataFrame:
+    """df's rows that quality_rules keeps, in df's columns. The rows are written once with their counts, so no join and no shuffle moves a text."""
+    names = [f"x_{i}" for i in range(len(df.columns))]
+    wide = df.toDF(*names)
+    wide = wide.select("*", F.col(names[df.columns.index(lang)]).alias("q_lang"), F.col(names[df.columns.index(text)]).cast("string").alias("q_body"))
+    counted = document_counts(wide, "q_body", "q_lang").drop("q_body")
+    out = _judged(counted, max_char_js, max_word_js, (min_chars, min_words, min_reference_words), references)
+    return out.where("kept").select(*names).toDF(*df.columns)
+
+
+def _judged(counted: DataFrame, max_char_js: float, max_word_js: float, guards: tuple[int, int, int], references: DataFrame | None) -> DataFrame:
+    """counted, written, with q_base_failed, char_js, word_js and kept."""
+    scratch = Scratch(counted.sparkSession, "quality")
     failed = (F.col("q_n_words") < 50) | (100 * F.col("q_n_repeat_words") > 50 * F.col("q_n_words"))
     counted = scratch.table(counted.withColumn("q_base_failed", failed), "counts")
-    guards = (min_chars, min_words, min_reference_words)
     fits = lambda x: (F.coalesce("char_js", F.lit(0.0)) <= x * max_char_js * (1 + 600 / F.greatest("q_chars", F.lit(1)))) & (F.coalesce("word_js", F.lit(0.0)) <= x * max_word_js)
     if references is None:
         sound = counted.where("not q_base_failed")
         first = scratch.table(language_references(sound), "references")
         references = scratch.table(language_references(diverge(sound, first, *guards).where(fits(2))), "references")
     out = diverge(counted, references, *guards)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(F.col("q_id").alias(id), *[F.col(f"q_{n}").alias(n) for n in names], "char_js", "word_js", (~F.col("q_base_failed") & fits(1)).alias("kept"))
+    return out.withColumn("kept", ~F.col("q_base_failed") & fits(1))

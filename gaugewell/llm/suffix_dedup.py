@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, WordHashes, fingerprint, mix, signed, small_side, words_of
+from .common import FILE, ROW, Scratch, WordHashes, fingerprint, located, mix, noted, signed, words_of
 
-#: Words of the k-gram that selects a position; the least length of a passage is at least this.
+#: Words of the k-gram that selects a position.
 GRAM = 8
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -63,247 +65,262 @@ def minimisers(windows: Windows, length: int) -> tuple[np.ndarray, np.ndarray]:
     return place, g[place]
 
 
-def _parts(windows: Windows, place: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, range]]:
-    """Per part: which places have its words, their keys, and how far before a place its windows start."""
-    third = (length - GRAM) // 3 + 1
-    for i in range(3):
-        left = i * third
-        most = min(left + third - 1, length - GRAM)
-        right = max(GRAM, length - most)
-        ok = np.flatnonzero((place >= left) & (place + right <= windows.n))
-        yield ok, mix(windows.at(place[ok] - left, left + right) ^ np.uint64(i + 1)), range(left, most + 1)
+def half(length: int) -> int:
+    """Words of the windows that select positions: a passage has one among the first half of its words."""
+    return length // 2
 
 
-def contexts(windows: Windows, place: np.ndarray, length: int) -> np.ndarray:
-    """Sort keys of the retained suffixes: each selected place with part of its words to the left and to the right.
+def suffix_keys(windows: Windows, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) of the retained suffixes: a key is the hash of the first words of the suffix, as many as any passage has from there on.
 
-    A passage of length words around a place has at least one of the parts on both
-    sides, whatever its offset, so two places of one passage are neighbours under
-    at least one key.
+    The first half of a passage's words selects a place at which its words end a GRAM at the latest, so the rest of
+    the passage from there is at least length - half + GRAM words.
     """
-    return np.unique(np.concatenate([keys for _, keys, _ in _parts(windows, place, length)]))
+    place, _ = minimisers(windows, half(length))
+    place = place[place + length - half(length) + GRAM <= windows.n]
+    return place, windows.at(place, length - half(length) + GRAM)
 
 
-def whole_windows(windows: Windows, keys: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the windows of length words that stand around a place with one of keys and have their smallest k-gram there.
+def whole_windows(windows: Windows, place: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the windows of length words whose first half selects one of place: the matches' possible extensions to both sides."""
+    most = half(length) - GRAM
+    g = windows.at(np.arange(windows.n - GRAM + 1), GRAM)
+    low = _sliding(g, most + 1, np.minimum)
+    start = (place[:, None] - np.arange(most + 1)).ravel()
+    least = np.repeat(g[place], most + 1)
+    inside = (start >= 0) & (start + length <= windows.n)
+    start, least = start[inside], least[inside]
+    return np.unique(start[low[start] == least])
+
+
+def _suffixes(length: int):
+    """Rows with x_text to the same with node, number of words, and the places and keys of the retained suffixes."""
 
-    Where a window starts before its place says which part's key it goes with, so equal
-    windows are under equal keys.
-    """
-    place, g = minimisers(windows, length)
-    low = _sliding(windows.at(np.arange(windows.n - GRAM + 1), GRAM), length - GRAM + 1, np.minimum)
-    out = [np.empty(0, np.uint64)]
-    for ok, found, lefts in _parts(windows, place, length):
-        ok = ok[np.isin(found, keys)]
-        start = (place[ok, None] - np.array(lefts)).ravel()
-        least = np.repeat(g[ok], len(lefts))
-        inside = (start >= 0) & (start < len(low))
-        start, least = start[inside], least[inside]
-        out.append(windows.at(start[low[start] == least], length))
-    return np.unique(np.concatenate(out))
-
-
-def _keyed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
+        none = np.empty(0, np.int64)
         for b in batches:
-            node, n, keys = [], [], []
-            for t in b.column("text").cast(pa.binary()).to_pylist():
+            node, n, places, keys = [], [], [], []
+            for t in b.column("x_text").cast(pa.binary()).to_pylist():
                 h = cache.of(words_of(t))
-                w = Windows(h) if len(h) >= length else None
                 node.append(fingerprint(h))
                 n.append(len(h))
-                keys.append(signed(contexts(w, minimisers(w, length)[0], length)) if w else np.empty(0, np.int64))
-            at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), lists], ["id", "text_hash", "node", "n_words", "keys"])
+                p, k = suffix_keys(Windows(h), length) if len(h) >= length else (none, none)
+                places.append(p)
+                keys.append(signed(k))
+            at = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([none, *x]).astype(kind))) for x, kind in ((places, np.int32), (keys, np.int64))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64()), pa.array(n, pa.int64()), *lists], [*b.schema.names, "node", "n_words", "places", "keys"])
 
     return run
 
 
-def _windowed(length: int):
-    """(o, text, keys) to a row per different whole window under the keys: (o, window)."""
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes (key, node, place) to those that have a neighbour of the same key from another node.
+
+    The first and the last run of a partition may go on in its neighbours, so all of their
+    members stay. A run is held only until its second node comes.
+    """
+    held: list[pa.RecordBatch] = []
+    live = False  # whether the run that goes on from batch to batch stays
+    key = node = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, d = (b.column(c).to_numpy() for c in ("key", "node"))
+        cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        end = np.concatenate([cut[1:], [len(k)]])
+        keep = d[cut] != d[end - 1]  # sorted by node inside a run
+        on = key is not None and k[0] == key
+        if on:
+            live = live or bool(d[0] != node) or bool(keep[0])
+            keep[0] = live
+            if live:
+                yield from held
+        if not on or live or len(cut) > 1:
+            held = []
+        if key is None:
+            keep[0] = True
+        if len(cut) > 1 or not on:
+            live = bool(keep[-1])
+        key, node = k[-1], d[-1]
+        mask = np.repeat(keep, end - cut)
+        if not keep[-1]:
+            held.append(b.slice(int(cut[-1])))
+        if mask.any():
+            yield b.filter(pa.array(mask))
+    yield from held  # the last run
+
+
+def _windowed(folder: str, length: int):
+    """Noted texts to a row per window of length words around the noted places: (o, node, s, w), w being the window's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for b in batches:
-            at, found = [], []
-            for i, t in enumerate(b.column("text").cast(pa.binary())):
-                keys = b.column("keys")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                found.append(signed(whole_windows(Windows(cache.of(words_of(t.as_py()))), keys, length)))
-                at.append(np.full(len(found[-1]), i))
-            if at:
-                yield pa.RecordBatch.from_arrays([b.column("o").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(found), pa.int64())], ["o", "window"])
+        for part, on, notes in noted(batches, folder):
+            if not len(on):
+                continue
+            at, starts, hashes = [], [], []
+            texts = part.column("x_text").take(pa.array(on)).cast(pa.binary())
+            places = notes.column("places").combine_chunks()
+            for i in range(len(on)):
+                windows = Windows(cache.of(words_of(texts[i].as_py())))
+                s = whole_windows(windows, np.unique(places[i].values.to_numpy(zero_copy_only=False)).astype(np.int64), length)
+                at.append(np.full(len(s), i))
+                starts.append(s)
+                hashes.append(signed(windows.at(s, length)))
+            rows = pa.array(np.concatenate(at))
+            own = [notes.column(c).combine_chunks().take(rows) for c in ("o", "node")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(hashes))], ["o", "node", "s", "w"])
 
     return run
 
 
-def index(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, sorted hashes of all windows of length words, the first place of each)."""
-    n = max(0, len(h) - length + 1)
-    return h, *np.unique(Windows(h).at(np.arange(n), length), return_index=True)
-
-
-def shared_passages(a: tuple, b: tuple, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which words of a and of b, as index gives them, lie in runs of at least length words that both have."""
-    return _covered(a, b, length), _covered(b, a, length)
-
-
-def _covered(a: tuple, b: tuple, length: int) -> np.ndarray:
-    """Words of a in windows that b has too. Every window of a is looked up, so repeats inside a text hide nothing; words are then compared."""
-    h, other = a[0], b[0]
-    cover = np.zeros(len(h), bool)
-    if not len(a[1]) or not len(b[1]):
-        return cover
-    w = Windows(h).at(np.arange(len(h) - length + 1), length)
-    at = np.minimum(np.searchsorted(b[1], w), len(b[1]) - 1)
-    found = np.flatnonzero(b[1][at] == w)
-    place = b[2][at[found]]
-    for part in np.split(np.arange(len(found)), np.flatnonzero((np.diff(found) != 1) | (np.diff(place) != 1)) + 1):
-        if len(part):
-            s, t, n = found[part[0]], place[part[0]], len(part) + length - 1
-            for x, y in _runs(h[s : s + n] == other[t : t + n]):
-                cover[s + x : s + y] |= y - x >= length
-    return cover
-
-
 def _runs(cover: np.ndarray) -> list[list[int]]:
     x = np.concatenate([[False], cover, [False]])
     return np.flatnonzero(x[1:] != x[:-1]).reshape(-1, 2).tolist()
 
 
-def _extend(length: int):
-    """Pairs of texts to the spans that both have: (node, start, end, other's order id, whether the other comes first)."""
+def _retained(base: DataFrame, length: int) -> DataFrame:
+    added = [("node", T.LongType()), ("n_words", T.LongType()), ("places", T.ArrayType(T.IntegerType())), ("keys", T.ArrayType(T.LongType()))]
+    return base.mapInArrow(_suffixes(length), T.StructType([*base.schema.fields, *(T.StructField(n, t) for n, t in added)]))
+
+
+def _passages(rows: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """Retained rows, written, to spans: id, FILE, ROW, start_word, end_word, other_id, removable."""
+    long_ = located(rows.select("x_id", "node", "n_words")).where(F.col("n_words") >= length)
+    first = F.min(F.struct(F.col("x_id").isNull().alias("no_id"), F.col("x_id").alias("id"), FILE, ROW))
+    nodes = long_.groupBy("node").agg(first.alias("low"), F.max("x_id").alias("max_id"), F.count(F.lit(1)).alias("copies"))
+    nodes = nodes.select("node", "low", "max_id", "copies", F.coalesce("low.id", "node").alias("o"))
+    nodes = scratch.table(nodes, "nodes")
+
+    # the suffixes in order of their first words, of each node once, compared with their neighbours
+    own = located(rows.select("node", "places", "keys")).where(F.size("keys") > 0)
+    chosen = nodes.where("copies > 1").select(F.col("node").alias("n"), F.col(f"low.{FILE}").alias("f"), F.col(f"low.{ROW}").alias("r"))
+    others = long_.select("node", FILE, ROW).join(chosen, F.col("node") == F.col("n")).where((F.col(FILE) != F.col("f")) | (F.col(ROW) != F.col("r")))
+    again = scratch.notes(others.select(FILE, ROW), "copies")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, on, _ in noted(batches, again):
+            keep = np.ones(part.num_rows, bool)
+            keep[on] = False
+            part = part.filter(pa.array(keep))
+            if part.num_rows:
+                keys = part.column("keys")
+                yield pa.RecordBatch.from_arrays([keys.flatten(), part.column("node").take(pc.list_parent_indices(keys)), part.column("places").flatten()], ["key", "node", "place"])
+
+    suffixes = scratch.table(own.mapInArrow(once, "key long, node long, place int"), "suffixes")
+    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ("key", "node", "place")
+    array = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    runs = array.mapInArrow(_neighbours, "key long, node long, place int")
+    places = runs.groupBy("node").agg(F.collect_list("place").alias("places"))
+    wanted = places.join(nodes.select("node", "o", f"low.{FILE}", f"low.{ROW}"), "node").select(FILE, ROW, "node", "o", "places")
+    folder = scratch.notes(wanted, "wanted")
+
+    # matches extended to both sides: every window around a retained place, and who has it
+    texts = located(rows.select("x_text")).mapInArrow(_windowed(folder, length), "o long, node long, s int, w long")
+    windows = scratch.table(texts, "windows")
+    who = F.struct("o", "node")
+    classes = windows.groupBy("w").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo.node != hi.node")
+    shared = windows.join(classes, "w").withColumn("later", F.col("node") != F.col("lo.node"))
+    shared = shared.select("node", "s", "later", F.when(F.col("later"), F.col("lo.o")).otherwise(F.col("hi.o")).alias("other"))
+    by = Window.partitionBy("node", "later").orderBy("s")
+    marked = shared.withColumn("new", F.coalesce(F.col("s") > F.lag("s").over(by) + length, F.lit(True)).cast("int"))
+    marked = marked.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = marked.groupBy("node", "later", "island").agg(F.min("s").cast("long").alias("s"), (F.max("s") + length).cast("long").alias("e"), F.min("other").alias("other"))
+    spans = scratch.table(spans.select("node", "s", "e", "other", "later"), "spans")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+    # the first row of a node has its spans; of a node with copies all other rows are removable whole
+    base = long_.join(nodes, "node").withColumn("is_first", (F.col(FILE) == F.col(f"low.{FILE}")) & (F.col(ROW) == F.col(f"low.{ROW}")))
+    parts = base.where("is_first").select("x_id", FILE, ROW, "node").join(spans, "node").drop("node")
+    whole = base.where("copies > 1").select("x_id", FILE, ROW, F.lit(0).cast("long").alias("s"), F.col("n_words").alias("e"), F.when(F.col("is_first"), F.col("max_id")).otherwise(F.col("low.id")).alias("other"), (~F.col("is_first")).alias("later"))
+    out = parts.unionByName(whole)
+    return out.select(F.col("x_id").alias("id"), FILE, ROW, F.col("s").alias("start_word"), F.col("e").alias("end_word"), F.col("other").alias("other_id"), F.col("later").alias("removable"))
 
-        last, held = None, None
-        for b in batches:
-            rows: list[tuple] = []
-            ta, tb = (b.column(x).cast(pa.binary()) for x in ("text_a", "text_b"))
-            for i, (na, nb, oa, ob) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "b", "oa", "ob")), strict=True)):
-                if na != last:
-                    last, held = na, index(cache.of(words_of(ta[i].as_py())), length)
-                ca, cb = shared_passages(held, index(cache.of(words_of(tb[i].as_py())), length), length)
-                rows += [(na, s, e, ob, False) for s, e in _runs(ca)] + [(nb, s, e, oa, True) for s, e in _runs(cb)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            names = ["node", "s", "e", "other", "later"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
-    return run
+def _check(length: int) -> None:
+    if length < 4 * GRAM:
+        raise ValueError(f"length must be at least {4 * GRAM}")
 
 
 def repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", length: int = 50) -> DataFrame:
     """Passages of at least length words that stand in two or more rows, words lower-cased in A-Z only.
 
     Returns a row per row of df and maximal span of its words: id, start_word, end_word
-    (exclusive), other_id (the smallest other id found to have words of the span), removable
-    (the words also stand in a row of a smaller id: all but one occurrence are).
+    (exclusive), other_id (of another row that has words of the span: the smallest one where the span is removable),
+    removable (each window of length words in the span also stands in a row before this one, by id: all but
+    one occurrence are). A row can have spans of both kinds, which may overlap.
 
     Rows of equal word sequences are one node from the start; in all of them but that of the
-    smallest id the whole text is removable. Suffixes are kept at the minimisers of each
-    length-word window and sorted by their words to both sides. The two members of a run of
-    equal sort keys are compared; in a longer run the whole windows around the places are
-    grouped, and each member is compared with the one of the smallest id that has the same
-    window. Of both texts of a pair every window is then looked up in the other, and the
-    windows found make up the spans. So pairs grow with the rows and not with the square of a group,
-    and no window that two texts have goes without a pair. Repeats inside one text alone
-    are not reported.
-
-    Null texts and texts of fewer than length words have no passages. Null ids are compared as
-    others are, in a fixed order of their own. Repeated rows are copies of each other.
+    smallest id the whole text is removable. The suffixes that are retained start at the minimisers of each
+    window of length / 2 words. They are sorted by a hash of as many words as any passage has from there on, in ranges
+    that split runs of any size, and compared with their neighbours; those without an equal neighbour go. The others are
+    extended to both sides: each window of length words around such a place is compared with those of all other
+    texts by its hash, in one aggregation, so what is told of a window is exact for all rows whatever their number, and
+    the union of these windows is the maximal spans. Work follows the words in repeated
+    places, not the pairs of texts. Words are compared by 64-bit hashes. Repeats inside one text
+    alone are not reported.
+
+    Null texts and texts of fewer than length words have no passages; very long texts are read whole. Null ids are compared as
+    others are, after all others. Repeated rows are copies of each other. Rows of one id with different texts are
+    different rows, and other_id can then be the id itself.
     Extra columns are ignored; id must be integral. Empty input gives an empty result.
     """
-    if length < 3 * GRAM:
-        raise ValueError(f"length must be at least {3 * GRAM}")
+    _check(length)
     scratch = Scratch(df.sparkSession, "suffix")
-    hashed = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = scratch.table(hashed.mapInArrow(_keyed(length), "id long, text_hash long, node long, n_words long, keys array<long>"), "rows")
-    long_ = rows.where(F.col("n_words") >= length)
-    nodes = long_.groupBy("node").agg(F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "text_hash")).alias("rep"))
-    nodes = scratch.table(nodes.withColumn("o", F.coalesce("min_id", "node")), "nodes")
-    chosen = nodes.select("node", "o", F.col("rep.id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
-    kept = long_.join(chosen, "node").where(F.col("id").eqNullSafe(F.col("rid")) & F.col("text_hash").eqNullSafe(F.col("rhash")))
-    suffixes = scratch.table(kept.select("o", "node", F.explode("keys").alias("key")), "suffixes")
-    groups = suffixes.groupBy("key").agg(F.min("o").alias("low"), F.max("o").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high")
-    runs = scratch.table(suffixes.join(groups, "key").select("o", "node", "key", "low", "high", "members"), "runs")
-    wanted = scratch.table(runs.select("node").distinct().join(chosen, "node"), "wanted")
-    found = hashed.join(small_side(wanted), F.col("id").eqNullSafe(F.col("rid")) & F.col("text_hash").eqNullSafe(F.col("rhash"))).select("node", "o", "text")
-    texts = scratch.table(found, "texts")
-    hot = runs.where("members > 2").groupBy("node").agg(F.collect_set("key").alias("keys"))
-    windows = texts.join(hot, "node").select("o", "text", "keys").mapInArrow(_windowed(length), "o long, window long")
-    windows = scratch.table(windows, "windows")
-    lows = windows.groupBy("window").agg(F.min("o").alias("low"), F.max("o").alias("high")).where("low != high").select("window", "low")
-    pairs = windows.join(lows, "window").select(F.col("low").alias("oa"), F.col("o").alias("ob")).where("oa != ob")
-    pairs = pairs.union(runs.where("members = 2").select("low", "high")).distinct()
-    by_o = nodes.select("o", "node")
-    pairs = pairs.join(by_o.toDF("oa", "a"), "oa").join(by_o.toDF("ob", "b"), "ob").where("a != b")
-    pairs = scratch.table(pairs, "pairs")
-    texts = texts.drop("o")
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    spans = both.select("a", "b", "oa", "ob", "text_a", "text_b").mapInArrow(_extend(length), "node long, s long, e long, other long, later boolean")
-    spans = scratch.table(spans.groupBy("node", "s", "e", "later").agg(F.min("other").alias("other")), "spans")
-
-    copies = F.col("copies") > 1
-    base = rows.join(nodes.drop("rep", "o"), "node")
-    # copies of one text: all but one row of the smallest id go; which of equal rows stays is told by their number
-    at = F.row_number().over(Window.partitionBy("node", "id").orderBy("text_hash"))
-    firsts = base.where(copies & (F.col("id").eqNullSafe(F.col("min_id")))).withColumn("at", at)
-    firsts = firsts.select("id", "text_hash", "node", "n_words", "min_id", "max_id", F.col("at") > 1)
-    rest = base.where(copies & ~F.col("id").eqNullSafe(F.col("min_id"))).select("id", "text_hash", "node", "n_words", "min_id", "max_id", F.lit(True))
-    whole = firsts.union(rest).toDF("id", "text_hash", "node", "n_words", "min_id", "max_id", "later")
-    whole = whole.select("id", "node", F.lit(0).cast("long").alias("s"), F.col("n_words").alias("e"), F.when(F.col("id").eqNullSafe(F.col("min_id")), F.col("max_id")).otherwise(F.col("min_id")).alias("other"), "later")
-    # a copy that goes whole needs no other span; every other row has those of its node
-    single = base.where(~copies).select("id", "node")
-    stays = single.unionByName(whole.where("not later").select("id", "node"))
-    parts = stays.join(spans, "node").select("id", "node", "s", "e", "other", "later")
-    every = parts.unionByName(whole)
-    by = Window.partitionBy("id", "node", "later").orderBy("s", "e")
-    reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = every.withColumn("new", F.coalesce(F.col("s") > reach, F.lit(True)).cast("int"))
-    marked = marked.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    out = marked.groupBy("id", "node", "later", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("other").alias("other_id"))
-    return scratch.finish(out.select(F.col("id").alias(id), "start_word", "end_word", "other_id", F.col("later").alias("removable")))
+    base = df.select(F.col(id).cast("long").alias("x_id"), F.col(text).cast("string").alias("x_text"))
+    rows = scratch.table(_retained(base, length), "rows")
+    return scratch.finish(_passages(rows, scratch, length).drop(FILE, ROW).withColumnRenamed("id", id))
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def cut_passages(df: DataFrame, passages: DataFrame, text: str = "text", id: str = "doc_id", n_chars: str | None = "n_chars") -> DataFrame:
-    """df with the removable spans of passages cut from its texts; a row of which no word is left goes.
+def _cut(text: bytes, gone: np.ndarray, words: list[tuple[int, int]]) -> bytes:
+    """A text without the words that go, and without what stands between each of them and the next word."""
+    out, last = [], 0
+    for s, e in _runs(gone):
+        out.append(text[last : words[s][0]])
+        last = words[e][0] if e < len(words) else len(text)
+    out = b"".join([*out, text[last:]])
+    return out.rstrip(b"\x20\x09\x0a\x0b\x0c\x0d") if last == len(text) else out
+
 
-    Columns and their order stay; n_chars, if df has it, is counted anew where a text changes. Ids
-    must identify rows of df.
+def cut_repeated_passages(df: DataFrame, text: str = "text", id: str = "doc_id", length: int = 50, n_chars: str | None = "n_chars") -> DataFrame:
+    """df's rows, in df's columns, with the removable spans of repeated_passages cut from their texts; a row of which no word is left goes.
+
+    Columns and their order stay; n_chars, if df has it, is counted anew where a text changes. All columns are written once
+    beside the suffixes; spans are noted by the rows' places, so whole texts are not shuffled. text must be a string column.
     """
-    spans = passages.where("removable").groupBy(id).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("x_spans"))
-    spans = Scratch(df.sparkSession, "cuts").table(spans, "spans")
-    joined = df.join(small_side(spans), id, "left")
-    whole = joined.where("x_spans is null").drop("x_spans")
-    names = df.columns
+    _check(length)
+    scratch = Scratch(df.sparkSession, "cuts")
+    names = [f"x_{i}" for i in range(len(df.columns))]
+    own, counted = names[df.columns.index(text)], names[df.columns.index(n_chars)] if n_chars in df.columns else None
+    wide = df.toDF(*names)
+    wide = wide.select("*", F.col(names[df.columns.index(id)]).cast("long").alias("x_id"), F.col(own).cast("string").alias("x_text"))
+    rows = scratch.table(_retained(wide, length), "rows")
+    spans = _passages(rows, scratch, length).where("removable").groupBy(FILE, ROW).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    folder = scratch.notes(spans, "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, texts = [], []
-            for i, (t, spans) in enumerate(zip(b.column(text).cast(pa.binary()).to_pylist(), b.column("x_spans").to_pylist(), strict=True)):
-                at = [m.span() for m in _WORD.finditer(t)]
-                gone = np.zeros(len(at), bool)
-                for s in spans:
-                    gone[s["start_word"] : s["end_word"]] = True
-                if gone.all():
-                    continue
-                out, last = [], 0
-                for s, e in _runs(gone):
-                    out.append(t[last : at[s][0]])
-                    last = at[e][0] if e < len(at) else len(t)
-                keep.append(i)
-                texts.append(b"".join([*out, t[last:]]).rstrip(b"\x20\x09\x0a\x0b\x0c\x0d") if last == len(t) else b"".join([*out, t[last:]]))
-            rows = pa.array(keep, pa.int64())
-            columns = {c: b.column(c).take(rows) for c in names}
-            columns[text] = pa.array([x.decode("utf-8", "replace") for x in texts], b.schema.field(text).type)
-            if n_chars in names:
-                columns[n_chars] = pa.array([len(x) for x in columns[text].to_pylist()], b.schema.field(n_chars).type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-
-    return whole.select(*names).unionByName(joined.where("x_spans is not null").mapInArrow(cut, joined.select(*names).schema))
+        for part, on, notes in noted(batches, folder):
+            columns = {c: part.column(c) for c in names}
+            left = np.ones(part.num_rows, bool)
+            if len(on):
+                texts, lists = [], notes.column("spans").to_pylist()
+                for i, t, found in zip(on.tolist(), columns[own].take(pa.array(on)).cast(pa.binary()).to_pylist(), lists, strict=True):
+                    words = [m.span() for m in _WORD.finditer(t)]
+                    gone = np.zeros(len(words), bool)
+                    for x in found:
+                        gone[x["start_word"] : x["end_word"]] = True
+                    left[i] = not gone.all()
+                    texts.append(_cut(t, gone, words).decode("utf-8", "replace"))
+                mask = np.zeros(part.num_rows, bool)
+                mask[on] = True
+                columns[own] = pc.replace_with_mask(columns[own], pa.array(mask), pa.array(texts, columns[own].type))
+                if counted:
+                    columns[counted] = pc.replace_with_mask(columns[counted], pa.array(mask), pa.array([len(x) for x in texts], columns[counted].type))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(left))
+
+    return located(rows.select(*names)).mapInArrow(cut, rows.select(*names).schema).toDF(*df.columns)

@@ -10,7 +10,7 @@ from gaugewell.llm.graph import connected_components, union_find
 from gaugewell.llm.common import Scratch
 from gaugewell.llm.near_dedup import near_duplicates, superminhash
 from gaugewell.llm.quality_rules import quality_rules
-from gaugewell.llm.suffix_dedup import Windows, cut_passages, index, minimisers, repeated_passages, shared_passages
+from gaugewell.llm.suffix_dedup import Windows, _neighbours, cut_repeated_passages, minimisers, repeated_passages
 
 
 def split(t):
@@ -157,7 +157,7 @@ def test_repeated_passages(docs, plain, none):
             removable[r.doc_id].update(range(r.start_word, r.end_word))
     assert {i: s for i, s in got.items()} == {r[0]: c for r, c in zip(data, coverage(data), strict=True) if c}
     assert 11 not in removable and len(removable[12]) == 70 and 1 not in removable and len(removable[20]) == 120
-    cut = {r.doc_id: r for r in cut_passages(plain, passages).collect()}
+    cut = {r.doc_id: r for r in cut_repeated_passages(plain).collect()}
     assert 2 not in cut and 20 not in cut and split(cut[1].text) == split(data[0][1])
     assert split(cut[12].text) == [w for j, w in enumerate(split(dict((r[0], r[1]) for r in data)[12])) if j not in removable[12]]
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in cut.values())
@@ -182,17 +182,47 @@ def test_middle_members_of_a_frequent_passage(spark):
     assert {tuple(r) for r in got} == want
 
 
-def test_shared_passages_with_lines_that_repeat():
+def test_passages_with_lines_that_repeat(spark):
     """The line that stands earlier in both texts holds the passage's only minimiser in some of the cases."""
-    rng = np.random.default_rng(4)
-    for _ in range(200):
-        passage = rng.integers(0, 2**63, 60).astype(np.uint64)
+    data, want = [], set()
+    for k in range(100):
+        passage = prose(60, 10_000 + k, 10**6).split()
         line = passage[20:40]
-        words = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (30, 40, 30, 70, 30, 30)]
-        a = np.concatenate([words[0], line, words[1], passage, words[4]])
-        b = np.concatenate([words[2], line, words[3], passage, words[5]])
-        ca, cb = shared_passages(index(a, 50), index(b, 50), 50)
-        assert np.flatnonzero(ca).tolist() == list(range(90, 150)) and np.flatnonzero(cb).tolist() == list(range(120, 180))
-    same = np.full(300, 5, np.uint64)
-    assert all(c.all() for c in shared_passages(index(same, 50), index(same[:60], 50), 50))
-    assert not any(c.any() for c in shared_passages(index(same, 50), index(same[:49], 50), 50))
+        words = [prose(n, 20_000 + 10 * k + j, 10**6).split() for j, n in enumerate((30, 40, 30, 70, 30, 30))]
+        data.append((2 * k, " ".join([*words[0], *line, *words[1], *passage, *words[4]])))
+        data.append((2 * k + 1, " ".join([*words[2], *line, *words[3], *passage, *words[5]])))
+        want |= {(2 * k, 90, 150, 2 * k + 1, False), (2 * k + 1, 120, 180, 2 * k, True)}
+    data += [(1000, "same " * 300), (1001, "same " * 60), (1002, "same " * 49)]
+    want |= {(1000, 0, 300, 1001, False), (1001, 0, 60, 1000, True)}
+    got = repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert {tuple(r) for r in got} == want
+
+
+def test_rows_of_one_id_share_a_passage(spark):
+    common = prose(80, 1, 10**6)
+    data = [(1, f"{prose(60, 2, 10**6)} {common}"), (1, f"{common} {prose(60, 3, 10**6)}"), (2, prose(90, 4, 10**6)), (None, f"{prose(30, 5, 10**6)} {common}")]
+    got = Counter(tuple(r) for r in repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    spans = Counter((r[0], r[1], r[2]) for r in got.elements())
+    assert spans == Counter([(1, 60, 140), (1, 0, 80), (None, 30, 110)])
+    assert sum(not r[4] for r in got.elements()) == 1
+    cut = [r.text for r in cut_repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    assert len(cut) == 4 and sum(common in t for t in cut) == 1
+
+
+def test_suffixes_with_equal_neighbours():
+    """In any cut of the sorted suffixes into batches: runs of more than one node stay, and the first and last run."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        rows = sorted(zip(rng.integers(0, 9, 25).tolist(), rng.integers(0, 3, 25).tolist(), range(25), strict=True))
+        cuts = sorted(rng.integers(0, 26, 4).tolist())
+        table = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+        whole = pa.RecordBatch.from_arrays(table, ["key", "node", "place"])
+        batches = [whole.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, 25], strict=True)]
+        got = [tuple(r.values()) for b in _neighbours(iter(batches)) for r in b.to_pylist()]
+        nodes = defaultdict(set)
+        for k, n, _ in rows:
+            nodes[k].add(n)
+        ends = {rows[0][0], rows[-1][0]}
+        assert sorted(got) == [r for r in rows if len(nodes[r[0]]) > 1 or r[0] in ends]
