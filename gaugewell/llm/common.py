@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,6 +172,15 @@ def without_noted(table: DataFrame, folder: str) -> DataFrame:
     return located(table).mapInArrow(run, table.schema)
 
 
+def written_order(df: DataFrame, major: str, minor: str) -> DataFrame:
+    """df with the order of its rows as they were written: the files' names, which writers number, and places in files. Of a frame that reads no files, its partitions and places in them."""
+    try:
+        return df.select("*", F.col("_metadata.file_path").alias(major), F.col("_metadata.row_index").alias(minor))
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        return df.select("*", F.lpad(F.shiftright(at, 33).cast("string"), 10, "0").alias(major), at.bitwiseAND(F.lit((1 << 33) - 1)).alias(minor))
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the tables of all runs of this session, also those that results still read."""
     while _roots:
@@ -236,13 +246,16 @@ def hash_bucket(seed: int, buckets_log2: int, *cols: str):
     return h, F.shiftrightunsigned(h, 64 - buckets_log2).cast("int")
 
 
-def rank_within(df: DataFrame, key: str, ties: list[str], buckets_log2: int, seed: int) -> DataFrame:
-    """df with __x_rank: 0, 1, ... within each value of key, in a fixed pseudo-random order.
+def rank_within(df: DataFrame, key: str, ties: list[str], buckets_log2: int, seed: int, at: tuple[str, int] | None = None) -> DataFrame:
+    """df with __x_rank: 0, 1, ... within each value of key, in a fixed pseudo-random order, or in that of a column of numbers from 0 to below an end (at).
 
     A value's rows are numbered in hash buckets, whose counts give each bucket its first
     number; so a value that a third of all rows have is spread over many tasks.
     """
-    h, bucket = hash_bucket(seed, buckets_log2, *ties)
+    if at:
+        h, bucket = F.col(at[0]), F.floor(F.col(at[0]) / max(1, at[1]) * (1 << buckets_log2)).cast("int")
+    else:
+        h, bucket = hash_bucket(seed, buckets_log2, *ties)
     rows = df.withColumn("__x_hash", h).withColumn("__x_bucket", bucket)
     before = rows.groupBy(F.col(key).alias("__x_key"), F.col("__x_bucket").alias("__x_at")).count()
     by = Window.partitionBy("__x_key").orderBy("__x_at").rowsBetween(Window.unboundedPreceding, -1)

@@ -61,6 +61,63 @@ def test_best_fit_and_search():
     assert len(packing.plan({}, 10)) == 0
 
 
+def test_search_ends_by_itself_and_in_tiles():
+    """Middle lengths, where best fit is far from the bound; then very many documents by tiles."""
+    rng = random.Random(3)
+    counts = Counter(rng.randint(500, 1000) for _ in range(20_000))
+    start = packing.best_fit(counts, 2048)
+    end = packing.local_search(start, 2048)
+    assert sum(end.values()) < 0.97 * sum(start.values())
+    held = Counter()
+    for p, k in end.items():
+        for x in p:
+            held[x] += k
+    assert held == counts and all(sum(p) <= 2048 for p in end)
+    for capacity, low, high in ((100, 1, 100), (100, 20, 45)):
+        counts = Counter(rng.randint(low, high) for _ in range(5000))
+        many = Counter({k: 1000 * n + rng.randint(0, 999) for k, n in counts.items()})
+        bins, held = packing.solve(many, capacity, tile=5000), Counter()
+        for p, k in bins.items():
+            assert sum(p) <= capacity
+            for x in p:
+                held[x] += k
+        one = packing.solve(counts, capacity)
+        full = lambda c: sum(k * n for k, n in c.items()) / capacity
+        assert held == many and sum(bins.values()) / full(many) <= 1.003 * sum(one.values()) / full(counts)
+
+
+def test_no_exchange_is_left():
+    """After the search no move of one or two, and no exchange of one for one or two for one, raises the squared fills."""
+    rng = random.Random(8)
+    for _ in range(60):
+        capacity = 60
+        end = packing.local_search(packing.best_fit(Counter(rng.randint(9, 40) for _ in range(30)), capacity), capacity)
+        bins = [p for p, n in end.items() for _ in range(n)]
+        if len(bins) == -(-sum(map(sum, bins)) // capacity):
+            continue
+        for a, b in itertools.permutations(bins, 2):
+            gifts = [(x,) for x in a] + list(itertools.combinations(a, 2))
+            for g in gifts:
+                for t in [(), *((x,) for x in b)] + (list(itertools.combinations(b, 2)) if len(g) == 1 else []):
+                    d = sum(g) - sum(t)
+                    assert not (d > 0 and sum(b) + d <= capacity and sum(b) + d > sum(a)), (a, b, g, t)
+
+
+def test_sequences_follow_an_order(spark):
+    rng = random.Random(5)
+    data = [(f"f{i // 500}", i % 500, i, rng.randint(3, 40)) for i in range(4000)]
+    df = spark.createDataFrame(data, "file string, row long, doc long, length long").repartition(3)
+    got = packing.pack(df, 64, order=("file", "row")).collect()
+    assert len(got) == 4000 and got[0].asDict().keys() == {"doc", "length", "sequence_id", "offset"}
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append(r)
+    assert all(sum(r.length for r in v) <= 64 for v in by.values())
+    assert len(by) == sum(packing.solve(Counter(d[3] for d in data), 64).values())
+    order = [r.doc for k in sorted(by) for r in by[k]]
+    assert np.mean([abs(d - i) for i, d in enumerate(order)]) < 250  # of 4000; at random it would be 1333
+
+
 def test_pack_documents(docs, none):
     got = packing.pack_documents(docs, WORD, capacity=64).collect()
     tok = Tokenizer.from_file(WORD)
