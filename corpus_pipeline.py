@@ -1,8 +1,7 @@
 """A corpus pipeline of the training-data operators.
 
 Every stage takes all rows that its predecessor kept and, but for the last, returns the columns of
-documents. doc_id identifies a document; where rows repeat a doc_id, a verdict on one of
-them holds for all.
+documents. A verdict holds for a row: rows that repeat a doc_id are documents of their own.
 """
 
 from __future__ import annotations
@@ -10,34 +9,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewell.llm.common import Scratch, small_side
+from gaugewell.llm.common import Scratch, written_order
 from gaugewell.llm.mixing import mix_sources
-from gaugewell.llm.near_dedup import near_duplicates
+from gaugewell.llm.near_dedup import drop_near_duplicates
 from gaugewell.llm.packing import pack_documents
-from gaugewell.llm.quality_rules import quality_rules
-from gaugewell.llm.suffix_dedup import cut_passages, repeated_passages
-
-
-def _without(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """docs without the rows that a verdict rejects; few rejected ids go to all tasks, many are shuffled. Rows without an id stay."""
-    rejected = verdict.where("not kept and doc_id is not null").select("doc_id")
-    rejected = Scratch(docs.sparkSession, "rejected").table(rejected, "ids")
-    return docs.join(small_side(rejected), "doc_id", "left_anti")
+from gaugewell.llm.quality_rules import keep_good
+from gaugewell.llm.suffix_dedup import cut_repeated_passages
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or diverge from their language go."""
-    return _without(docs, quality_rules(docs))
+    return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest doc_id stays."""
-    return _without(docs, near_duplicates(docs))
+    """Of each group of near copies one document of the smallest doc_id stays."""
+    return drop_near_duplicates(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that also stand in a document of a smaller doc_id are cut; a document without a word left goes."""
-    return cut_passages(docs, repeated_passages(docs))
+    """Passages that also stand in a document before, by doc_id, are cut; a document without a word left goes."""
+    return cut_repeated_passages(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +39,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and places."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), "word", capacity=2048, keep_ids=False)
+    """The pieces of all documents with their sequences and places; sequences by number follow the order in which mixing wrote the documents."""
+    docs = written_order(docs.select("doc_id", "text"), "x_file", "x_row")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), "word", capacity=2048, keep_ids=False, order=("x_file", "x_row"))
 
 
 STAGES = [
@@ -64,9 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the whole documents table, each written and read again."""
+    """The stages over the whole documents table, each written and read again; a stage's table goes when the next is written."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = list(scratch.made)
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
     return docs
