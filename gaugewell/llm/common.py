@@ -246,8 +246,8 @@ def hash_bucket(seed: int, buckets_log2: int, *cols: str):
     return h, F.shiftrightunsigned(h, 64 - buckets_log2).cast("int")
 
 
-def rank_within(df: DataFrame, key: str, ties: list[str], buckets_log2: int, seed: int, at: tuple[str, int] | None = None) -> DataFrame:
-    """df with __x_rank: 0, 1, ... within each value of key, in a fixed pseudo-random order, or in that of a column of numbers from 0 to below an end (at).
+def rank_within(df: DataFrame, key: str, ties: list[str], buckets_log2: int, seed: int, at: tuple[str, int] | None = None, hashed: list[str] | None = None) -> DataFrame:
+    """df with __x_rank: 0, 1, ... within each value of key, in the fixed pseudo-random order of hashed (all ties by default), or in that of a column of numbers from 0 to below an end (at).
 
     A value's rows are numbered in hash buckets, whose counts give each bucket its first
     number; so a value that a third of all rows have is spread over many tasks.
@@ -255,7 +255,7 @@ def rank_within(df: DataFrame, key: str, ties: list[str], buckets_log2: int, see
     if at:
         h, bucket = F.col(at[0]), F.floor(F.col(at[0]) / max(1, at[1]) * (1 << buckets_log2)).cast("int")
     else:
-        h, bucket = hash_bucket(seed, buckets_log2, *ties)
+        h, bucket = hash_bucket(seed, buckets_log2, *(hashed or ties))
     rows = df.withColumn("__x_hash", h).withColumn("__x_bucket", bucket)
     before = rows.groupBy(F.col(key).alias("__x_key"), F.col("__x_bucket").alias("__x_at")).count()
     by = Window.partitionBy("__x_key").orderBy("__x_at").rowsBetween(Window.unboundedPreceding, -1)

@@ -147,7 +147,9 @@ def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, s
     planned = T.StructType([T.StructField("source", kind), T.StructField("block", T.LongType()), T.StructField("slot", T.LongType())])
     plan = scratch.table(counts.coalesce(1).mapInArrow(_planned(weights, block_rows, temperature, kind), planned), "plan")
     bits = max(8, (max(1, rows.count() // rows_per_bucket)).bit_length())
-    ranked = rank_within(thin, "source", ["id", FILE, ROW], bits, seed)
+    # null ids have no order of their own, and are spread by their rows
+    thin = thin.withColumn("spread", F.when(F.col("id").isNull(), F.col(ROW)))
+    ranked = rank_within(thin, "source", ["id", "spread", FILE, ROW], bits, seed, hashed=["id", "spread"])
     ranked = ranked.select("source", FILE, ROW, F.expr(f"__x_rank div {block_rows}").alias("block"), (F.col("__x_rank") % block_rows).alias("place"))
     at = plan.toDF("p_source", "p_block", "slot")
     placed = ranked.join(at, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block"))).select(FILE, ROW, "block", "slot", "place")

@@ -11,8 +11,10 @@ from conftest_rows import prose, rows
 
 import corpus_pipeline
 from gaugewell.llm import embedding_dedup, queries
+from gaugewell.llm.common import written_order
 from gaugewell.llm.elias_fano import EliasFano, from_buffer, to_file
 from gaugewell.llm.embedding_dedup import near_vectors, passes_for
+from gaugewell.llm.mixing import mix_sources
 from gaugewell.llm.ngram_lm import quantise, score_texts
 from gaugewell.llm.quality_classifier import FACTORS, SIZE, Machine, features, score_quality
 
@@ -151,6 +153,10 @@ def test_pipeline(spark, plain, tmp_path):
     assert set(ids["minhash_near_dedup"]) <= set(ids["quality_rules"]) and not {2, 20} & set(ids["minhash_near_dedup"])
     assert sorted(ids["mix_sources"]) == sorted(ids["suffix_array_dedup"])
     assert {100 + i for i in range(30)} <= set(ids["best_fit_packing"]) == set(ids["mix_sources"])
+    # mixing's order is that of its written rows, and packing's sequences follow it
+    slots = {r.doc_id: (r.slot, r.place) for r in mix_sources(spark.read.parquet(f"{folder}/suffix_array_dedup")).collect()}
+    files = written_order(spark.read.parquet(f"{folder}/mix_sources"), "f", "r").orderBy("f", "r").collect()
+    assert [r.doc_id for r in files] == sorted(slots, key=lambda d: slots[d])
     run = corpus_pipeline.run(spark, folder)
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in run.collect()) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in kept["best_fit_packing"])
 
