@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ def passes_for(n: int, least: float, window: int, miss: float = MISS) -> int:
 
     Two codes agree in a bit with chance a = 1 - acos(least) / pi, and in the log2(n / window) bits
     after which codes spread evenly leave window vectors with that power of a. Up to 6 % less was
-    measured in simulations, and partition borders part some, so 0.85 of it is counted on.
+    measured in simulations, so 0.85 of it is counted on.
     """
     agree = 1 - math.acos(min(1.0, max(-1.0, least))) / math.pi
     near = 0.85 * agree ** math.log2(max(2.0, n / window))
@@ -56,8 +57,9 @@ def _coded(passes: int, bits: int, seed: int):
             codes: list[np.ndarray | None] = [None] * len(vectors)
             by_dim: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
-                if v is not None and len(v) and np.isfinite(v).all() and 0 < np.linalg.norm(v) < np.inf:
+                if v is not None and len(v) and np.isfinite(v).all() and v.any():
                     node[i] = fingerprint(v + 0.0)
+                    vectors[i] = _scaled(v)
                     by_dim.setdefault(len(v), []).append(i)
             for dim, at in by_dim.items():
                 if dim not in planes:
@@ -66,43 +68,71 @@ def _coded(passes: int, bits: int, seed: int):
                 packed = (signs * weigh).sum(axis=2, dtype=np.uint64) ^ np.uint64(1 << 63)  # signed order is then the order of the bits
                 for i, c in zip(at, packed.view(np.int64), strict=True):
                     codes[i] = c
+            # codes are of the vectors scaled to a largest component of 1
             dims = [None if n is None else len(v) for n, v in zip(node, vectors, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("embedding"), pa.array(node, pa.int64()), pa.array(dims, pa.int32()), pa.array(codes, pa.list_(pa.int64()))], ["id", "embedding", "node", "dim", "codes"])
 
     return run
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """A vector over its largest component, so that no square overflows or vanishes."""
+    return v / np.abs(v).max(axis=-1, keepdims=True)
+
+
 def _unit(vectors: list[np.ndarray]) -> np.ndarray:
-    x = np.stack(vectors)
+    x = _scaled(np.stack(vectors))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _near(nodes: np.ndarray, rank: np.ndarray, x: np.ndarray, window: int, least: float, border: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between rows of ranks at most window apart, or of those only that a border lies between."""
+    a, b = [], []
+    for s in range(0, len(x), 256):
+        part, ahead = x[s : s + 256], x[s : s + 256 + window]
+        i, j = np.nonzero(part @ ahead.T >= least)
+        apart = rank[s + j] - rank[s + i]
+        ok = (apart > 0) & (apart <= window)
+        if border is not None:
+            ok &= (rank[s + i] < border) & (rank[s + j] >= border)
+        a.append(nodes[s + i[ok]])
+        b.append(nodes[s + j[ok]])
+    return union_find(np.concatenate(a), np.concatenate(b))
+
+
+_FOUND = "node long, label long, part int, at long, pass int, dim int, embedding array<double>"
+
+
 def _neighbours(window: int, least: float):
-    """Sorted rows of passes to a forest of the verified links between rows at most window apart."""
-
-    def links(nodes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
-        for s in range(0, len(x), 256):
-            part, ahead = x[s : s + 256], x[s : s + 256 + window]
-            i, j = np.nonzero(part @ ahead.T >= least)
-            near = (j > i) & (j - i <= window)
-            a.append(nodes[s + i[near]])
-            b.append(nodes[s + j[near]])
-        return union_find(np.concatenate(a), np.concatenate(b))
+    """Sorted rows of passes to a forest of the verified links between rows at most window apart.
+
+    Beside the links (node, label), a partition gives its first and last window rows with their places (part, at), and
+    its number of rows as a row without a node, for what lies across its borders.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("pass", pa.int32()), ("dim", pa.int32()), ("embedding", pa.list_(pa.float64()))])
+        part, seen = None, 0
         key, nodes, vectors = None, [], []
+        tail: deque[tuple] = deque(maxlen=window)
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(schema.types)], schema=schema)
 
         def out(last: bool) -> Iterator[pa.RecordBatch]:
             if len(nodes) > 1:
-                n, root = links(np.array(nodes, np.int64), _unit(vectors))
-                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(root)], ["node", "label"])
+                n, root = _near(np.array(nodes, np.int64), np.arange(len(nodes)), _unit(vectors), window, least)
+                moved = n != root
+                if moved.any():
+                    none = [pa.nulls(int(moved.sum()), t) for t in schema.types[2:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(n[moved]), pa.array(root[moved]), *none], schema=schema)
             keep = 0 if last else window
             del nodes[: len(nodes) - keep], vectors[: len(vectors) - keep]
 
         for b in batches:
-            rows = _rows(b.column("embedding"))
-            for k, n, v in zip(zip(b.column("pass").to_pylist(), b.column("dim").to_pylist(), strict=True), b.column("node").to_pylist(), rows, strict=True):
+            head = []
+            for k, n, v, p in zip(zip(b.column("pass").to_pylist(), b.column("dim").to_pylist(), strict=True), b.column("node").to_pylist(), _rows(b.column("embedding")), b.column("part").to_pylist(), strict=True):
+                part = p
                 if k != key:
                     yield from out(True)
                     key = k
@@ -110,11 +140,82 @@ def _neighbours(window: int, least: float):
                     yield from out(False)
                 nodes.append(n)
                 vectors.append(v)
+                row = (n, None, p, seen, *k, v)
+                if seen < window:
+                    head.append(row)
+                else:
+                    tail.append(row)
+                seen += 1
+            if head:
+                yield rows(head)
         yield from out(True)
+        if part is not None:
+            yield rows([*tail, (None, None, part, seen, None, None, None)])
+
+    return run
+
+
+def _across(window: int, least: float, first: dict[int, int]):
+    """Rows of one border after another, sorted by border and rank, to the links across it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        border, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            groups: dict[tuple, list[tuple]] = {}
+            for rank, k, n, v in held:
+                groups.setdefault(k, []).append((rank, n, v))
+            for rows in groups.values():
+                if len(rows) > 1:
+                    rank, n, v = zip(*rows, strict=True)
+                    n, root = _near(np.array(n, np.int64), np.array(rank), _unit(list(v)), window, least, first[border])
+                    yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(root)], ["node", "label"])
+            held.clear()
+
+        for b in batches:
+            keys = zip(b.column("pass").to_pylist(), b.column("dim").to_pylist(), strict=True)
+            for at, rank, k, n, v in zip(b.column("border").to_pylist(), b.column("rank").to_pylist(), keys, b.column("node").to_pylist(), _rows(b.column("embedding")), strict=True):
+                if at != border:
+                    yield from out()
+                    border = at
+                held.append((rank, k, n, v))
+        yield from out()
 
     return run
 
 
+def _links(spread: DataFrame, scratch: Scratch, window: int, least: float) -> DataFrame:
+    """Sorted, partitioned rows to (node, label), the links of all rows at most window apart in the order, whatever the partitions."""
+    found = scratch.table(spread.withColumn("part", F.spark_partition_id()).mapInArrow(_neighbours(window, least), _FOUND), "found")
+    forest = found.where("label is not null").select("node", "label")
+    # a number per partition: which ranks it begins with
+    sizes = sorted((r["part"], r["at"]) for r in found.where("node is null").select("part", "at").collect())
+    first = dict(zip((p for p, _ in sizes), np.cumsum([0, *(n for _, n in sizes)]).tolist(), strict=False))
+    if len(first) < 2:
+        return forest
+    starts = np.array(list(first.values()))
+    parts = list(first)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row once for each border that lies at most window ranks from it."""
+        begin = np.array([first.get(p, 0) for p in range(max(parts) + 1)])
+        for b in batches:
+            rank = begin[b.column("part").to_numpy()] + b.column("at").to_numpy()
+            low, high = np.searchsorted(starts, rank - window, side="right"), np.searchsorted(starts, rank + window, side="right")
+            at, border = [], []
+            for i, (lo, hi) in enumerate(zip(low, high, strict=True)):
+                for k in range(max(lo, 1), hi):  # borders rank - window < start <= rank + window
+                    at.append(i)
+                    border.append(parts[k])
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(border, pa.int32()), pa.array(rank[np.array(at, np.int64)]), *(b.column(c).take(rows) for c in ("node", "pass", "dim", "embedding"))], ["border", "rank", "node", "pass", "dim", "embedding"])
+
+    rows = found.where("node is not null and label is null").select("part", "at", "node", "pass", "dim", "embedding")
+    rows = rows.mapInArrow(dealt, "border int, rank long, node long, pass int, dim int, embedding array<double>")
+    rows = rows.repartition("border").sortWithinPartitions("border", "rank")
+    return forest.unionByName(rows.mapInArrow(_across(window, least, first), "node long, label long"))
+
+
 def _degrees(least: float):
     """Groups of one or two blocks of a component, sorted by group, to each member's number of links."""
 
@@ -158,11 +259,12 @@ def near_vectors(df: DataFrame, embedding: str = "embedding", id: str = "vec_id"
     verified links are united across passes. Within each component every pair of nodes is
     then compared, in blocks of BLOCK, so n_links is exact for all links that do not cross
     components, whatever a window left out. What a code's order can miss is a link that no
-    pass brings near; partition borders of a pass also part neighbours, in that pass alone.
+    pass brings near. Rows near the borders of partitions are compared across them, so the result does not depend on
+    the number of partitions.
     Unless passes are given, passes_for takes as many as the rows need for a miss of MISS.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing and stand for themselves. Vectors of different lengths link with nothing of
+    nothing and stand for themselves; the size of components does not matter, as vectors are scaled first. Vectors of different lengths link with nothing of
     another length. Repeated rows are copies of each other; null ids belong to a component only
     through the non-null ids in it. Extra columns are ignored. Empty input gives an
     empty result.
@@ -179,7 +281,7 @@ def near_vectors(df: DataFrame, embedding: str = "embedding", id: str = "vec_id"
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("pass", "dim", "code", "node")
     spread = spread.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    forest = scratch.table(spread.mapInArrow(_neighbours(window, least), "node long, label long").where("node != label").distinct(), "links")
+    forest = scratch.table(_links(spread, scratch, window, least).where("node != label").distinct(), "links")
     labels = scratch.table(connected_components(forest, scratch), "labels")
 
     members = labels.join(nodes.select("node", "copies", "min_id", "embedding"), "node")
