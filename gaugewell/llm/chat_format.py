@@ -124,7 +124,7 @@ def format_chats(df: DataFrame, id: str = "conv_id", turn: str = "turn", role: s
     """Repair each conversation's roles at the least cost and render it.
 
     A conversation is legal as [system] (user assistant)+. Messages in order of turn (ties by
-    role and text) each stay a turn, join the turn before them (merge), or change their role
+    role and a hash of the text) each stay a turn, join the turn before them (merge), or change their role
     (relabel, with or without a merge); empty turns may be inserted anywhere, also at the
     end. The sum of costs is the least possible; of equal ways the one with fewer
     empty turns, then without a merge.
@@ -140,7 +140,7 @@ def format_chats(df: DataFrame, id: str = "conv_id", turn: str = "turn", role: s
     solves its part alone.
 
     Roles other than system, user and assistant, in any case, and null roles are always relabelled. A
-    null text is an empty one. A null id is a conversation of its own. Null turns come
+    null text is an empty one; very long texts are carried whole. A null id is a conversation of its own. Null turns come
     first. Repeated rows are messages of their own. Extra columns are ignored. Empty
     input gives an empty result.
     """

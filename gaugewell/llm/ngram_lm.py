@@ -27,14 +27,13 @@ SCORE_TOKENS = 2_000_000
 
 
 def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, codebook): LEVELS bins of equal population, each decoded to its mean."""
+    """(codes, codebook): LEVELS bins of equal width, each decoded to its mean, so no value is off by more than a LEVELS-th of their range."""
     if not len(values):
         return np.empty(0, np.uint8), np.zeros(1)
-    order = np.argsort(values, kind="stable")
-    bins = np.empty(len(values), np.int64)
-    bins[order] = np.arange(len(values)) * LEVELS // len(values)
+    low = values.min()
+    bins = np.minimum(((values - low) * (LEVELS / max(values.max() - low, 1e-300))).astype(np.int64), LEVELS - 1)
     n = np.maximum(np.bincount(bins, minlength=LEVELS), 1)
-    return bins.astype(np.uint8), np.bincount(bins, values, LEVELS) / n
+    return bins.astype(np.uint8), low + np.bincount(bins, values - low, LEVELS) / n
 
 
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,17 +51,16 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> tuple[li
     press = zstandard.ZstdCompressor(level=1)
     for a, b in zip(cut, ends, strict=True):
         delta = np.diff(keys[a:b], prepend=keys[a:b][:1] * 0)
-        planes = delta.view(np.uint8).reshape(-1, 8).T.tobytes()  # bytes of one weight together
-        out.append(press.compress(np.array([b - a], np.int64).tobytes() + planes + np.minimum(counts[a:b], 2**31 - 1).astype("<i4").tobytes()))
+        planes = [x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in (delta, counts[a:b].astype(np.int64))]  # bytes of one weight together
+        out.append(press.compress(np.array([b - a], np.int64).tobytes() + b"".join(planes)))
     return [int(shards[a]) for a in cut], out
 
 
 def _unblob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    planes = np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T
-    keys = np.cumsum(np.ascontiguousarray(planes).view(np.uint64).reshape(-1), dtype=np.uint64)
-    return keys, np.frombuffer(raw, "<i4", n, 8 + 8 * n).astype(np.int64)
+    keys, counts = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 + k * 8 * n).reshape(8, n).T).reshape(-1) for k in (0, 1))
+    return np.cumsum(keys.view(np.uint64), dtype=np.uint64), counts.view(np.int64)
 
 
 def _publish(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
@@ -246,6 +244,8 @@ def build(training: DataFrame, scratch: Scratch, bits: int) -> tuple[list, list,
 
     sizes = again.mapInArrow(totals, names).collect()  # a row per shard
     tokens, v = sum(r["tokens"] for r in sizes), sum(r["n"] for r in sizes)
+    if v >= 1 << 32:
+        raise ValueError(f"{v} different words; pairs hold ids of 32 bits")
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, keys, n in merged(batches):
@@ -314,7 +314,7 @@ def score_texts(df: DataFrame, text: str = "text", id: str = "doc_id", folds: in
     score (log10 of the text's probability under the pair model, first word after an end).
 
     Memory: a word takes about 8 bytes and a pair about 4 in the files, which tasks map and
-    share; ids are at most 2^32. Null texts are empty, of the end alone. A null id trains and is
+    share; more than 2^32 different words raise an error. Very long texts are scored whole. Null texts are empty, of the end alone. A null id trains and is
     not held out. Repeated rows count as often as they stand. Extra columns are ignored. Without
     training texts every token is unknown. Empty input gives an empty result.
     """

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -122,7 +123,9 @@ def write_packed(df: DataFrame, scratch: Scratch, path: str, kind: str = "byte",
     Files are runs of the order of about docs_per_file documents, by ranges of ids of which
     there are at most MAX_RANGES; a range that is larger has several files. They are written
     under another name and renamed, so a task that runs again writes the same file again.
-    Texts are encoded where they are read; ids are shuffled once. Equal ids go by
+    Texts of any length are encoded whole where they are read; ids are shuffled once, two bytes each for
+    vocabularies up to 65,536. Beyond 41 million documents ranges grow: a task sorts them on its disk and holds one block.
+    id must be integral. Equal ids go by a hash of their tokens where they fill several ranges, and by
     their tokens; null ids come first; a null text is an empty one. Extra columns are
     ignored. Empty input gives an empty manifest.
     """
@@ -132,8 +135,10 @@ def write_packed(df: DataFrame, scratch: Scratch, path: str, kind: str = "byte",
     picked = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     n = picked.count()
     ranges = min(MAX_RANGES, max(1, -(-n // docs_per_file)))
-    cuts = [] if ranges == 1 else sorted({x for x in picked.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []})
-    edges = np.array(cuts, np.int64)
+    least = np.iinfo(np.int64).min
+    key = F.coalesce("id", F.lit(int(least)))
+    cuts = [] if ranges == 1 else picked.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    edges = np.array(sorted(cuts), np.int64)
     folder = f"{scratch.root}/ids"
     width = "<u2" if bits <= 16 else "<u4"
 
@@ -141,8 +146,11 @@ def write_packed(df: DataFrame, scratch: Scratch, path: str, kind: str = "byte",
         of = encoder(path, kind)
         tail = np.array([] if end is None else [end], width)
         for b in batches:
-            at = np.searchsorted(edges, b.column("id").fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
+            keys = b.column("id").fill_null(least).to_numpy()
+            low, at = (np.searchsorted(edges, keys, side=x) for x in ("left", "right"))
             ids = [np.concatenate([x.astype(width, copy=False), tail]) for x in of.batch(b.column("text").to_pylist())]
+            for i in np.flatnonzero(at - low > 1):  # an id of more rows than a range has its own ranges
+                at[i] = low[i] + 1 + zlib.crc32(ids[i]) % (at[i] - low[i])
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), b.column("id"), binary_column(ids)], ["file", "id", "ids"])
 
     dealt = picked.mapInArrow(encode, "file long, id long, ids binary")

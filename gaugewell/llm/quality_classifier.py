@@ -21,7 +21,9 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = 3
 _CLASS[[ord("."), ord(",")]] = 4
 _CLASS[[ord(c) for c in "#*$%&|<>@^~\\{}[]=_+"]] = 6
 STATS = 16
-SIZE = (1 << WORD_BITS) + STATS * BINS
+#: Metadata columns at most; each has a bin for null and BINS of powers of two.
+META = 4
+SIZE = (1 << WORD_BITS) + STATS * BINS + META * (BINS + 1)
 
 
 @lru_cache(maxsize=1)
@@ -29,8 +31,8 @@ def _cache() -> WordHashes:
     return WordHashes()
 
 
-def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, values): words with damped counts of unit length, and one bin for each statistic. An empty text has the bins of zeros."""
+def features(text: bytes | None, meta: tuple[float | None, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, values): words with damped counts of unit length, and one bin for each statistic and each number of metadata. An empty text has the bins of zeros."""
     text = text or b""
     words = words_of(text)
     n = len(words)
@@ -55,7 +57,9 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     ]
     bins = np.minimum((np.array(ratios) * BINS).astype(np.int64), BINS - 1)
     stats = (1 << WORD_BITS) + np.arange(STATS) * BINS + bins
-    return np.concatenate([at, stats]), np.concatenate([value, np.full(STATS, 0.5)])
+    known = [0 if m is None or m != m else 1 + min(int(np.log2(1 + max(0.0, m))), BINS - 1) for m in meta]
+    facts = (1 << WORD_BITS) + STATS * BINS + np.arange(len(meta)) * (BINS + 1) + np.array(known, np.int64)
+    return np.concatenate([at, stats, facts.astype(np.int64)]), np.concatenate([value, np.full(STATS + len(meta), 0.5)])
 
 
 class Machine:
@@ -79,8 +83,10 @@ class Machine:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
     """Logistic loss, AdaGrad on mini-batches; the same rows in the same order give the same machine."""
+    if not rows:
+        return Machine(0.0, np.zeros(SIZE), np.zeros((SIZE, FACTORS)))
     rng = np.random.default_rng(seed)
-    share = np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3)
+    share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     machine = Machine(float(np.log(share / (1 - share))), np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, FACTORS)))
     gw, gv = np.full(SIZE, 1e-6), np.full((SIZE, FACTORS), 1e-6)
     for _ in range(epochs):
@@ -110,12 +116,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     return machine
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "label") -> bytes:
+def _meta(b: pa.RecordBatch, n: int) -> list[tuple]:
+    return list(zip(*(b.column(f"m{i}").to_pylist() for i in range(n)), strict=True)) if n else [()] * b.num_rows
+
+
+def train(labelled: DataFrame, n_meta: int = 0, text: str = "text", label: str = "label") -> bytes:
     """Fit one machine on all rows of labelled, which must be a bounded sample in a fixed order (column at)."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t) for t in b.column(text).cast(pa.binary()).to_pylist()]
+            got = [features(t, m) for t, m in zip(b.column(text).cast(pa.binary()).to_pylist(), _meta(b, n_meta), strict=True)]
             lists = [pa.array([g[i] for g in got], pa.list_(kind)) for i, kind in ((0, pa.int32()), (1, pa.float32()))]
             yield pa.RecordBatch.from_arrays([b.column("at"), b.column(label), *lists], ["at", "y", "i", "x"])
 
@@ -133,33 +143,40 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label") -> byte
     return bytes(found.mapInArrow(learn, "model binary").first()[0])
 
 
-def score_quality(df: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", folds: int = 3, held_out: int = 1, max_labelled: int = 12_000) -> DataFrame:
+def score_quality(df: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", folds: int = 3, held_out: int = 1, max_labelled: int = 12_000, metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
     """Each row's probability of label 1 by a factorisation machine learnt from labelled rows outside the held-out fold.
 
     Returns one row per input row: id, held_out (crc32 of the id as text, modulo folds, is held_out), score
     (0 to 1), predicted (1 if score >= 0.5, else 0). At most max_labelled labelled rows, the
     first in a fixed pseudo-random order of ids, are learnt from; one task holds their features
-    (about 3 kB each). Inputs are the text's hashed words, its structure statistics and its
-    lengths, never labels, language, source or id.
+    (about 3 kB each). Inputs are the text's hashed words, its structure statistics and lengths, and metadata:
+    numeric columns of df, at most META, as powers of two (those that df lacks are left out; n_chars by default). Labels, language, source
+    and id are never inputs.
 
-    Null texts score as empty ones. Null labels and labels without a text are not learnt from;
+    Null texts score as empty ones; very long texts are read whole. Null labels and labels without a text are not learnt from;
     without any label every score is one half. An id that labels repeats counts once for each
     row. A null id is not held out. Repeated rows score alike. Extra columns are ignored.
     Empty input gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "classifier")
-    picked = df.select(F.col(id).alias("x_id"), F.col(text).cast("string").alias("x_text"))
+    metadata = tuple(m for m in metadata if m in df.columns)
+    if len(metadata) > META:
+        raise ValueError(f"at most {META} metadata columns")
+    facts = [F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metadata)]
+    picked = df.select(F.col(id).alias("x_id"), F.col(text).cast("string").alias("x_text"), *facts)
     fold = F.coalesce(F.crc32(F.col("x_id").cast("string").cast("binary")) % folds == held_out, F.lit(False))
     known = labels.select(F.col(id).alias("x_id"), F.col(label).cast("int").alias("label")).where("label is not null and x_id is not null").where(~fold)
     known = known.withColumn("at", F.xxhash64(F.lit(5), "x_id")).orderBy("at", "x_id", "label").limit(max_labelled)
     known = scratch.table(known, "labels")
-    learnt = picked.join(F.broadcast(known), "x_id").select("at", F.col("x_text").alias("text"), "label")
-    model = train(learnt)
+    n_meta = len(metadata)
+    learnt = picked.where("x_text is not null").join(F.broadcast(known), "x_id").select("at", F.col("x_text").alias("text"), "label", *(f"m{i}" for i in range(n_meta)))
+    model = train(learnt, n_meta)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine.from_bytes(model)
         for b in batches:
-            logits = np.array([machine.logit(*features(t)) for t in b.column("x_text").cast(pa.binary()).to_pylist()], float)
+            rows = zip(b.column("x_text").cast(pa.binary()).to_pylist(), _meta(b, n_meta), strict=True)
+            logits = np.array([machine.logit(*features(t, m)) for t, m in rows], float)
             yield pa.RecordBatch.from_arrays([b.column("x_id"), b.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))], ["x_id", "held_out", "score"])
 
     id_type = picked.schema["x_id"].dataType.simpleString()

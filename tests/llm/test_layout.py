@@ -169,6 +169,20 @@ def test_id_files(spark, docs, none):
     assert read_packed(write_packed(none, scratch, BYTE)).count() == 0
 
 
+def test_an_id_of_many_rows(spark):
+    """Null and repeated ids that fill several ranges are spread, and the order of ids holds."""
+    data = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i} " * (i % 7)) for i in range(300)]
+    manifest = write_packed(spark.createDataFrame(data, "doc_id long, text string").repartition(3), Scratch(spark, "t"), BYTE, docs_per_file=10).cache()
+    assert manifest.agg({"n_docs": "max"}).first()[0] <= 40
+    got = sorted(read_packed(manifest).collect(), key=lambda r: r.start)
+    order = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order)
+    tok = Tokenizer.from_file(BYTE)
+    want = Counter((i, tuple([*tok.encode(t, add_special_tokens=False).ids, 0])) for i, t in data)
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_blocks_of_a_long_document(spark):
     text = " ".join(f"w{i}" for i in range(60_000))
     df = spark.createDataFrame([(2, text), (1, "a")], "doc_id long, text string")
@@ -298,3 +312,13 @@ def test_chats(spark):
     assert "".join(r.rendered for r in by[None]) == "<|user|>\nq\n<|end|>\n<|assistant|>\na\n<|end|>\n"
     assert format_chats(df.where("false")).count() == 0
     assert set(by) == {x[0] for x in data}
+
+
+def test_chats_with_null_turns_and_a_very_long_text(spark):
+    long = "word " * 400_000
+    data = [(1, None, "user", "first"), (1, 0, "assistant", long), (1, 1, "user", None), (2, None, None, None)]
+    got = format_chats(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    one = sorted((r for r in got if r.conv_id == 1), key=lambda r: r.position)
+    assert [(r.source_turn, r.role, r.action) for r in one] == [(None, "user", "keep"), (0, "assistant", "keep"), (1, "user", "keep"), (None, "assistant", "insert")]
+    assert one[1].text == long and one[2].text == ""
+    assert [(r.role, r.action) for r in got if r.conv_id == 2] in ([("user", "relabel"), ("assistant", "insert")], [("user", "insert"), ("assistant", "relabel")])
