@@ -6,7 +6,7 @@ import ast
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,16 +55,41 @@ def blocks(c: Column) -> Column:
     return F.when(F.size(code) > 0, code).otherwise(every)
 
 
+def with_blocks(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with blocks of a text column; the steps are columns of their own, and texts without a fence are searched only where they have one of the other forms."""
+    c = F.col(text)
+    out = df.withColumn("x_fenced", F.when(c.contains("```"), fenced(c)).otherwise(F.array().cast("array<struct<code:string,lang:string>>")))
+    other = c.rlike(r"def\s+\w+\s*\(|(?:^|\n)(?:    |\t)|(?i)<code>")
+    out = out.withColumn("x_every", F.when(F.size("x_fenced") > 0, F.col("x_fenced")).when(other, unfenced(c)).otherwise(F.array().cast("array<struct<code:string,lang:string>>")))
+    out = out.withColumn("x_kept", F.filter("x_every", lambda b: b["lang"].isNull() | ~b["lang"].isin(*DATA_FORMATS)))
+    out = out.withColumn(name, F.when(c.isNotNull(), F.when(F.size("x_kept") > 0, F.col("x_kept")).otherwise(F.col("x_every"))))
+    return out.drop("x_fenced", "x_every", "x_kept")
+
+
+def pick(c: Column, found: Column, mode: str = "last_block") -> Column:
+    texts = F.transform(found, lambda b: b["code"])
+    one = {"last_block": F.try_element_at(texts, F.lit(-1)), "first_block": F.try_element_at(texts, F.lit(1)), "all_blocks": F.when(F.size(texts) > 0, F.array_join(texts, "\n\n"))}[mode]
+    return F.coalesce(one, clean_text(F.coalesce(c, F.lit(""))))
+
+
+def confidence_of(c: Column, found: Column) -> Column:
+    text = F.coalesce(c, F.lit(""))
+    return F.when(text == "", 0.0).when(F.size(found) > 0, F.when(text.contains("```"), 0.95).otherwise(0.8)).otherwise(0.3)
+
+
 def extract(c: Column, mode: str = "last_block") -> Column:
     """The last, the first or all blocks of code; the cleaned text without any."""
-    texts = F.transform(blocks(c), lambda b: b["code"])
-    pick = {"last_block": F.try_element_at(texts, F.lit(-1)), "first_block": F.try_element_at(texts, F.lit(1)), "all_blocks": F.when(F.size(texts) > 0, F.array_join(texts, "\n\n"))}[mode]
-    return F.coalesce(pick, clean_text(F.coalesce(c, F.lit(""))))
+    return pick(c, blocks(c), mode)
 
 
 def confidence(c: Column) -> Column:
-    text = F.coalesce(c, F.lit(""))
-    return F.when(text == "", 0.0).when(F.size(blocks(c)) > 0, F.when(text.contains("```"), 0.95).otherwise(0.8)).otherwise(0.3)
+    return confidence_of(c, blocks(c))
+
+
+def post_process(c: Column, without_comments: bool = False) -> Column:
+    """Code as it is kept: stripped, on demand without comments; null is ''."""
+    out = strip(F.coalesce(c, F.lit("")))
+    return strip(strip_comments(out)) if without_comments else out
 
 
 def detect_language(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip
@@ -42,19 +42,48 @@ EMPTY = [(r"^\s*$", 0.9), (r"^\s*\.\.\.\s*$", 0.9), (r"^\s*\[\s*\]\s*$", 0.8), (
 KEYWORDS = ["no", "sorry", "apologize", "cannot", "can't", "unable"]
 
 
+def _plain(c: Column) -> Column:
+    return F.lower(strip(F.coalesce(c, F.lit(""))))
+
+
+def _any(patterns: list[str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+def _told(c: Column, text: Column, threshold: float, custom: list[tuple[str, float]] | None, without: tuple[str, ...]) -> tuple[Column, Column]:
+    """(whether a text refuses, by two alternations at most; the struct of the rule that tells it)."""
+    kept = [(p, v) for p, v in [*PATTERNS, *(custom or [])] if v >= threshold and p not in without]
+    short = (F.length(text) < 20) & text.rlike("|".join(KEYWORDS))
+    yes = (F.coalesce(c, F.lit("")) == "") | text.rlike(_any([p for p, _ in EMPTY])) | short
+    yes = yes | text.rlike(_any([p for p, _ in kept])) if kept else yes
+    verdict = lambda is_, pattern, p: F.struct(F.lit(is_).alias("is_refusal"), F.lit(pattern).cast("string").alias("pattern_matched"), F.lit(p).alias("confidence"))
+    chain = F.when(~yes, verdict(False, None, 0.0)).when(F.coalesce(c, F.lit("")) == "", verdict(True, "empty_input", 1.0))
+    chain = reduce(lambda w, r: w.when(text.rlike(r[0]), verdict(True, r[0], r[1])), [*EMPTY, *kept], chain)
+    return yes, chain.otherwise(verdict(True, "short_refusal", 0.6))
+
+
 def detect(c: Column, threshold: float = 0.7, custom: list[tuple[str, float]] | None = None, without: tuple[str, ...] = ()) -> Column:
     """struct(is_refusal, pattern_matched, confidence); custom patterns come last, those in without are left out."""
-    text = F.lower(strip(F.coalesce(c, F.lit(""))))
-    verdict = lambda is_, pattern, p: F.struct(F.lit(is_).alias("is_refusal"), F.lit(pattern).cast("string").alias("pattern_matched"), F.lit(p).alias("confidence"))
-    rules = [(text.rlike(p), p, v) for p, v in EMPTY]
-    rules += [(text.rlike(p), p, v) for p, v in [*PATTERNS, *(custom or [])] if v >= threshold and p not in without]
-    rules.append(((F.length(text) < 20) & text.rlike("|".join(KEYWORDS)), "short_refusal", 0.6))
-    chain = F.when(F.coalesce(c, F.lit("")) == "", verdict(True, "empty_input", 1.0))
-    return reduce(lambda w, r: w.when(r[0], verdict(True, r[1], r[2])), rules, chain).otherwise(verdict(False, None, 0.0))
+    return _told(c, _plain(c), threshold, custom, without)[1]
+
+
+def detected(df: DataFrame, text: str, name: str = "refusal", threshold: float = 0.7, custom: list[tuple[str, float]] | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """df with detect's struct, the plain text in a column of its own first, so that no rule makes it again."""
+    return df.withColumn("x_plain", _plain(F.col(text))).withColumn(name, _told(F.col(text), F.col("x_plain"), threshold, custom, without)[1]).drop("x_plain")
 
 
 def is_refusal(c: Column, threshold: float = 0.7) -> Column:
-    return detect(c, threshold)["is_refusal"]
+    return _told(c, _plain(c), threshold, None, ())[0]
+
+
+def reason(c: Column, threshold: float = 0.7) -> Column:
+    """The rule that tells a refusal; null for an answer."""
+    return detect(c, threshold)["pattern_matched"]
+
+
+def analysis(c: Column) -> Column:
+    """struct(matches, n_chars, preview): every pattern that occurs, the length, and the first 200 characters."""
+    return F.struct(all_matches(c).alias("matches"), F.length(F.coalesce(c, F.lit(""))).cast("long").alias("n_chars"), F.left(F.coalesce(c, F.lit("")), F.lit(200)).alias("preview"))
 
 
 def all_matches(c: Column) -> Column:

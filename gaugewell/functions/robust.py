@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import choice, code, jsons, refusal
@@ -31,3 +31,29 @@ def parse(c: Column, order: tuple[str, ...] = ("code", "mc", "json"), least: flo
     best = F.array_sort(F.array(*[F.struct((-found[p]["confidence"]).alias("w"), F.lit(i).alias("i"), found[p].alias("r")) for i, p in enumerate(order)]))[0]["r"]
     refused = _result(strip(F.coalesce(c, F.lit(""))), F.lit(0.3), "refusal_fallback")
     return F.when(refusal.is_refusal(c), refused).otherwise(F.coalesce(*ladder, best))
+
+
+def parsed(df: DataFrame, text: str, order: tuple[str, ...] = ("code", "mc", "json"), least: float = 0.5) -> DataFrame:
+    """df with content, confidence and parser_used as parse gives them.
+
+    Each step is a column of its own, computed once and only for rows that no step before has settled; where the last is
+    reached and none was confident, the most confident one counts.
+    """
+    names = df.columns
+    out = df.withColumn("x_refused", refusal.is_refusal(F.col(text))).withColumn("x_open", F.when(~F.col("x_refused"), F.coalesce(text, F.lit(""))))
+    for p in order:
+        c = F.col("x_open")
+        if p == "code":
+            out = code.with_blocks(out, "x_open", "x_blocks")
+            out = out.withColumn("x_code", code.pick(c, F.col("x_blocks"))).withColumn("x_code_conf", F.when(c.isNotNull(), code.confidence_of(c, F.col("x_blocks"))))
+        elif p == "mc":
+            out = out.withColumn("x_mc", F.when(c.isNotNull(), choice.extract(c)))
+            out = out.withColumn("x_mc_conf", F.when(c.isNotNull(), choice.confidence(c, F.col("x_mc"))))
+        else:
+            out = jsons.with_json(out, "x_open", "x_json", "x_json_conf")
+        out = out.withColumn("x_open", F.when(F.col(f"x_{p}_conf") < least, c))
+    ladder = [F.when(F.col(f"x_{p}_conf") >= least, F.struct(F.col(f"x_{p}").alias("content"), F.col(f"x_{p}_conf").cast("double").alias("confidence"), F.lit(p).alias("parser_used"))) for p in order]
+    best = F.array_sort(F.array(*[F.struct((-F.col(f"x_{p}_conf")).cast("double").alias("w"), F.lit(i).alias("i"), F.struct(F.col(f"x_{p}").alias("content"), F.col(f"x_{p}_conf").cast("double").alias("confidence"), F.lit(p).alias("parser_used")).alias("r")) for i, p in enumerate(order)]))[0]["r"]
+    refused = _result(strip(F.coalesce(text, F.lit(""))), F.lit(0.3), "refusal_fallback")
+    out = out.withColumn("x_result", F.when(F.col("x_refused"), refused).otherwise(F.coalesce(*ladder, best)))
+    return out.select(*names, "x_result.content", "x_result.confidence", "x_result.parser_used")

@@ -66,15 +66,15 @@ def categories(df: DataFrame) -> DataFrame:
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """Totals and the counts of each kind of failure, in one pass."""
+    """Totals and the counts of each kind of failure, in one pass; the kind is a column of its own, computed once for a row."""
     kinds = ("execution_error", "refusal", "parsing_error", "incorrect_output")
-    bad = ~F.col("passed")
-    return df.agg(
+    told = df.withColumn("x_kind", F.when(~F.col("passed"), category()))
+    return told.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("passed")).alias("passed"),
-        F.count_if(bad).alias("failed"),
+        F.count_if(~F.col("passed")).alias("failed"),
         F.coalesce(F.avg(F.col("passed").cast("int")), F.lit(0.0)).alias("pass_rate"),
-        *[F.count_if(bad & (category() == k)).alias(k) for k in kinds],
+        *[F.count_if(F.col("x_kind") == k).alias(k) for k in kinds],
     )
 
 

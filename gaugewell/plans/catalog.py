@@ -175,7 +175,7 @@ def exact_match_normalised(spark, d):
 
 @query(f"select idx, ({REFUSAL_PATTERN}) is not null as is_refusal, {REFUSAL_PATTERN} as pattern_matched, ({REFUSAL_CONFIDENCE})::double as confidence from {OUT}")
 def refusal_detect(spark, d):
-    return model_outputs(spark, d).select("idx", refusal.detect(F.col("raw_output")).alias("r")).select("idx", "r.*")
+    return refusal.detected(model_outputs(spark, d), "raw_output", "r").select("idx", "r.*")
 
 
 @query(f"select category, count(*) filter (refusal_detected) as refusals, count(*) as total from {SCORED} group by category")
@@ -210,7 +210,7 @@ JSON = rf"coalesce(case when {_valid(_J)} then {_strip(_J)} end, case when conta
 
 @query(f"select idx, {JSON} as json from {OUT}")
 def json_extract(spark, d):
-    return model_outputs(spark, d).select("idx", jsons.extract(F.col("raw_output")).alias("json"))
+    return jsons.with_json(model_outputs(spark, d), "raw_output", "json").select("idx", "json")
 
 
 @query(f"select idx, (case when {_valid(_J)} then 1.0 when contains({_J}, '```json') then 0.9 when regexp_matches({_J}, '[{{\\[]') then 0.7 else 0.5 end)::double as confidence from {OUT}")
@@ -304,7 +304,7 @@ def unfenced_code(spark, d):
  from (select *, (case when raw_output = '' then 0.0 when len({_BLOCKS}) > 0 then 0.95 else 0.3 end) as code_conf, coalesce({_BLOCKS}[-1].code, {_CLEAN}) as code, {JSON} as json,
  case when pred = '' then 0.0 {' '.join(f'when regexp_matches({_T}, {_q(p)}) then {v}' for p, v in choice.PATTERNS)} else 0.3 end as mc_conf from {SCORED})""")
 def robust_parse(spark, d):
-    return model_outputs(spark, d).select("idx", robust.parse(F.col("raw_output")).alias("r")).select("idx", "r.parser_used", "r.content")
+    return robust.parsed(model_outputs(spark, d), "raw_output").select("idx", "parser_used", "content")
 
 
 @query()
