@@ -26,14 +26,15 @@ CHOICES = ("A", "B", "C", "D", "E")
 
 
 def _last(text: Column, pattern: str) -> Column:
-    return F.upper(F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1)))
+    """The last letter that a pattern finds in an upper-cased text: one of A to E."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
 
 
 def extract(c: Column, choices: tuple[str, ...] = CHOICES) -> Column:
     """The last letter of the first pattern that gives an allowed one, else a standalone choice, else the last A to E, else ''."""
     text = F.upper(F.coalesce(c, F.lit("")))
     found = [_last(text, p) for p, _ in PATTERNS]
-    ladder = [F.when(x.isin(*choices), x) for x in found]
+    ladder = found if set(choices) >= set(CHOICES) else [F.when(x.isin(*choices), x) for x in found]
     ladder += [F.when(text.rlike(rf"\b{x}\b"), F.lit(x)) for x in reversed(choices)]
     return F.coalesce(*ladder, F.regexp_extract(text, r"(?s).*([ABCDE])", 1))
 

@@ -134,9 +134,9 @@ def call_name(c: Column) -> Column:
     """The function that a call object names, in any of its forms."""
     name = F.coalesce(F.get_json_object(c, "$.name"), F.get_json_object(c, "$.function"))
     keys = F.json_object_keys(c)
-    return F.coalesce(name, F.when(F.size(keys) == 1, keys[0]))
+    return F.when(is_json(c), F.coalesce(name, F.when(F.size(keys) == 1, keys[0])))
 
 
 def call_arguments(c: Column) -> Column:
     alone = F.when(F.size(F.json_object_keys(c)) == 1, F.call_function("get_json_object", c, F.concat(F.lit("$."), F.json_object_keys(c)[0])))
-    return F.coalesce(F.get_json_object(c, "$.arguments"), F.get_json_object(c, "$.args"), F.get_json_object(c, "$.parameters"), alone)
+    return F.when(is_json(c), F.coalesce(F.get_json_object(c, "$.arguments"), F.get_json_object(c, "$.args"), F.get_json_object(c, "$.parameters"), alone))

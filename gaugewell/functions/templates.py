@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _IM = {r: f"<|im_start|>{r}\n{{content}}<|im_end|>\n" for r in ("system", "user", "assistant")}
 _BAR = {r: f"<|{r}|>\n{{content}}<|end|>\n" for r in ("system", "user", "assistant")}
@@ -86,7 +89,39 @@ def choice_prompt(context: Column, endings: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Context: "), context), F.lit(""), F.lit("Which ending makes the most sense?"), *lines)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _indented(s: pd.Series) -> pd.Series:
+    """JSON texts over several lines, two spaces a level; what is no JSON stays."""
+
+    def one(x: str) -> str:
+        try:
+            return json.dumps(json.loads(x), indent=2)
+        except (TypeError, ValueError):
+            return x
+
+    return s.map(lambda xs: None if xs is None else [one(x) for x in xs])
+
+
+#: The parts of a prompt for function calls.
+CALL_HEAD = "You are a helpful assistant with access to functions. \n\nAvailable functions:\n"
+CALL_QUERY = "\n\nUser query: "
+CALL_FOOT = """\n\nRespond with a JSON array of function calls in the format:\n[{"name": "function_name", "arguments": {"arg1": "value1"}}]\n\nResponse:"""
+
+
 def function_prompt(question: Column, functions: Column) -> Column:
-    """A question with one block for each function: its name, description and parameters."""
-    each = F.transform(functions, lambda f: F.concat(F.lit("Function: "), f["name"], F.lit("\nDescription: "), F.coalesce(f["description"], F.lit("")), F.lit("\nParameters: "), F.coalesce(f["parameters"], F.lit("{}"))))
-    return F.concat(F.lit("Available functions:\n"), F.array_join(each, "\n"), F.lit("\n\nQuestion: "), question)
+    """A question with one block for each function: its name, description and parameters, which are written over several lines."""
+    parameters = _indented(F.transform(functions, lambda f: F.coalesce(f["parameters"], F.lit("{}"))))
+    each = F.zip_with(functions, parameters, lambda f, p: F.concat(F.lit("Function: "), f["name"], F.lit("\nDescription: "), F.coalesce(f["description"], F.lit("")), F.lit("\nParameters: "), p, F.lit("\n")))
+    return F.concat(F.lit(CALL_HEAD), F.array_join(each, "\n"), F.lit(CALL_QUERY), question, F.lit(CALL_FOOT))
+
+
+def register(name: str, forms: dict[str, str]) -> None:
+    """A template of a user's own: a text with {content} for system, user and assistant."""
+    missing = [r for r in ("system", "user", "assistant") if "{content}" not in forms.get(r, "")]
+    if missing:
+        raise ValueError(f"template {name} lacks {{content}} for {', '.join(missing)}")
+    TEMPLATES[name] = dict(forms)
+
+
+def listed() -> list[str]:
+    return sorted(TEMPLATES)

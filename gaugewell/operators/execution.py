@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import ast
+import contextlib
 import os
 import resource
+import signal
 import subprocess
 import sys
 import tempfile
 import time
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Modules that generated code may not import.
-BLOCKED_MODULES = "os sys subprocess socket urllib http ftplib smtplib email ctypes mmap pickle shelve dbm sqlite3 threading multiprocessing concurrent asyncio tkinter PyQt5 PyQt6 PySide2 PySide6".split()
+BLOCKED_MODULES = ["os", "sys", "subprocess", "socket", "urllib", "http", "ftplib", "smtplib", "email", "ctypes", "mmap", "pickle", "shelve", "dbm", "sqlite3", "threading", "multiprocessing", "concurrent", "asyncio", "tkinter", "PyQt5", "PyQt6", "PySide2", "PySide6"]
 #: Functions that it may not call.
-BLOCKED_CALLS = "eval exec compile __import__ open input raw_input reload exit quit help license credits".split()
+BLOCKED_CALLS = ["eval", "exec", "compile", "__import__", "open", "input", "raw_input", "reload", "exit", "quit", "help", "license", "credits"]
+#: Bytes of output and of errors that are kept.
+KEPT = 1 << 20
 
 SAFETY = "is_safe boolean, violations array<string>"
 RESULT = "success boolean, output string, error string, return_code int, execution_time double, timed_out boolean"
@@ -44,7 +50,7 @@ def violations(code: str | None, blocked: set[str], calls: set[str]) -> list[str
 
 def safety_check(df: DataFrame, code: str, blocked: list[str] | None = None, allowed: tuple[str, ...] = ()) -> DataFrame:
     """df with safety struct(is_safe, violations); blocked modules add to the fixed ones, allowed ones leave them."""
-    modules, calls = (set(BLOCKED_MODULES) | set(blocked or [])) - set(allowed), set(BLOCKED_CALLS)
+    modules, calls = set(blocked_modules(blocked, allowed)), set(BLOCKED_CALLS)
 
     @F.pandas_udf(SAFETY)
     def check(s: pd.Series) -> pd.DataFrame:
@@ -54,36 +60,98 @@ def safety_check(df: DataFrame, code: str, blocked: list[str] | None = None, all
     return df.withColumn("safety", check(code))
 
 
-def execute(code: str, timeout: float, memory_mb: int) -> tuple:
-    """Run a text in a fresh interpreter with limits on time, memory, files and processes."""
+def blocked_modules(custom: list[str] | None = None, allowed: tuple[str, ...] = ()) -> list[str]:
+    """Modules that may not be imported, sorted: the fixed ones and custom ones, without allowed ones."""
+    return sorted((set(BLOCKED_MODULES) | set(custom or [])) - set(allowed))
+
+
+def imports(code: str | None) -> list[str]:
+    """Modules that a text imports, sorted; none of a text that is no Python."""
+    try:
+        nodes = list(ast.walk(ast.parse(code or "")))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    found = {a.name for n in nodes if isinstance(n, ast.Import) for a in n.names}
+    return sorted(found | {n.module for n in nodes if isinstance(n, ast.ImportFrom) and n.module})
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def sorted_imports(s: pd.Series) -> pd.Series:
+    return s.map(imports)
+
+
+#: Runs the file named last: its own imports of blocked modules fail, and blocked functions are not there under any name.
+_GUARD = """
+import builtins, sys
+blocked, gone, path = set(sys.argv[1].split(',')), sys.argv[2].split(','), sys.argv[3]
+real, text = builtins.__import__, open(path, encoding='utf-8').read()
+def guarded(name, globals=None, *rest, **more):
+    if (globals or {}).get('__name__') == '__main__' and name.split('.')[0] in blocked | {'builtins', 'importlib'}:
+        raise ImportError('Import of ' + name + ' is not allowed')
+    return real(name, globals, *rest, **more)
+shown = dict(vars(builtins))
+for name in gone:
+    shown.pop(name, None)
+shown['__import__'] = guarded
+program = compile(text, '<code>', 'exec')
+exec(program, {'__name__': '__main__', '__builtins__': shown})
+"""
+
+
+def execute(code: str, timeout: float, memory_mb: int, modules: set[str] | None = None, calls: set[str] | None = None) -> tuple:
+    """Run a text in a fresh interpreter with limits on time, memory, files and processes.
+
+    The run has a session of its own, of which nothing is left when it ends or its time is up; what it prints goes to files
+    of at most KEPT bytes.
+    """
+    modules, calls = modules if modules is not None else set(BLOCKED_MODULES), calls if calls is not None else set(BLOCKED_CALLS)
 
     def limit() -> None:
-        resource.setrlimit(resource.RLIMIT_CPU, (int(timeout) + 1, int(timeout) + 1))
-        resource.setrlimit(resource.RLIMIT_AS, (memory_mb << 20, memory_mb << 20))
-        resource.setrlimit(resource.RLIMIT_FSIZE, (1 << 20, 1 << 20))
+        for what, most in ((resource.RLIMIT_CPU, int(timeout) + 1), (resource.RLIMIT_AS, memory_mb << 20), (resource.RLIMIT_FSIZE, KEPT), (resource.RLIMIT_NPROC, 10)):
+            with contextlib.suppress(OSError, ValueError):
+                resource.setrlimit(what, (most, most))
 
     began = time.monotonic()
-    with tempfile.TemporaryDirectory() as folder:
+    late = False
+    with tempfile.TemporaryDirectory() as folder, open(f"{folder}/out", "w+b") as out, open(f"{folder}/err", "w+b") as err:
         try:
-            run = subprocess.run([sys.executable, "-I", "-c", code], cwd=folder, env={"PATH": os.defpath}, capture_output=True, text=True, timeout=timeout, preexec_fn=limit)
-        except subprocess.TimeoutExpired:
-            return False, "", f"Execution timed out after {timeout:g}s", -1, time.monotonic() - began, True
+            with open(f"{folder}/code.py", "w", encoding="utf-8") as f:
+                f.write(code)
+            os.mkdir(f"{folder}/work")
+            run = subprocess.Popen([sys.executable, "-I", "-c", _GUARD, ",".join(modules), ",".join(calls), f"{folder}/code.py"], cwd=f"{folder}/work", env={"PATH": os.defpath}, stdin=subprocess.DEVNULL, stdout=out, stderr=err, preexec_fn=limit, start_new_session=True)
         except (OSError, ValueError) as e:
             return False, "", str(e), -1, time.monotonic() - began, False
-    return run.returncode == 0, run.stdout, run.stderr or None, run.returncode, time.monotonic() - began, False
+        try:
+            run.wait(timeout)
+        except subprocess.TimeoutExpired:
+            late = True
+        finally:
+            with contextlib.suppress(OSError):
+                os.killpg(run.pid, signal.SIGKILL)
+            run.wait()
+        if late:
+            return False, "", f"Execution timed out after {timeout:g}s", -1, time.monotonic() - began, True
+        out.seek(0)
+        err.seek(0)
+        said, wrong = (f.read(KEPT).decode("utf-8", "replace") for f in (out, err))
+    return run.returncode == 0, said, wrong or None, run.returncode, time.monotonic() - began, False
 
 
 def sandbox(df: DataFrame, code: str, timeout: float = 5.0, memory_mb: int = 512, blocked: list[str] | None = None) -> DataFrame:
-    """df with the outcome of each text; what the safety check refuses does not run."""
+    """df with the outcome of each text; what the safety check refuses does not run, and null texts have no outcome."""
     modules, calls = set(BLOCKED_MODULES) | set(blocked or []), set(BLOCKED_CALLS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for text in f[code]:
+                if not isinstance(text, str):
+                    rows.append((None,) * 6)
+                    continue
                 bad = violations(text, modules, calls)
-                rows.append((False, "", "; ".join(bad), 1, 0.0, False) if bad else execute(text, timeout, memory_mb))
-            yield f.join(pd.DataFrame(rows, index=f.index, columns=[x.split()[0] for x in RESULT.split(", ")]))
+                rows.append((False, "", "; ".join(bad), 1, 0.0, False) if bad else execute(text, timeout, memory_mb, modules, calls))
+            found = pd.DataFrame(rows, index=f.index, columns=[x.split()[0] for x in RESULT.split(", ")]).astype(object)
+            yield f.join(found.astype({"return_code": "Int32", "execution_time": "Float64"}))
 
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema.fields)
     return df.mapInPandas(run, f"{schema}, {RESULT}")
@@ -99,6 +167,37 @@ def output_contains(expected: Column) -> Column:
     return F.col("success") & F.contains(F.col("output"), expected)
 
 
+class Client(Protocol):
+    """A backend: a prompt to (text, tokens, finish_reason). Any function of this form serves."""
+
+    def __call__(self, prompt: str) -> tuple[str, int, str]: ...
+
+
+def replay(generations: DataFrame, samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Samples with texts that were generated before; a sample without one has finish_reason error."""
+    own = generations.select(key, "text", "tokens_generated", "generation_time", "finish_reason")
+    return samples.join(own, key, "left").withColumn("finish_reason", F.coalesce("finish_reason", F.lit("error"))).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def batched(client: Callable[[list[str]], list[tuple[str, int, str]]], df: DataFrame, prompt: str = "prompt", size: int = 8) -> DataFrame:
+    """df with texts from a client that takes lists of prompts, of at most size; a failed list is a failure of each of its rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows: list[tuple] = []
+            for s in range(0, len(f), size):
+                part, began = f[prompt].iloc[s : s + size].tolist(), time.monotonic()
+                try:
+                    got = list(client(part))
+                except Exception:  # noqa: BLE001  any failure of a backend is its rows' failure
+                    got = [("", 0, "error")] * len(part)
+                rows += [(*g, (time.monotonic() - began) / len(part)) for g in got]
+            yield f.join(pd.DataFrame(rows, index=f.index, columns=["text", "tokens_generated", "finish_reason", "generation_time"]))
+
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema.fields)
+    return df.mapInPandas(run, f"{schema}, text string, tokens_generated int, finish_reason string, generation_time double")
+
+
 def generate(df: DataFrame, client: Callable[[str], tuple[str, int, str]], prompt: str = "prompt", retries: int = 3, delay: float = 1.0) -> DataFrame:
     """df with the text that client gives for each prompt; a prompt that keeps failing gives an empty text and finish_reason error.
 

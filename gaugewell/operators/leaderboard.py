@@ -108,3 +108,31 @@ def export_columns(models: DataFrame) -> DataFrame:
 def detail(scores: DataFrame) -> DataFrame:
     """A readable row per model and benchmark."""
     return scores.select("model", "benchmark", F.format_string("%.2f%%", F.col("accuracy") * 100).alias("accuracy_text"), status(F.col("accuracy")).alias("status"))
+
+
+#: The models that the board shows.
+TARGETS = ["qwen3.6-35b-a3b", "qwen3.6-35b-a3b-q8", "qwen3.6-35b-a3b-bf16", "qwen36_27b_q4km", "qwen36_27b_q80", "qwen36_27b_bf16", "qwen3.5-35b-a3b", "qwen3.5-35b-a3b-q8", "qwen3.5-35b-a3b-bf16", "gemma4-26b-a4b-q4", "gemma4-26b-a4b-q8", "gemma4-26b-a4b-bf16"]
+
+
+def targets(df: DataFrame, model: str = "model", names: list[str] | None = None) -> DataFrame:
+    """Rows of the models that the board shows."""
+    return df.where(F.col(model).isin(*(TARGETS if names is None else names)))
+
+
+def measured(models: DataFrame, throughput: str = "throughput") -> DataFrame:
+    """Models whose throughput is known."""
+    return models.where(F.col(throughput).isNotNull())
+
+
+def compact(models: DataFrame) -> DataFrame:
+    """What an assistant is told of each model."""
+    names = {"name": "display_name", "avg_accuracy": "avg_accuracy", "humaneval": "humaneval", "hellaswag": "hellaswag", "bfcl": "bfcl", "throughput_tok_s": "throughput", "ttft_ms": "ttft_ms", "memory_gb": "memory_gb", "model_size_gb": "model_size_gb"}
+    return models.select(*[(F.col(old) if old in models.columns else F.lit(None).cast("double")).alias(new) for new, old in names.items()])
+
+
+def detail_rows(scores: DataFrame) -> DataFrame:
+    """A readable row per model and benchmark: accuracy, passed, total, time or N/A, and whether there is a result."""
+    time = F.when(F.coalesce("avg_time", F.lit(0.0)) > 0, F.format_string("%.1fs", "avg_time")).otherwise("N/A")
+    done = F.when(F.coalesce("accuracy", F.lit(0.0)) > 0, "Complete").otherwise("Pending")
+    accuracy = F.format_string("%.2f%%", F.coalesce("accuracy", F.lit(0.0)) * 100)
+    return scores.select("model", F.upper("benchmark").alias("benchmark"), accuracy.alias("accuracy"), F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("samples", F.lit(0)).alias("total"), time.alias("avg_time"), done.alias("status"))

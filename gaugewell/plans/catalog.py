@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import choice, code, jsons, refusal, robust, scoring, templates, text
 from ..operators import diagnostics, execution, leaderboard, metrics, resume
 from ..sources.derived import MODEL_OUTPUTS_SQL as OUT
-from ..sources.derived import SCORES_SQL, attempts, chat_messages, latency_runs, model_outputs, scores, table
+from ..sources.derived import CODE_OK_SQL, SCORES_SQL, attempts, chat_messages, latency_runs, model_outputs, scores, table
 from . import config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,7 +204,7 @@ for _p, _to in jsons.REPAIRS:
 # this engine's own test lets a last comma pass
 _strict = lambda x: rf"(json_valid({x}) and not regexp_matches({x}, ',\s*[}}\]]'))"
 _valid = lambda x: f"coalesce({_strict(x)}, false)"
-_flat = lambda p: f"[x for x in regexp_extract_all({_J}, {_q(p)}, 1) if {_strict('x')}][1]"
+_flat = lambda p: f"(list_sort([{{'n': -length(x), 'i': i, 'x': x}} for x, i in regexp_extract_all({_J}, {_q(p)}, 1) if {_strict('x')}])[1]).x"
 JSON = rf"coalesce(case when {_valid(_J)} then {_strip(_J)} end, case when contains({_J}, '```') and {_valid(_FENCE)} then {_FENCE} end, {_flat(r'(\[[^\[\]]*\])')}, {_flat(r'(\{[^{}]*\})')}, case when {_valid(_fix)} then {_fix} end, {_J})"
 
 
@@ -236,10 +236,10 @@ def func_call_match(spark, d):
     return e.select("event_id", scoring.function_calls(calls, expected).alias("score")).withColumn("passed", F.col("score") > 0)
 
 
-@query(f"select idx, {_J}::json->>'$.name' as name, {_J}::json->'$.arguments'->>'$.k' as k from {OUT} where event_id % 14 = 10")
+@query(f"select idx, coalesce(j->>'$.name', case when len(json_keys(j)) = 1 then json_keys(j)[1] end) as name, j->'$.arguments'->>'$.k' as k from (select *, case when {_valid(_J)} and {_J}[1] = '{{' then {_J}::json end as j from {OUT})")
 def func_call_parse(spark, d):
-    calls = model_outputs(spark, d).where("event_id % 14 = 10")
-    return calls.select("idx", jsons.call_name(F.col("raw_output")).alias("name"), F.get_json_object(jsons.call_arguments(F.col("raw_output")), "$.k").alias("k"))
+    """Null where an output is no call."""
+    return model_outputs(spark, d).select("idx", jsons.call_name(F.col("raw_output")).alias("name"), F.get_json_object(jsons.call_arguments(F.col("raw_output")), "$.k").alias("k"))
 
 
 # --- code
@@ -286,7 +286,7 @@ def detect_language(spark, d):
     return rows.select("idx", code.detect_language(F.col("x")).alias("language"))
 
 
-@query()
+@query(f"select idx, {CODE_OK_SQL} as ok from {OUT}")
 def syntax_check(spark, d):
     """Null where an output holds no code."""
     rows = model_outputs(spark, d)
@@ -307,18 +307,24 @@ def robust_parse(spark, d):
     return robust.parsed(model_outputs(spark, d), "raw_output").select("idx", "parser_used", "content")
 
 
-@query()
+@query(f"""select idx, case when ok is not null then ok and event_id % 3 <> 0 end as is_safe, case when not ok then 'Syntax error' when ok and event_id % 3 = 0 then 'Blocked import: os' when ok then '' end as violations
+ from (select *, {CODE_OK_SQL} as ok from {OUT})""")
 def safety_check(spark, d):
     """Null where an output holds no code."""
     text = F.concat(F.when(F.col("event_id") % 3 == 0, "import os\n").otherwise(""), code.extract(F.col("raw_output")))
     rows = model_outputs(spark, d).select("idx", text.alias("code"), (F.size(code.blocks(F.col("raw_output"))) > 0).alias("held"))
     checked = execution.safety_check(rows, "code").withColumn("safety", F.when(F.col("held"), F.col("safety")))
-    return checked.select("idx", "safety.is_safe", "safety.violations")
+    kind = F.transform("safety.violations", lambda v: F.when(v.startswith("Syntax error"), "Syntax error").otherwise(v))
+    return checked.select("idx", "safety.is_safe", F.array_join(kind, "; ").alias("violations"))
 
 
-@query()
+@query("""select n_nationkey, n_nationkey % 5 in (0, 3) as success, case n_nationkey % 5 when 0 then (n_nationkey * 2)::varchar || chr(10) when 3 then repeat('x', 50) || chr(10) when 1 then 'before' || chr(10) else '' end as output,
+ case n_nationkey % 5 when 0 then 0 when 3 then 0 else 1 end as return_code, false as timed_out from nation""")
 def sandbox_exec(spark, d):
-    rows = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("print("), F.col("n_nationkey").cast("string"), F.lit(" * 2)")).alias("code"))
+    """Output, an error after output, a blocked function under another name, a class, and a blocked import."""
+    n = F.col("n_nationkey").cast("string")
+    forms = [F.concat(F.lit("print("), n, F.lit(" * 2)")), F.lit("print('before')\n1 / 0"), F.lit("e = eval\nprint(e('1'))"), F.lit("class A:\n    def f(self):\n        return 'x' * 50\nprint(A().f())"), F.lit("import os\nprint(1)")]
+    rows = table(spark, d, "nation").select("n_nationkey", F.get(F.array(*forms), (F.col("n_nationkey") % 5).cast("int")).alias("code"))
     return execution.sandbox(rows, "code").select("n_nationkey", "success", "output", "return_code", "timed_out")
 
 
@@ -712,12 +718,15 @@ def throughput_and_memory(spark, d):
     return e.select("event_id", F.round(scoring.throughput(F.col("event_id") % 257, F.col("value")), 6).alias("tokens_per_second"), F.round(scoring.gigabytes(F.col("value") * 1e9), 6).alias("gb"))
 
 
-@query(f"select sample_id, to_json({{'sample_id': sample_id, 'passed': passed, 'n': idx}}) as json from {SCORED} where idx < 500")
+@query(f"select sample_id, to_json({{'sample_id': sample_id, 'passed': passed, 'n': idx}}) as json from {SCORED}")
 def diagnostic_json(spark, d):
-    return scored(spark, d).where("idx < 500").select("sample_id", F.to_json(F.struct("sample_id", "passed", F.col("idx").alias("n"))).alias("json"))
+    return scored(spark, d).select("sample_id", F.to_json(F.struct("sample_id", "passed", F.col("idx").alias("n"))).alias("json"))
 
 
 @query("select s_suppkey, s_name from supplier where s_suppkey not in (select c_custkey from customer where c_custkey % 2 = 0)")
 def upsert_skipped(spark, d):
     board = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("s_suppkey"))
     return leaderboard.skipped(board, table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+
+
+from . import evaluation  # noqa: E402, F401  its queries register themselves above

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Required fields of a configuration.
@@ -44,3 +45,29 @@ def read_yaml(text: str) -> dict:
     part = lambda k: doc.get(k) or {}
     row = {"name": doc.get("name"), "task_type": doc.get("task_type"), "dataset_path": part("dataset").get("path"), "num_samples": part("dataset").get("num_samples"), "subset": part("dataset").get("subset"), "split": part("dataset").get("split"), "metric": part("evaluation").get("metric"), "parser": part("parsing").get("parser")}
     return row | {k: part("generation").get(k) for k in ("max_tokens", "temperature", "top_p")}
+
+
+SCANNED = "file string, name string, task_type string, dataset_path string, metric string, parser string, error string"
+
+
+def scan(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, is_valid, errors) of every YAML file below a folder; a file that can't be read as a configuration has that as its error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yaml").load(folder)
+    root = folder.split("://")[-1].rstrip("/") + "/"
+
+    def rows(frames):
+        for f in frames:
+            out = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                row = dict.fromkeys(x.split()[0] for x in SCANNED.split(", "))
+                try:
+                    row |= {k: v for k, v in read_yaml(bytes(content).decode()).items() if k in row}
+                except Exception as e:  # noqa: BLE001  any fault of a file is its own
+                    row["error"] = str(e).splitlines()[0]
+                out.append(row | {"file": path.split(root, 1)[-1]})
+            yield pd.DataFrame(out).astype(object)
+
+    read = files.select("path", "content").mapInPandas(rows, SCANNED)
+    checked = validate(read)
+    errors = F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.col("errors"))
+    return checked.select("file", (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"))

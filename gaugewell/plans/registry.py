@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame
 
 KINDS = ("adapter", "parser", "metric", "dataset", "reporter", "task")
 _found: dict[str, dict[str, Callable]] = {k: {} for k in KINDS}
@@ -27,3 +30,27 @@ def unregister(kind: str, name: str) -> None:
 
 def listed(kind: str | None = None) -> dict[str, list[str]]:
     return {k: sorted(v) for k, v in _found.items() if kind in (None, k)}
+
+
+class Parser(Protocol):
+    """A text column to struct(content, confidence, parser_used)."""
+
+    def __call__(self, text: Column) -> Column: ...
+
+
+class Loader(Protocol):
+    """Raw rows, numbered by idx, to rows of samples; those without a prompt are left out."""
+
+    def __call__(self, rows: DataFrame) -> DataFrame: ...
+
+
+class Metric(Protocol):
+    """(content, reference) to a score from 0 to 1, or a boolean."""
+
+    def __call__(self, content: Column, reference: Column) -> Column: ...
+
+
+class Reporter(Protocol):
+    """Results to a frame of what is told of them."""
+
+    def __call__(self, results: DataFrame) -> DataFrame: ...

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import templates
@@ -20,9 +23,30 @@ def read_split(spark: SparkSession, path: str, schema: str, split: str | None =
     return spark.read.schema(schema).format(fmt).load(f"{path}/{split}" if split else path)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df with idx, the rows' order as they were read."""
-    return df.withColumn("idx", F.monotonically_increasing_id())
+def numbered(df: DataFrame, name: str = "idx") -> DataFrame:
+    """df with idx, the rows' places from 0 in the order of the files' names and of rows in them.
+
+    Counts by file part give each part its first number, so numbers do not depend on how parts are dealt to tasks, and a row costs
+    no shuffle. A frame that reads no files is numbered by its partitions.
+    """
+    try:
+        parts = [F.col("_metadata.file_path").alias("x_file"), F.col("_metadata.file_block_start").alias("x_start")]
+        df.select(*parts)
+    except AnalysisException:
+        parts = [F.lit("").alias("x_file"), F.spark_partition_id().cast("long").alias("x_start")]
+    rows = df.select("*", *parts, F.monotonically_increasing_id().alias("x_at"))
+    sizes = rows.groupBy("x_file", "x_start").agg(F.min("x_at").alias("x_first"), F.count(F.lit(1)).alias("x_n"))
+    before = Window.orderBy("x_file", "x_start").rowsBetween(Window.unboundedPreceding, -1)  # a row per file part
+    sizes = sizes.withColumn("x_base", F.coalesce(F.sum("x_n").over(before), F.lit(0))).drop("x_n")
+    return rows.join(F.broadcast(sizes), ["x_file", "x_start"]).select(*df.columns, (F.col("x_base") + F.col("x_at") - F.col("x_first")).alias(name))
+
+
+def samples(df: DataFrame, extract: Callable[[DataFrame], DataFrame], n: int | None = None) -> DataFrame:
+    """A dataset's samples: rows are numbered as read (for ids), extracted, those that give no prompt go, and the rest are numbered
+    anew (idx, which resuming goes by) before the first n are taken."""
+    kept = extract(numbered(df)).orderBy("idx").drop("idx")
+    out = numbered(kept)
+    return out.where(F.col("idx") < n) if n is not None else out
 
 
 def mapped(df: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -53,12 +77,22 @@ def bfcl_question(question: Column) -> Column:
     return F.coalesce(got("$[0][0].content"), got("$[0].content"), whole, F.when(F.schema_of_variant(question).like("ARRAY<STRING>%"), got("$[0]")), F.lit(""))
 
 
+def bfcl_functions(function: Column) -> Column:
+    """array<struct(name, description, parameters)> of a function's schema, a list of them, or either as JSON text; parameters as JSON."""
+    text = F.try_variant_get(function, "$", "string")
+    v = F.when(F.schema_of_variant(function) == "STRING", F.try_parse_json(F.nullif(F.trim(text), F.lit("")))).otherwise(function)
+    items = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v))
+    get = lambda x, k: F.try_variant_get(x, f"$.{k}", "string")
+    each = F.transform(F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT")), lambda x: F.struct(F.coalesce(get(x, "name"), F.lit("unknown")).alias("name"), F.coalesce(get(x, "description"), F.lit("")).alias("description"), F.coalesce(F.to_json(F.try_variant_get(x, "$.parameters", "variant")), F.lit("{}")).alias("parameters")))
+    return F.coalesce(each, F.array().cast("array<struct<name:string,description:string,parameters:string>>"))
+
+
 def bfcl(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Questions with their answers; a question without one has none to match, of several the last counts."""
     last = numbered(answers).groupBy("id").agg(F.max_by("ground_truth", "idx").alias("ground_truth"))
     empty = F.array().cast("array<map<string,map<string,array<string>>>>")
     joined = questions.join(last, "id", "left")
-    return joined.select("idx", "id", bfcl_question(F.col("question")).alias("prompt"), F.coalesce("ground_truth", empty).alias("reference"), F.coalesce("function_call_type", F.lit("simple")).alias("call_type"))
+    return joined.select("idx", "id", bfcl_question(F.col("question")).alias("prompt"), bfcl_functions(F.col("function")).alias("functions"), F.coalesce("ground_truth", empty).alias("reference"), F.coalesce("function_call_type", F.lit("simple")).alias("call_type"))
 
 
 def info(df: DataFrame, path: str, split: str) -> dict:

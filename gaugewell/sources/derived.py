@@ -36,6 +36,36 @@ RAW_OUTPUT = """case cast(event_id % 14 as int)
  else concat('```', chr(10), 'const a = ', cast(event_id as string), ';', chr(10), '```', chr(10), 'and', chr(10), '```json', chr(10), '{"a": 1}', chr(10), '```')
  end"""
 
+
+def _literal(x: str) -> str:
+    """An SQL expression for a text; line ends and backquotes as chr(), {L} as the row's letter, {N} as its number."""
+    parts, out = [x], []
+    for mark, sql in (("{L}", "letter"), ("{N}", "cast(event_id as string)"), ("\n", "chr(10)"), ("`", "chr(96)")):
+        parts = [y for p in parts for y in ([p] if isinstance(p, tuple) else [z for i, q in enumerate(p.split(mark)) for z in (([(sql,)] if i else []) + [q])])]
+    for p in parts:
+        if p:
+            out.append(p[0] if isinstance(p, tuple) else "'" + p.replace("'", "''") + "'")
+    return "concat(" + ", ".join(out or ["''"]) + ")"
+
+
+#: Shapes beside those above: each refusal, each form of a choice, empty answers, JSON of all kinds, code in each language.
+SHAPES = [
+    *["I can't do that.", "I am unable to see it, number {N}.", "I'm not able to run this here.", "I will not write it at all.", "As an AI language model I hold no views.", "As an assistant, I would rather stop.", "I don't have enough information, I cannot tell.", "That is not possible for me, sorry.", "Sorry, but this is a longer answer about {N}.", "I don't know which of these is meant.", "I'm not sure about the second one.", "I do not understand what is asked here.", "I'm not familiar with this library.", "This is beyond my capabilities as it stands.", "That lies outside my knowledge of the field.", "I don't have access to the files.", "I would need more information to decide.", "I can't provide specific advice on {N}.", "I cannot generate code for that.", "I won't generate code of this kind.", "Here code generation is not allowed.", "I apologize, but that will not work."],
+    *["The answer is: {L}", "Correct answer: {L}", "Option: {L} fits", "choice: {L}", "[{L}]", "{L}) because of {N}", "{L}.", "it must be {L} today", "answer {L}", "**{L}** or `A`", "(A) no, (B) no, ({L}) yes", "Neither: none of the above 42", "x y z {N}", "the answer is b."],
+    *["[ ]", "{}", "null", "none", "N/A", "   ", "\n\n"],
+    *['{"a": {"b": [1, 2, {"c": {N}}]}}', '[1, 2, [3, {N}]]', "{'name': 'f', 'k': {N}}", '{name: "f", k: {N}}', 'Result: {"k": {N}} and {"longer": "text", "k": 1}', 'see [1] and [1, 2, {N}] there', '```json\n{"k": {N}}\n```', '```json\n[{N}, 2]\n```\nThat is all.', '"only a string {N}"', "{N}", "true", '{"open": [1, 2', '{"k": 1, // note\n "j": {N}}', '{"k": 1 /* note */, "j": {N},}'],
+    *[f"```{tag}\n{body}\n```" for tag, body in (("python", "import math\nprint(math.pi + {N})"), ("", "def g(a, b):\n    return a + b"), ("javascript", "function f() { return {N}; }"), ("java", "public class A { int x = {N}; }"), ("cpp", "#include <vector>\nint main() { return 0; }"), ("rust", "fn main() { let x = {N}; }"), ("go", "package main\nfunc main() {}"), ("", "#!/usr/bin/env ruby\nputs {N}"), ("sql", "select {N} from t"))],
+    *["```python\na = 1\n```\nthen\n```python\nb = {N}\n```", "```python\nopen = {N}", "```\n```", "```yaml\nk: {N}\n```", "Text, then ```inline {N}``` and more."],
+]
+_shapes = " ".join(f"when {i} then {_literal(x)}" for i, x in enumerate(SHAPES))
+RAW_OUTPUT = f"case when cast(event_id % 100 as int) < 60 then {RAW_OUTPUT} else case cast((event_id % 100 - 60 + 40 * cast(floor(event_id / 100) as bigint)) % {len(SHAPES)} as int) {_shapes} end end"
+
+#: Whether the code that a shape holds is Python, for those that hold code: all with a fence that holds something.
+CODE_OK = {"```json\n{": True, "```json\n[": True, "```python\nimport": True, "```\ndef": True, "```javascript": False, "```java\n": False, "```cpp": False, "```rust": False, "```go": False, "```\n#!": False, "```sql": False, "```python\na": True, "```python\nopen": True, "```yaml": True, "Text, then ```": False}
+_held = {i: ok for i, x in enumerate(SHAPES) for start, ok in CODE_OK.items() if x.startswith(start)}
+_at = f"(event_id % 100 - 60 + 40 * floor(event_id / 100)::bigint) % {len(SHAPES)}"
+CODE_OK_SQL = f"case when event_id % 100 < 60 then case event_id % 14 when 9 then true when 13 then false end else case {_at} {' '.join(f'when {i} then {str(ok).lower()}' for i, ok in _held.items())} end end"
+
 _inner = ", ".join(f"{sql} as {name}" for name, sql in MODEL_OUTPUTS.items())
 #: A view for other engines; string is varchar there.
 MODEL_OUTPUTS_SQL = f"(select *, {RAW_OUTPUT} as raw_output from (select event_id, {_inner} from events))".replace("as string", "as varchar")
