@@ -181,10 +181,17 @@ def written_order(df: DataFrame, major: str, minor: str) -> DataFrame:
         return df.select("*", F.lpad(F.shiftright(at, 33).cast("string"), 10, "0").alias(major), at.bitwiseAND(F.lit((1 << 33) - 1)).alias(minor))
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove the tables of all runs of this session, also those that results still read."""
-    while _roots:
-        where = spark._jvm.org.apache.hadoop.fs.Path(_roots.pop())
+def scratch_roots() -> list[str]:
+    """The folders of all runs of this session that are still there."""
+    return list(_roots)
+
+
+def drop_scratch(spark: SparkSession, roots: list[str] | None = None) -> None:
+    """Remove the tables of the given runs, or of all runs of this session, also those that results still read."""
+    for root in scratch_roots() if roots is None else roots:
+        if root in _roots:
+            _roots.remove(root)
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
