@@ -75,8 +75,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer than half as many partitions; larger inputs stay as they are read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     inner = events.select("event_id", *[F.expr(sql).alias(name) for name, sql in MODEL_OUTPUTS.items()])
     return inner.withColumn("raw_output", F.expr(RAW_OUTPUT))
 
