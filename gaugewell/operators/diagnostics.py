@@ -65,6 +65,11 @@ def categories(df: DataFrame) -> DataFrame:
     return failed(df).groupBy(category().alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def top_categories(df: DataFrame, n: int = 3) -> DataFrame:
+    """The most frequent kinds of failure, by count and then by name."""
+    return categories(df).orderBy(F.desc("n"), "category").limit(n)
+
+
 def summary(df: DataFrame) -> DataFrame:
     """Totals and the counts of each kind of failure, in one pass; the kind is a column of its own, computed once for a row."""
     kinds = ("execution_error", "refusal", "parsing_error", "incorrect_output")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calls, choice, code, jsons, refusal, robust, scoring
-from . import execution
+from ..sources import checkpoints
+from . import execution, resume
 
 PARSED = "struct<content:string,confidence:double,parser_used:string>"
 
@@ -87,3 +88,24 @@ def quick_choice_accuracy(df: DataFrame, text: str, reference: str) -> DataFrame
     """One call: the accuracy of the letters in a text column."""
     out = scored(parsed(df, text, "mc"), "multiple_choice", reference)
     return out.agg(F.avg(F.col("passed").cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("correct"))
+
+
+def run(samples: DataFrame, evaluate_rows: Callable[[DataFrame], DataFrame], root: str, task: str, model: str, every: int = 1000, key: str = "idx", keep: int | None = 5) -> DataFrame:
+    """All results of a run that may have been interrupted: what its checkpoint has, and the rest in steps of about every samples.
+
+    After each step the results so far are written as the run's checkpoint, so at most a step is lost. Samples are
+    told by key, a number from 0; those with a result are not evaluated again. The driver loops over
+    steps, of which there are as many as key ranges with samples left, and holds no row.
+    """
+    spark = samples.sparkSession
+    added = ("task_name", "model_name", "timestamp", "metadata")
+    done = checkpoints.load(spark, root, task, model)
+    left = resume.remaining(samples, done, key) if done is not None else samples
+    steps = [r[0] for r in left.select(F.floor(F.col(key) / every).alias("step")).distinct().orderBy("step").collect()]
+    for step in steps:
+        part = left.where(F.floor(F.col(key) / every) == step)
+        new = evaluate_rows(part)
+        so_far = new if done is None else resume.combine(done.drop(*added), new)
+        checkpoints.save(so_far, root, task, model, keep=keep)
+        done = checkpoints.load(spark, root, task, model)
+    return done.drop(*added) if done is not None else evaluate_rows(samples)

@@ -12,6 +12,7 @@ import sys
 import tempfile
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text
+
 #: Modules that generated code may not import.
 BLOCKED_MODULES = ["os", "sys", "subprocess", "socket", "urllib", "http", "ftplib", "smtplib", "email", "ctypes", "mmap", "pickle", "shelve", "dbm", "sqlite3", "threading", "multiprocessing", "concurrent", "asyncio", "tkinter", "PyQt5", "PyQt6", "PySide2", "PySide6"]
 #: Functions that it may not call.
@@ -144,12 +147,12 @@ def sandbox(df: DataFrame, code: str, timeout: float = 5.0, memory_mb: int = 512
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for text in f[code]:
-                if not isinstance(text, str):
+            for x in f[code]:
+                if not isinstance(x, str):
                     rows.append((None,) * 6)
                     continue
-                bad = violations(text, modules, calls)
-                rows.append((False, "", "; ".join(bad), 1, 0.0, False) if bad else execute(text, timeout, memory_mb, modules, calls))
+                bad = violations(x, modules, calls)
+                rows.append((False, "", "; ".join(bad), 1, 0.0, False) if bad else execute(x, timeout, memory_mb, modules, calls))
             found = pd.DataFrame(rows, index=f.index, columns=[x.split()[0] for x in RESULT.split(", ")]).astype(object)
             yield f.join(found.astype({"return_code": "Int32", "execution_time": "Float64"}))
 
@@ -167,6 +170,25 @@ def output_contains(expected: Column) -> Column:
     return F.col("success") & F.contains(F.col("output"), expected)
 
 
+@dataclass(frozen=True)
+class ModelInfo:
+    """What is known of a backend's model."""
+
+    name: str
+    available: bool = True
+    context_length: int = 4096
+    chat_template: str = "default"
+
+    def fits(self, prompt: Column, max_tokens: int = 0) -> Column:
+        """Whether a prompt, at four characters a token, and what is to be generated fit the context."""
+        return text.token_estimate(prompt) + max_tokens <= self.context_length
+
+
+def preferred(files: DataFrame, by: str, file: str, rank: Column, size: Column) -> DataFrame:
+    """One file of each group: the one that is preferred most, of these the smallest."""
+    return files.groupBy(by).agg(F.min_by(file, F.struct(rank.alias("a"), size.alias("b"))).alias(file))
+
+
 class Client(Protocol):
     """A backend: a prompt to (text, tokens, finish_reason). Any function of this form serves."""
 

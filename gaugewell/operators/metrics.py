@@ -125,7 +125,9 @@ def counters(df: DataFrame) -> DataFrame:
     return df.agg(_n(F.col("finish_reason") == "length").alias("truncated"), _n(F.col("pred") == "").alias("empty_predictions"), F.count(F.lit(1)).alias("total"))
 
 
-def wide(long_: DataFrame, key: str, name: str, value: str, columns: list[str]) -> DataFrame:
-    """Metrics of different tasks side by side; what a task lacks is N/A."""
+def wide(long_: DataFrame, key: str, name: str, value: str, columns: list[str] | None = None) -> DataFrame:
+    """Metrics of different tasks side by side; what a task lacks is N/A. Without columns, all names that occur, sorted."""
+    if columns is None:
+        columns = [r[0] for r in long_.select(name).distinct().orderBy(name).collect()]
     out = long_.groupBy(key).pivot(name, columns).agg(F.first(value))
     return out.select(key, *[F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.4f", F.col(c))).alias(c) for c in columns])

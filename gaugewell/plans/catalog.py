@@ -683,14 +683,14 @@ def leaderboard_totals(spark, d):
 
 @query(f"select category as error_category, count(*) as n from (select {CATEGORY} as category from {SCORED} where not passed) group by 1 order by n desc, 1 limit 3")
 def top_error_categories(spark, d):
-    return diagnostics.categories(scored(spark, d)).orderBy(F.desc("n"), "category").limit(3).withColumnRenamed("category", "error_category")
+    return diagnostics.top_categories(scored(spark, d), 3).withColumnRenamed("category", "error_category")
 
 
 @query("select s_nationkey, min_by(s_name, (case s_suppkey % 3 when 0 then 0 when 1 then 1 else 2 end) * 1000000 + s_acctbal) as file from supplier group by s_nationkey")
 def preferred_file(spark, d):
     """One file for each model: by order of preference, then the smallest."""
     rank = F.when(F.col("s_suppkey") % 3 == 0, 0).when(F.col("s_suppkey") % 3 == 1, 1).otherwise(2)
-    return table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min_by("s_name", F.struct(rank.alias("a"), F.col("s_acctbal").alias("b"))).alias("file"))
+    return execution.preferred(table(spark, d, "supplier"), "s_nationkey", "s_name", rank, F.col("s_acctbal")).withColumnRenamed("s_name", "file")
 
 
 @query(f"select task as task_name, category as model_name, count(*) as completed, max(idx)::varchar as timestamp from {OUT} group by 1, 2")

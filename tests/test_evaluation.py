@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewell.functions import calls, code, jsons, refusal, robust, templates, text
-from gaugewell.operators import evaluate, execution, report, resume
+from gaugewell.operators import evaluate, execution, metrics, report, resume
 from gaugewell.plans import config, registry
 from gaugewell.sources import benchmarks, checkpoints, inference, reports
 from gaugewell.sources.derived import CODE_OK, SHAPES
@@ -148,6 +148,36 @@ def test_checkpoints(spark, tmp_path):
     assert checkpoints.clear(spark, root) == 5 and checkpoints.listed(spark, root) == []
 
 
+def test_a_run_goes_on_from_its_checkpoint(spark, tmp_path):
+    root = f"file://{tmp_path}/runs"
+    samples = spark.createDataFrame([(i, f"s{i}", f"The answer is {'ABCD'[i % 4]}.", "A") for i in range(10)], "idx long, sample_id string, text string, reference string")
+    seen = []
+
+    def rows(part):
+        seen.append(sorted(r.idx for r in part.select("idx").collect()))
+        if len(seen) == 3:
+            raise RuntimeError("interrupted")
+        return evaluate.evaluate(part, "multiple_choice", "mc")
+
+    with pytest.raises(RuntimeError):
+        evaluate.run(samples, rows, root, "t", "m", every=4)
+    assert checkpoints.load(spark, root, "t", "m").count() == 8
+    got = sorted(evaluate.run(samples, rows, root, "t", "m", every=4).collect(), key=lambda r: r.idx)
+    assert seen == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9], [8, 9]]
+    assert [r.passed for r in got] == [i % 4 == 0 for i in range(10)] and "timestamp" not in got[0].asDict()
+    assert evaluate.run(samples, rows, root, "t", "m", every=4).count() == 10 and len(seen) == 4
+    assert evaluate.run(samples.where("false"), lambda p: evaluate.evaluate(p, "multiple_choice", "mc"), root, "t", "other").count() == 0
+
+
+def test_model_info_and_wide_metrics(spark):
+    info = execution.ModelInfo("m", context_length=10)
+    df = spark.createDataFrame([("x" * 20,), ("x" * 44,), (None,)], "p string")
+    assert [r[0] for r in df.select(info.fits(F.col("p"), 4)).collect()] == [True, False, True]
+    long_ = spark.createDataFrame([("t1", "b", 0.5), ("t2", "a", 0.25)], "task string, name string, value double")
+    got = {r.task: (r.a, r.b) for r in metrics.wide(long_, "task", "name", "value").collect()}
+    assert got == {"t1": ("N/A", "0.5000"), "t2": ("0.2500", "N/A")}
+
+
 def test_inference_documents(spark, tmp_path):
     stats = spark.createDataFrame([("m", 2.5, 10.0, 20.0, 3.0)], "model_name string, model_size_gb double, ttft_ms double, throughput_tok_s double, peak_ram_gb double")
     inference.write_metrics(stats, f"{tmp_path}/m")
