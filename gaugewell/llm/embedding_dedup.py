@@ -38,11 +38,11 @@ def _planes(dim: int, passes: int, bits: int, seed: int) -> np.ndarray:
 
 def _rows(column: pa.Array) -> list[np.ndarray | None]:
     """A list column as float64 vectors; None for a null or one with null components."""
-    out: list[np.ndarray | None] = []
-    for v in column:
-        values = v.values if v.is_valid else None
-        out.append(None if values is None or values.null_count else values.to_numpy(zero_copy_only=False).astype(np.float64))
-    return out
+    flat, at = column.values, column.offsets.to_numpy()
+    data = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    missing = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))]) if flat.null_count else np.zeros(len(flat) + 1, np.int64)
+    whole = column.is_valid().to_numpy(zero_copy_only=False) & (missing[at[1:]] == missing[at[:-1]])
+    return [data[x:y] if ok else None for x, y, ok in zip(at[:-1].tolist(), at[1:].tolist(), whole.tolist(), strict=True)]
 
 
 def _coded(passes: int, bits: int, seed: int):
