@@ -20,7 +20,7 @@ _ODD_SPACE = re.compile(r"[^\S \t\n\r]|[\x00\x1c-\x1f\x85]")
 #: Runs that a byte-level pattern never crosses: a word with at most one space before it, or white space.
 _BYTE_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: A comma or full stop at a word's end that does not follow a plain Latin letter or a digit, so it may belong to what is before it.
-_NO_CUT = re.compile(r"(?<![A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,](?!\S)")
+_NO_CUT = re.compile(r"[.,](?!\S)(?<![A-Za-z0-9À-ÖØ-öø-ÿ][.,])")
 #: Bytes that no unusual white space has: printable ASCII, usual white space, and two-byte letters from U+00C0 on.
 _USUAL = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xE0)])
 _NOT_SINGLE = ("  ", "\n\n", " \n", "\n ", "\t", "\r")

@@ -226,3 +226,17 @@ def test_suffixes_with_equal_neighbours():
             nodes[k].add(n)
         ends = {rows[0][0], rows[-1][0]}
         assert sorted(got) == [r for r in rows if len(nodes[r[0]]) > 1 or r[0] in ends]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from gaugewell.llm.common import shared_dir
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder, set=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None))
+    assert shared_dir(session("yarn", "hdfs:///scratch/")) == "hdfs:///scratch" and shared_dir(session("local[2]", None)).startswith("file://")
