@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from .running import running_sums
 
 
 def _n(c: Column) -> Column:
@@ -116,9 +117,8 @@ def memory_by_context(df: DataFrame, context: str, memory: str) -> DataFrame:
 
 
 def running_counts(df: DataFrame, partition: str, order: str) -> DataFrame:
-    """Passed and failed so far, as a run goes on."""
-    w = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("passed_so_far", F.sum(F.col("passed").cast("int")).over(w)).withColumn("failed_so_far", F.sum((~F.col("passed")).cast("int")).over(w))
+    """Passed and failed so far, as a run goes on; order is a number. A run of any length goes to many tasks."""
+    return running_sums(df, {"passed_so_far": F.col("passed").cast("int"), "failed_so_far": (~F.col("passed")).cast("int")}, order, partition)
 
 
 def counters(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import templates
+from ..operators.running import running_sums
 
 HUMANEVAL = "task_id string, prompt string, entry_point string, canonical_solution string, test string"
 HELLASWAG = "ind long, ctx string, ctx_a string, ctx_b string, endings array<string>, label string, activity_label string, split_type string"
@@ -43,10 +44,11 @@ def numbered(df: DataFrame, name: str = "idx") -> DataFrame:
 
 def samples(df: DataFrame, extract: Callable[[DataFrame], DataFrame], n: int | None = None) -> DataFrame:
     """A dataset's samples: rows are numbered as read (for ids), extracted, those that give no prompt go, and the rest are numbered
-    anew (idx, which resuming goes by) before the first n are taken."""
-    kept = extract(numbered(df)).orderBy("idx").drop("idx")
-    out = numbered(kept)
-    return out.where(F.col("idx") < n) if n is not None else out
+    anew (idx, which resuming goes by) before the first n are taken. extract keeps a row's idx, and of each row at most one."""
+    kept = extract(numbered(df))
+    kept = kept.orderBy("idx").limit(n) if n is not None else kept
+    out = running_sums(kept.withColumnRenamed("idx", "x_idx"), {"idx": F.lit(1)}, "x_idx").drop("x_idx")
+    return out.withColumn("idx", F.col("idx") - 1)
 
 
 def mapped(df: DataFrame, fields: dict[str, str]) -> DataFrame:

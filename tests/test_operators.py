@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from gaugewell.operators import diagnostics, execution, leaderboard, metrics, resume
+from gaugewell.operators import diagnostics, execution, leaderboard, metrics, resume, running
 from gaugewell.plans import catalog, config, registry
 from gaugewell.sources import benchmarks, reports
 from gaugewell.streaming import results
@@ -153,3 +153,23 @@ def test_code_queries_take_all_outputs(spark, tmp_path):
     safe = {r["idx"]: (r["is_safe"], bool(r["violations"])) for r in catalog.safety_check(spark, str(tmp_path)).collect()}
     held = {9: (False, True), 23: (True, False), 13: (False, True), 27: (False, True)}
     assert safe == {i: held.get(i, (None, False)) for i in range(28)}
+
+
+@pytest.mark.parametrize("width", [1, 3, 1 << 16])
+def test_running_sums(spark, width):
+    rows = [(g, n, (n or 0) % 3 == 0, "x") for g in ("a", None, "b") for n in (None, -7, -1, 0, 2, 3, 4, 11, 70000)] + [("hot", n, n % 2 == 0, "x") for n in range(500)]
+    df = spark.createDataFrame(rows, "g string, n long, ok boolean, x_ok string")
+    got = running.running_sums(df.repartition(5), {"good": F.col("ok").cast("int"), "all": F.lit(1)}, "n", "g", width=width)
+    assert got.columns == ["g", "n", "ok", "x_ok", "good", "all"]
+    want, sums = [], {}
+    for g, n, ok, _ in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0)):
+        good, every = sums.get(g, (0, 0))
+        sums[g] = (good + ok, every + 1)
+        want.append((g, n, ok, *sums[g]))
+    assert sorted(map(repr, want)) == sorted(repr((r.g, r.n, r.ok, r.good, r["all"])) for r in got.collect())
+    assert running.running_sums(df.limit(0), {"good": F.lit(1)}, "n", "g", width=width).count() == 0
+
+
+def test_running_sums_without_groups(spark):
+    got = running.running_sums(spark.range(0, 1000, 1, 7), {"at": F.lit(1)}, "id", width=64).collect()
+    assert sorted((r.id, r["at"]) for r in got) == [(i, i + 1) for i in range(1000)]
