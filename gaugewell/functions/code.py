@@ -117,19 +117,11 @@ def syntax_ok(s: pd.Series) -> pd.Series:
     return s.map(ok)
 
 
-@F.pandas_udf(T.StringType())
-def strip_comments(s: pd.Series) -> pd.Series:
-    """Without what follows a # outside quotes, and without lines that are then empty."""
+#: A line with a comment: before it, quotes are closed. What is matched is never tried anew, so a line of any length takes no stack.
+_COMMENT = r"""(?s)^((?:[^"'#]++|"[^"]*+"|'[^']*+')*+)#.*\z"""
+
 
-    def line(text: str) -> str:
-        quote = ""
-        for i, ch in enumerate(text):
-            if quote:
-                quote = "" if ch == quote else quote
-            elif ch in "\"'":
-                quote = ch
-            elif ch == "#":
-                return text[:i].rstrip()
-        return text
-
-    return s.map(lambda x: "\n".join(y for y in map(line, x.split("\n")) if y.strip()), na_action="ignore")
+def strip_comments(c: Column) -> Column:
+    """Without what follows a # outside quotes, and without lines that are then empty."""
+    line = lambda x: F.when(x.rlike(_COMMENT), F.regexp_replace(F.regexp_replace(x, _COMMENT, "$1"), r"(?U)\s+\z", "")).otherwise(x)
+    return F.array_join(F.filter(F.transform(F.split(c, "\n"), line), lambda x: strip(x) != ""), "\n")

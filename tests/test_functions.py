@@ -60,6 +60,8 @@ def test_code_blocks(spark):
     )
     each(spark, [("#!/usr/bin/env ruby\n", "ruby"), ("import x", "python"), ("let a = 1", "javascript"), ("#include <x>", "c"), ("package main", "go"), ("zzz", None)], code.detect_language)
     each(spark, [("x = 1  # one\n\n# two\ny = '#'", "x = 1\ny = '#'")], code.strip_comments)
+    long = "x = '" + "a#" * 200_000
+    each(spark, [(long, long), (long + "' # b", long + "'"), ("a \"#\" 'b' # c \" d", "a \"#\" 'b'"), ("a 'b # c", "a 'b # c"), (None, None), ("", ""), ("\t\n#\n", "")], code.strip_comments)
     each(spark, [("x = 1", True), ("x = = 1", False), ("", True)], code.syntax_ok)
     each(spark, [("a\ndef g(x):\n    return 1\n\nb", "def g(x):\n    return 1")], lambda c: code.extract_function(c, "g"))
 
