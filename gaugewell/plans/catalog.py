@@ -293,7 +293,14 @@ def syntax_check(spark, d):
     return rows.select("idx", F.when(F.size(code.blocks(F.col("raw_output"))) > 0, code.syntax_ok(code.extract(F.col("raw_output")))).alias("ok"))
 
 
-@query()
+_PLAIN = "replace(raw_output, '```', '')"
+_COMMENT = """(?s)^((?:[^"'#]|"[^"]*"|'[^']*')*)#.*$"""
+BARE = lambda x: rf"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: case when regexp_matches(l, {_q(_COMMENT)}) then regexp_replace(regexp_replace(l, {_q(_COMMENT)}, '\1'), '\s+$', '') else l end), lambda l: regexp_matches(l, '\S')), chr(10))"
+_INDENTED = rf"length(list_filter(string_split(regexp_replace(plain, '\n(\S)', chr(10) || chr(1) || '\1', 'g'), chr(10) || chr(1)), lambda s: regexp_matches(s, '(?s)(^|\n)(    |\t).*\S')))"
+
+
+@query(rf"""select idx, (case when n > 0 then n else {_INDENTED} + length(regexp_extract_all(plain, '(?is)<code>(.*?)</code>')) end)::int as n_blocks, {BARE('plain')} as bare
+ from (select *, length(regexp_extract_all(plain, '(def\s+\w+\s*\([^)]*\)\s*:(?:\n(?:    |\t).+)+)')) as n from (select idx, {_PLAIN} as plain from {OUT}))""")
 def unfenced_code(spark, d):
     rows = model_outputs(spark, d).withColumn("plain", F.replace("raw_output", F.lit("```"), F.lit("")))
     return rows.select("idx", F.size(code.unfenced(F.col("plain"))).alias("n_blocks"), code.strip_comments(F.col("plain")).alias("bare"))
@@ -729,4 +736,4 @@ def upsert_skipped(spark, d):
     return leaderboard.skipped(board, table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
 
 
-from . import evaluation  # noqa: E402, F401  its queries register themselves above
+from . import evaluation, parts  # noqa: E402, F401  their queries register themselves above
