@@ -14,22 +14,26 @@ SPACE = " \t\n\x0b\x0c\r"
 KEY = ("x_h", "x_g")
 
 
-def line_key(line: Column) -> Column:
-    """What equal lines share: the line without white space at both ends, with A-Z lower-cased.
+def _bare(line: Column) -> Column:
+    """A line without white space at both ends; the few lines that have some are looked at by character."""
+    loose = reduce(lambda acc, c: acc | line.startswith(c) | line.endswith(c), SPACE, F.lit(False))
+    return F.when(loose, F.btrim(line, F.lit(SPACE))).otherwise(line)
 
-    A line with other letters is read as Latin-1 first. Lower-casing then changes lead bytes of UTF-8 too,
-    but how many bytes follow one still tells which it was, so different keys stay different.
-    """
-    bare = F.btrim(line, F.lit(SPACE))
-    ascii = F.octet_length(bare) == F.char_length(bare)
-    return F.when(ascii, F.lower(bare)).otherwise(F.lower(F.decode(bare.cast("binary"), "ISO-8859-1")))
+
+def _folded(bare: Column) -> Column:
+    """A-Z lower-cased. A string with other letters is read as Latin-1 first: lower-casing then changes lead bytes
+    of UTF-8 too, but how many bytes follow one still tells which it was, so different strings stay different."""
+    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.lower(F.decode(bare.cast("binary"), "ISO-8859-1")))
 
 
 def _keyed(docs: DataFrame, min_chars: int) -> DataFrame:
     """A row per line of at least min_chars code points: x_id, x_text_hash, place x_at and 96 bits of hash."""
     lines = docs.select("x_id", "x_text_hash", F.posexplode(F.split("x_text", "\n")).alias("x_at", "x_line"))
-    lines = lines.where(F.char_length(F.btrim("x_line", F.lit(SPACE))) >= min_chars).withColumn("x_key", line_key(F.col("x_line")))
-    return lines.select("x_id", "x_text_hash", "x_at", F.xxhash64("x_key").alias("x_h"), F.hash("x_key").alias("x_g"))
+    # short lines go by bytes before anything is computed; each column below is used twice, so it is computed once
+    lines = lines.where(F.octet_length("x_line") >= min_chars).withColumn("x_bare", _bare(F.col("x_line")))
+    lines = lines.withColumn("x_chars", F.char_length("x_bare")).withColumn("x_key", _folded(F.col("x_bare")))
+    keyed = lines.select("x_id", "x_text_hash", "x_at", F.xxhash64("x_key").alias("x_h"), F.hash("x_key").alias("x_g"), "x_chars")
+    return keyed.where(F.col("x_chars") >= min_chars).drop("x_chars")
 
 
 class LineRuns:
