@@ -85,51 +85,6 @@ def with_json(df: DataFrame, text: str, name: str, confidence_name: str | None =
     return out.drop("x_valid", "x_inside", "x_found", "x_fixed")
 
 
-def schema_errors(value: object, schema: dict, at: str = "$") -> list[str]:
-    """What of a value breaks a JSON schema's type, enum, required, properties and items, by path."""
-    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
-    wanted = schema.get("type")
-    names = wanted if isinstance(wanted, list) else [wanted] if wanted else []
-    fits = [isinstance(value, kinds[n]) and not (isinstance(value, bool) and n in ("integer", "number")) for n in names if n in kinds]
-    if fits and not any(fits):
-        return [f"{at}: not of type {' or '.join(names)}"]
-    found = [f"{at}: not one of {schema['enum']}"] if "enum" in schema and value not in schema["enum"] else []
-    if isinstance(value, dict):
-        found += [f"{at}: {k} is missing" for k in schema.get("required", []) if k not in value]
-        found += [e for k, s in schema.get("properties", {}).items() if k in value for e in schema_errors(value[k], s, f"{at}.{k}")]
-    if isinstance(value, list) and isinstance(schema.get("items"), dict):
-        found += [e for i, v in enumerate(value) for e in schema_errors(v, schema["items"], f"{at}[{i}]")]
-    return found
-
-
-def validate(c: Column, schema: dict | None) -> Column:
-    """struct(is_valid, error) of JSON texts against a schema, by jsonschema where it is installed, else by schema_errors. Without a schema all are valid."""
-    if schema is None:
-        return F.struct(F.lit(True).alias("is_valid"), F.lit(None).cast("string").alias("error"))
-
-    def problem(text: str | None) -> str | None:
-        try:
-            value = json.loads(text or "")
-        except ValueError as e:
-            return f"not JSON: {e}"
-        try:
-            import jsonschema
-        except ImportError:
-            return "; ".join(schema_errors(value, schema)) or None
-        try:
-            jsonschema.validate(value, schema)
-        except jsonschema.ValidationError as e:
-            return e.message
-        return None
-
-    @F.pandas_udf("is_valid boolean, error string")
-    def check(s: pd.Series) -> pd.DataFrame:
-        found = [problem(x) for x in s]
-        return pd.DataFrame({"is_valid": [e is None for e in found], "error": pd.Series(found, dtype=object)})
-
-    return check(c)
-
-
 def call_name(c: Column) -> Column:
     """The function that a call object names, in any of its forms."""
     name = F.coalesce(F.get_json_object(c, "$.name"), F.get_json_object(c, "$.function"))

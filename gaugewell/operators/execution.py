@@ -10,6 +10,7 @@ import signal
 import subprocess
 import sys
 import tempfile
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,6 +29,8 @@ BLOCKED_MODULES = ["os", "sys", "subprocess", "socket", "urllib", "http", "ftpli
 BLOCKED_CALLS = ["eval", "exec", "compile", "__import__", "open", "input", "raw_input", "reload", "exit", "quit", "help", "license", "credits"]
 #: Bytes of output and of errors that are kept.
 KEPT = 1 << 20
+#: Bytes that a file may have.
+FILE_BYTES = 10 << 20
 
 SAFETY = "is_safe boolean, violations array<string>"
 RESULT = "success boolean, output string, error string, return_code int, execution_time double, timed_out boolean"
@@ -83,47 +86,83 @@ def sorted_imports(s: pd.Series) -> pd.Series:
     return s.map(imports)
 
 
-#: Runs the file named last: its own imports of blocked modules fail, and blocked functions are not there under any name.
+#: Extension modules that act without telling the audit hook; no text may load them, not even through another module.
+UNHEARD = ["_posixsubprocess", "_ctypes", "_ctypes_test", "_testcapi", "_testinternalcapi", "_testlimitedcapi", "_interpreters", "_interpchannels", "_interpqueues", "_xxsubinterpreters", "_posixshmem", "_multiprocessing"]
+#: Audit events, by their beginnings, that are refused whoever raises them: files and folders, processes, sockets, threads, foreign code, searches through live objects.
+REFUSED = ["os.", "subprocess.", "pty.", "shutil.", "tempfile.", "glob.", "pathlib.", "socket.", "http.", "urllib.", "ftplib.", "smtplib.", "imaplib.", "poplib.", "nntplib.", "telnetlib.", "webbrowser.", "syslog.", "sqlite3.", "dbm.", "ctypes.", "mmap.", "fcntl.", "resource.", "signal.", "_thread.start", "gc.", "code.__new__", "sys.addaudithook", "sys.setprofile", "sys.settrace", "sys._current", "cpython.run", "setopencodehook"]
+
+#: Runs the file named last under an audit hook. The hook can't be taken away, and holds all it needs in its own defaults, so a
+#: program that finds frames, globals or builtins has nothing to change: it sees what the interpreter does and not how it was named.
+#: Besides, the program's own imports of blocked modules fail, and blocked functions are not among its builtins.
 _GUARD = """
-import builtins, sys
-blocked, gone, path = set(sys.argv[1].split(',')), sys.argv[2].split(','), sys.argv[3]
-real, text = builtins.__import__, open(path, encoding='utf-8').read()
-def guarded(name, globals=None, *rest, **more):
-    if (globals or {}).get('__name__') == '__main__' and name.split('.')[0] in blocked | {'builtins', 'importlib'}:
-        raise ImportError('Import of ' + name + ' is not allowed')
-    return real(name, globals, *rest, **more)
-shown = dict(vars(builtins))
-for name in gone:
-    shown.pop(name, None)
-shown['__import__'] = guarded
-program = compile(text, '<code>', 'exec')
-exec(program, {'__name__': '__main__', '__builtins__': shown})
+import builtins, os, sys
+def arm(prefixes, refused, unheard):
+    def hook(event, args, prefixes=prefixes, refused=refused, unheard=unheard, writes=os.O_WRONLY | os.O_RDWR | os.O_CREAT | os.O_TRUNC | os.O_APPEND, str=str, type=type, Refusal=PermissionError, NoImport=ImportError):
+        if event == 'import':
+            if args[0] in unheard:
+                raise NoImport('Import of ' + args[0] + ' is not allowed')
+        elif event == 'open' or event == 'os.listdir' or event == 'os.scandir':
+            # only reading what imports read
+            if type(args[0]) is not str or '/..' in args[0] or not (args[0] + '/').startswith(prefixes) or event == 'open' and args[2] & writes:
+                raise Refusal(event + ' is not allowed')
+        elif event.startswith(refused) and event != 'os.putenv' and event != 'os.unsetenv':
+            raise Refusal(event + ' is not allowed')
+    sys.addaudithook(hook)
+def importer(blocked):
+    def guarded(name, globals=None, locals=None, fromlist=(), level=0, real=builtins.__import__, blocked=blocked, NoImport=ImportError):
+        if name.split('.')[0] in blocked and (globals is None or globals.get('__name__') == '__main__'):
+            raise NoImport('Import of ' + name + ' is not allowed')
+        return real(name, globals, locals, fromlist, level)
+    return type(guarded)(guarded.__code__, {'__builtins__': {}}, 'guarded', guarded.__defaults__)
+def begin():
+    modules, calls, refused, unheard, path = sys.argv[1:]
+    with open(path, encoding='utf-8') as f:
+        program = compile(f.read(), '<code>', 'exec')
+    shown = {k: v for k, v in vars(builtins).items() if k not in calls.split(',')}
+    shown['__import__'] = importer(frozenset(modules.split(',')) | {'builtins', 'importlib', '_frozen_importlib', '_frozen_importlib_external', 'posix', 'gc', '_thread'})
+    import encodings.idna, linecache, traceback
+    sys.argv[:] = ['<code>']
+    arm(tuple(p.rstrip('/') + '/' for p in {*sys.path, *map(os.path.realpath, sys.path)} if p), tuple(refused.split(',')), frozenset(unheard.split(',')))
+    return program, {'__name__': '__main__', '__builtins__': shown}
+exec(*begin())
 """
 
 
+def _drain(pipe, kept: bytearray) -> None:
+    """Read a pipe to its end and keep its first KEPT bytes, so that a run may say more."""
+    with contextlib.suppress(OSError, ValueError):
+        while part := pipe.read1(1 << 16):
+            kept += part[: max(0, KEPT - len(kept))]
+
+
 def execute(code: str, timeout: float, memory_mb: int, modules: set[str] | None = None, calls: set[str] | None = None) -> tuple:
-    """Run a text in a fresh interpreter with limits on time, memory, files and processes.
+    """Run a text in a fresh interpreter under an audit hook, with limits on time, memory, files and processes.
 
-    The run has a session of its own, of which nothing is left when it ends or its time is up; what it prints goes to files
-    of at most KEPT bytes.
+    What touches files outside of the interpreter's own library, processes, sockets, threads or foreign code raises inside the run, however
+    it was reached. The run has a session of its own, of which nothing is left when it ends or its time is up. Of what it prints KEPT bytes are kept; it may print more.
     """
     modules, calls = modules if modules is not None else set(BLOCKED_MODULES), calls if calls is not None else set(BLOCKED_CALLS)
 
     def limit() -> None:
-        for what, most in ((resource.RLIMIT_CPU, int(timeout) + 1), (resource.RLIMIT_AS, memory_mb << 20), (resource.RLIMIT_FSIZE, KEPT), (resource.RLIMIT_NPROC, 10)):
+        for what, most in ((resource.RLIMIT_CPU, int(timeout) + 1), (resource.RLIMIT_AS, memory_mb << 20), (resource.RLIMIT_FSIZE, FILE_BYTES), (resource.RLIMIT_NPROC, 10), (resource.RLIMIT_CORE, 0)):
             with contextlib.suppress(OSError, ValueError):
                 resource.setrlimit(what, (most, most))
 
     began = time.monotonic()
     late = False
-    with tempfile.TemporaryDirectory() as folder, open(f"{folder}/out", "w+b") as out, open(f"{folder}/err", "w+b") as err:
+    with tempfile.TemporaryDirectory() as folder:
         try:
             with open(f"{folder}/code.py", "w", encoding="utf-8") as f:
                 f.write(code)
             os.mkdir(f"{folder}/work")
-            run = subprocess.Popen([sys.executable, "-I", "-c", _GUARD, ",".join(modules), ",".join(calls), f"{folder}/code.py"], cwd=f"{folder}/work", env={"PATH": os.defpath}, stdin=subprocess.DEVNULL, stdout=out, stderr=err, preexec_fn=limit, start_new_session=True)
+            lists = [",".join(x) for x in (modules, calls, REFUSED, UNHEARD)]
+            run = subprocess.Popen([sys.executable, "-I", "-B", "-c", _GUARD, *lists, f"{folder}/code.py"], cwd=f"{folder}/work", env={"PATH": os.defpath}, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.PIPE, preexec_fn=limit, start_new_session=True)
         except (OSError, ValueError) as e:
             return False, "", str(e), -1, time.monotonic() - began, False
+        out, err = bytearray(), bytearray()
+        readers = [threading.Thread(target=_drain, args=x, daemon=True) for x in ((run.stdout, out), (run.stderr, err))]
+        for r in readers:
+            r.start()
         try:
             run.wait(timeout)
         except subprocess.TimeoutExpired:
@@ -132,11 +171,13 @@ def execute(code: str, timeout: float, memory_mb: int, modules: set[str] | None
             with contextlib.suppress(OSError):
                 os.killpg(run.pid, signal.SIGKILL)
             run.wait()
+            for r in readers:
+                r.join(1)
+            run.stdout.close()
+            run.stderr.close()
         if late:
             return False, "", f"Execution timed out after {timeout:g}s", -1, time.monotonic() - began, True
-        out.seek(0)
-        err.seek(0)
-        said, wrong = (f.read(KEPT).decode("utf-8", "replace") for f in (out, err))
+        said, wrong = (bytes(x).decode("utf-8", "replace") for x in (out, err))
     return run.returncode == 0, said, wrong or None, run.returncode, time.monotonic() - began, False
 
 
@@ -161,11 +202,17 @@ def sandbox(df: DataFrame, code: str, timeout: float = 5.0, memory_mb: int = 512
 
 
 def test_script(completion: Column, tests: Column, entry_point: Column) -> Column:
-    """A completion with its tests; tests that define check() are called with the entry point."""
+    """A completion with its tests; tests that define check() are called with the entry point. Null where script_fault has a text."""
     call = F.when(tests.contains("def check"), F.concat(F.lit("\ncheck("), entry_point, F.lit(")\n"))).otherwise("")
     return F.concat(completion, F.lit("\n\n"), tests, call)
 
 
+def script_fault(completion: Column, tests: Column, entry_point: Column) -> Column:
+    """Why a completion can't be run with its tests; null if it can. A program that nobody calls or that isn't there must not count as passed."""
+    called = tests.contains("def check")
+    return F.when(tests.isNull(), "no tests").when(completion.isNull(), "no code").when(called & (F.coalesce(F.trim(entry_point), F.lit("")) == ""), "no entry point for check()")
+
+
 def output_contains(expected: Column) -> Column:
     return F.col("success") & F.contains(F.col("output"), expected)
 

@@ -606,14 +606,17 @@ def metric_union_columns(spark, d):
     return metrics.wide(rows, "task", "category", "accuracy", ["click", "purchase", "refund"])
 
 
-_CONFIGS = [("a", "coding", "p", "pass_at_k", "code"), ("b", "coding", "p", "multiple_choice", "mc"), ("c", "multiple_choice", "p", "multiple_choice", "robust"), ("d", "function_call", "p", "json_validity", "code"), ("e", "reasoning", "p", "exact_match", "json"), ("f", "other", "p", "exact_match", "mc"), ("g", "coding", "", "exact_match", "robust")]
-_N_ERRORS = " + ".join(["(dataset_path = '')::int", "(task_type not in ('coding','multiple_choice','function_call','reasoning'))::int"] + [f"(task_type = '{k}' and {c} not in ({', '.join(map(_q, v))}))::int" for k, (ps, ms) in config.RULES.items() for c, v in (("parser", ps), ("metric", ms)) if v])
+_TYPES, _METRICS, _PARSERS = [*config.RULES, "other"], ["pass_at_k", "exact_match", "multiple_choice", "json_validity"], ["code", "mc", "json", "robust"]
+_at = lambda names, n: f"([{', '.join(map(_q, names))}])[(p_partkey // {n} % {len(names)} + 1)::int]"
+_N_ERRORS = " + ".join(["(p_partkey % 11 = 0)::int", "(task_type = 'other')::int"] + [f"(task_type = '{k}' and {c} not in ({', '.join(map(_q, v))}))::int" for k, (ps, ms) in config.RULES.items() for c, v in (("parser", ps), ("metric", ms)) if v])
 
 
-@query(f"select name, {_N_ERRORS} as n_errors from (values {', '.join(map(str, _CONFIGS))}) as t(name, task_type, dataset_path, metric, parser)")
+@query(f"select p_partkey, {_N_ERRORS} as n_errors from (select p_partkey, {_at(_TYPES, 1)} as task_type, {_at(_METRICS, 5)} as metric, {_at(_PARSERS, 20)} as parser from part)")
 def config_cross_validation(spark, d):
-    rows = spark.createDataFrame(_CONFIGS, "name string, task_type string, dataset_path string, metric string, parser string")
-    return config.validate(rows).select("name", F.size("errors").alias("n_errors"))
+    """Each task type with each metric and parser, and paths that are missing."""
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (F.floor(F.col("p_partkey") / n) % len(names)).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), pick(_TYPES, 1).alias("task_type"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_brand")).alias("dataset_path"), pick(_METRICS, 5).alias("metric"), pick(_PARSERS, 20).alias("parser"))
+    return config.validate(rows).select("p_partkey", F.size("errors").alias("n_errors"))
 
 
 @query(r"select page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title from pages")
@@ -736,4 +739,4 @@ def upsert_skipped(spark, d):
     return leaderboard.skipped(board, table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
 
 
-from . import evaluation, parts  # noqa: E402, F401  their queries register themselves above
+from . import evaluation, parts, runs  # noqa: E402, F401  their queries register themselves above

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import calls, jsons, refusal, templates, text
+from ..functions import calls, refusal, schemas, templates, text
 from ..operators import evaluate, execution, leaderboard, report
 from ..sources import benchmarks, inference
 from ..sources.derived import MODEL_OUTPUTS_SQL as OUT
-from ..sources.derived import SCORES_SQL, model_outputs, scores, table
+from ..sources.derived import SCORES_SQL, model_outputs, scores, spread, table
 from .catalog import CATEGORY, JSON, SCORED, _family, _J, _L, _q, _valid, query, rounded, scored
 
 _BROKEN = "case when event_id % 13 = 0 then 'error' else finish_reason end"
@@ -76,14 +76,18 @@ def func_call_forms(spark, d):
     return found.select("event_id", F.size("calls").alias("n_calls"), first["name"].alias("first_name"), k.alias("k"))
 
 
-@query("select s_suppkey, s_suppkey % 5 = 0 as passed, case when s_suppkey % 5 = 0 then 1.0 else 0.0 end::double as score, s_suppkey % 5 = 3 as blocked from supplier")
+@query("""select s_suppkey, s_suppkey % 7 = 0 as passed, case when s_suppkey % 7 = 0 then 1.0 else 0.0 end::double as score, s_suppkey % 7 = 3 as blocked,
+ case s_suppkey % 7 when 5 then 'no entry point for check()' when 6 then 'no code' end as fault from supplier""")
 def evaluate_pass_at_1(spark, d):
-    """Completions in fences run with their tests: right, wrong, no Python, a blocked import, an error."""
-    bodies = ["def f(x):\n    return x * 2", "def f(x):\n    return x + 2", "def f(x) return", "import os\ndef f(x):\n    return x * 2", "def f(x):\n    raise ValueError(x)"]
-    forms = F.array(*[F.lit(f"Here it is:\n```python\n{b}\n```\nDone.") for b in bodies])
-    rows = table(spark, d, "supplier").select("s_suppkey", F.get(forms, (F.col("s_suppkey") % 5).cast("int")).alias("text"), F.lit("").alias("reference"), F.lit("def check(candidate):\n    assert candidate(3) == 6\n").alias("test"), F.lit("f").alias("entry_point"))
-    out = evaluate.evaluate(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "pass_at_k", "code")
-    return out.select("s_suppkey", "passed", "score", F.coalesce(F.col("error").startswith("Blocked"), F.lit(False)).alias("blocked"))
+    """Completions in fences run with their tests: right, wrong, no Python, a blocked import, an error; and rows without an entry point or a text, which can't be run."""
+    bodies = ["def f(x):\n    return x * 2", "def f(x):\n    return x + 2", "def f(x) return", "import os\ndef f(x):\n    return x * 2", "def f(x):\n    raise ValueError(x)", "def f(x):\n    return x + 2"]
+    forms = F.array(*[F.lit(f"Here it is:\n```python\n{b}\n```\nDone.") for b in bodies], F.lit(None).cast("string"))
+    k = (F.col("s_suppkey") % 7).cast("int")
+    rows = table(spark, d, "supplier").select("s_suppkey", F.get(forms, k).alias("text"), F.lit("").alias("reference"), F.lit("def check(candidate):\n    assert candidate(3) == 6\n").alias("test"), F.when(k != 5, "f").alias("entry_point"))
+    parser = lambda c: F.when(c.isNotNull(), evaluate.PARSERS["code"](c))
+    out = evaluate.evaluate(spread(rows), "pass_at_k", parser)
+    fault = F.when(F.col("error").startswith("no "), F.col("error"))
+    return out.select("s_suppkey", "passed", "score", F.coalesce(F.col("error").startswith("Blocked"), F.lit(False)).alias("blocked"), fault.alias("fault"))
 
 
 @query("""select id, prompt, (row_number() over (order by pos) - 1)::bigint as idx from (select *, concat('item_', pos::varchar) as id from (select row_number() over () - 1 as pos, item_id, text as prompt from benchmark))
@@ -200,7 +204,7 @@ def schema_validation(spark, d):
     """JSON against a schema: valid, a missing field, a wrong type, no JSON."""
     forms = F.array(F.col("props"), F.lit('{"j": 1}'), F.lit('{"k": "x"}'), F.lit("{"))
     schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}
-    rows = table(spark, d, "events").withColumn("v", jsons.validate(F.get(forms, (F.col("event_id") % 4).cast("int")), schema))
+    rows = table(spark, d, "events").withColumn("v", schemas.validate(F.get(forms, (F.col("event_id") % 4).cast("int")), schema))
     return rows.select("event_id", "v.is_valid", F.when(F.col("v.error").startswith("not JSON"), "not JSON").otherwise(F.col("v.error")).alias("error"))
 
 

@@ -1,90 +1,66 @@
-"""Checkpoints of runs: one folder of result rows for each task and model, written whole or not at all."""
+"""Checkpoints of runs: a run's results so far, kept in its log (see runlog)."""
 
 from __future__ import annotations
 
-import uuid
+import json
+import warnings
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_name
-from .reports import exists
+from . import runlog
+from .runlog import RunLog
 
-
-def _fs(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def folder(spark: SparkSession, root: str, task: str, model: str) -> str:
-    """root/{task}_{model}, with what is no letter, digit, hyphen or underscore as an underscore."""
-    names = spark.range(1).select(*[safe_name(F.lit(x)).alias(c) for c, x in (("a", task), ("b", model))]).first()
-    return f"{root.rstrip('/')}/{names['a']}_{names['b']}"
+#: Columns that save adds to the results.
+ADDED = ("task_name", "model_name", "timestamp", "metadata")
 
 
 def save(results: DataFrame, root: str, task: str, model: str, metadata: str = "{}", keep: int | None = 5) -> str:
-    """Write a run's results so far; readers see the version before or this one. The newest keep checkpoints of root stay."""
-    spark = results.sparkSession
-    path = folder(spark, root, task, model)
-    held = f"{root.rstrip('/')}/.{uuid.uuid4().hex}"
+    """A run's results as a whole, in place of what its log had; readers see those before or these. Of the runs below root that were saved whole or have ended the newest keep stay."""
+    log = RunLog(results.sparkSession, root, task, model)
     now = datetime.now(timezone.utc).isoformat()
     rows = results.withColumns({"task_name": F.lit(task), "model_name": F.lit(model), "timestamp": F.lit(now), "metadata": F.lit(metadata)})
-    rows.write.parquet(held)
-    fs, to = _fs(spark, path)
-    if fs.exists(to):
-        fs.delete(to, True)
-    fs.rename(_fs(spark, held)[1], to)
+    log.replace(rows, json.loads(metadata))
+    log.finish()
     if keep is not None:
-        prune(spark, root, keep)
-    return path
+        runlog.prune(results.sparkSession, root, keep)
+    return log.path
 
 
-def listed(spark: SparkSession, root: str) -> list[tuple[str, int]]:
-    """(path, time of change) of the checkpoints below root, newest first."""
-    fs, where = _fs(spark, root)
-    if not fs.exists(where):
-        return []
-    found = [(s.getPath().toString(), s.getModificationTime()) for s in fs.listStatus(where) if not s.getPath().getName().startswith(".")]
-    return sorted(found, key=lambda x: (-x[1], x[0]))
+def listed(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(path, time of the last commit) of the runs below root, newest first; one without a commit that can be read is left out."""
+    found = runlog.runs(spark, root).orderBy(F.desc("timestamp"), "run").select("run", "timestamp").collect()
+    return [(f"{root.rstrip('/')}/{r['run']}", r["timestamp"]) for r in found]
 
 
 def has(spark: SparkSession, root: str, task: str, model: str) -> bool:
-    return exists(spark, folder(spark, root, task, model))
+    return bool(RunLog(spark, root, task, model).live())
 
 
-def load(spark: SparkSession, root: str, task: str, model: str) -> DataFrame | None:
-    """A run's results; None without a checkpoint or with one that can't be read."""
-    path = folder(spark, root, task, model)
-    if not exists(spark, path):
-        return None
-    try:
-        rows = spark.read.parquet(path)
-        rows.limit(1).collect()
-        return rows
-    except Exception as e:  # noqa: BLE001  the reader's errors have many classes
-        print(f"checkpoint {path} can't be read: {type(e).__name__}")
-        return None
+def load(spark: SparkSession, root: str, task: str, model: str, key: str | None = None) -> DataFrame | None:
+    """A run's results; None, and a warning, without a checkpoint that can be read."""
+    log = RunLog(spark, root, task, model)
+    rows = log.rows(key)
+    if rows is None:
+        warnings.warn(f"no checkpoint at {log.path} that can be read", stacklevel=2)
+    return rows
 
 
 def delete(spark: SparkSession, root: str, task: str, model: str) -> bool:
     """Whether there was one to delete."""
-    fs, where = _fs(spark, folder(spark, root, task, model))
-    return fs.delete(where, True) if fs.exists(where) else False
+    return RunLog(spark, root, task, model).delete()
 
 
 def clear(spark: SparkSession, root: str) -> int:
-    """Delete all; how many there were."""
-    return prune(spark, root, 0)
+    """Delete all runs, also those in progress; how many there were."""
+    store = runlog.Store(spark)
+    return sum(store.delete(path) for path, _ in listed(spark, root))
 
 
 def prune(spark: SparkSession, root: str, keep: int = 5) -> int:
-    """Delete all but the newest keep; how many went."""
-    gone = listed(spark, root)[keep:]
-    for path, _ in gone:
-        fs, where = _fs(spark, path)
-        fs.delete(where, True)
-    return len(gone)
+    """Delete all ended runs but the newest keep; how many went."""
+    return runlog.prune(spark, root, keep)
 
 
 def info(rows: DataFrame) -> DataFrame:

@@ -130,7 +130,8 @@ def test_benchmark_rows(spark):
 def test_checkpoints(spark, tmp_path):
     root = f"file://{tmp_path}/c"
     rows = spark.createDataFrame([(i, f"s{i}", i % 2 == 0) for i in range(6)], "idx long, sample_id string, passed boolean")
-    assert checkpoints.load(spark, root, "t", "m") is None and checkpoints.listed(spark, root) == []
+    with pytest.warns(UserWarning, match="no checkpoint"):
+        assert checkpoints.load(spark, root, "t", "m") is None and checkpoints.listed(spark, root) == []
     path = checkpoints.save(rows.where("idx < 3"), root, "t/1", "m:e")
     assert path.endswith("/t_1_m_e") and checkpoints.has(spark, root, "t/1", "m:e")
     done = checkpoints.load(spark, root, "t/1", "m:e")
@@ -142,9 +143,10 @@ def test_checkpoints(spark, tmp_path):
         checkpoints.save(rows, root, "x", str(i), keep=5)
     assert len(checkpoints.listed(spark, root)) == 5 and not checkpoints.has(spark, root, "t/1", "m:e")
     assert checkpoints.delete(spark, root, "x", "6") and not checkpoints.delete(spark, root, "x", "6")
-    (tmp_path / "c" / "bad_m").mkdir()
-    (tmp_path / "c" / "bad_m" / "part-0.parquet").write_text("no parquet")
-    assert checkpoints.load(spark, root, "bad", "m") is None
+    (tmp_path / "c" / "bad_m" / "log").mkdir(parents=True)
+    (tmp_path / "c" / "bad_m" / "log" / f"{0:020d}.json").write_text("no commit")
+    with pytest.warns(UserWarning, match="torn"):
+        assert checkpoints.load(spark, root, "bad", "m") is None
     assert checkpoints.clear(spark, root) == 5 and checkpoints.listed(spark, root) == []
 
 
@@ -274,7 +276,7 @@ def test_templates_and_parsers_of_ones_own(spark):
 
 
 def test_scan_of_configurations(spark, tmp_path):
-    good = "name: a\ntask_type: coding\ndataset:\n  path: p\nevaluation:\n  metric: pass_at_k\nparsing:\n  parser: code\n"
+    good = "name: a\ntask_type: coding\ndataset:\n  path: p\n  loader: humaneval\nevaluation:\n  metric: pass_at_k\nparsing:\n  parser: code\n"
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.yaml").write_text(good)
     (tmp_path / "sub" / "b.yaml").write_text(good.replace("pass_at_k", "multiple_choice"))
@@ -283,10 +285,3 @@ def test_scan_of_configurations(spark, tmp_path):
     got = {r.file: r for r in config.scan(spark, str(tmp_path)).collect()}
     assert set(got) == {"a.yaml", "sub/b.yaml", "c.yaml"}
     assert got["a.yaml"].is_valid and not got["sub/b.yaml"].is_valid and not got["c.yaml"].is_valid
-
-
-def test_schema_errors():
-    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": "integer"}}, "b": {"enum": [1, 2]}, "c": {"type": ["string", "null"]}}}
-    assert jsons.schema_errors({"a": [1, 2], "b": 1, "c": None}, schema) == []
-    assert jsons.schema_errors({"a": [1, True, "x"], "b": 3, "c": 1}, schema) == ["$.a[1]: not of type integer", "$.a[2]: not of type integer", "$.b: not one of [1, 2]", "$.c: not of type string or null"]
-    assert jsons.schema_errors([], schema) == ["$: not of type object"] and jsons.schema_errors({}, schema) == ["$: a is missing"]
