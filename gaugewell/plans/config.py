@@ -122,22 +122,21 @@ def document_errors(c: Column, schema: dict | None = None) -> Column:
     """What is wrong with configuration documents as JSON texts: missing fields of the top level, then the one schema error
     that says most, then parsers and metrics that the task type doesn't allow. Empty for a valid one."""
     schema = schema or TASK_SCHEMA
+    q = schemas.quoted
     compiled = schemas.Compiler(schema)
-
-    def found(doc: Column) -> Column:
-        at = lambda path: F.try_variant_get(doc, path, "string")
-        is_object = F.schema_of_variant(doc).startswith("OBJECT")
-        checks = [F.when(F.try_variant_get(doc, f"$.{k}", "variant").isNull() & is_object, F.lit(f"missing {k}")) for k in schema.get("required", [])]
-        checks.append(schemas.told(compiled.errors(doc, schema, F.lit("$"))))
-        for kind, allowed in RULES.items():
-            for column, names, path in zip(("parser", "metric"), allowed, ("$.parsing.parser", "$.evaluation.metric"), strict=True):
-                if names:
-                    own = F.coalesce(at(path), F.lit("none"))
-                    checks.append(F.when((at("$.task_type") == kind) & ~own.isin(*names), F.concat(F.lit(f"{kind} cannot use {column} "), own)))
-        return F.array_compact(F.array(*checks))
-
-    doc = F.try_parse_json(F.coalesce(c, F.lit("")))
-    return F.coalesce(F.try_element_at(F.transform(F.filter(F.array(doc), lambda x: x.isNotNull()), found), F.lit(1)), F.array(F.lit("not JSON")))
+    at = lambda path: f"try_variant_get(doc, '{path}', 'string')"
+    missing = [f"case when try_variant_get(doc, {q(f'$.{k}')}, 'variant') is null and startswith(schema_of_variant(doc), 'OBJECT') then {q(f'missing {k}')} end" for k in schema.get("required", [])]
+    unfit = []
+    for kind, allowed in RULES.items():
+        for column, names, path in zip(("parser", "metric"), allowed, ("$.parsing.parser", "$.evaluation.metric"), strict=True):
+            if names:
+                own = f"coalesce({at(path)}, 'none')"
+                unfit.append(f"case when {at('$.task_type')} = '{kind}' and {own} not in ({', '.join(map(q, names))}) then concat({q(f'{kind} cannot use {column} ')}, {own}) end")
+    parts = f"struct(array({', '.join(missing)}) as missing, {compiled.errors('doc', schema)} as broken, array({', '.join(unfit)}) as unfit)"
+    held = F.filter(F.array(F.try_parse_json(F.coalesce(c, F.lit("")))), lambda x: x.isNotNull())
+    found = F.call_function("transform", held, F.expr(f"doc -> {parts}"))
+    listed = F.transform(found, lambda s: F.array_compact(F.concat(s["missing"], F.array(schemas.told(s["broken"])), s["unfit"])))
+    return F.coalesce(F.try_element_at(listed, F.lit(1)), F.array(F.lit("not JSON")))
 
 
 def validate_documents(df: DataFrame, column: str) -> DataFrame:
@@ -193,7 +192,17 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
             names = [p.split(root, 1)[-1].lstrip("/") or p.rsplit("/", 1)[-1] for p in f["path"]]
             yield pd.DataFrame({"file": names, "doc": [d for d, _ in found], "error": [e for _, e in found]}).astype(object)
 
-    return files.select("path", "content").mapInPandas(rows, "file string, doc string, error string")
+    schema = "file string, doc string, error string"
+    read = files.select("path", "content").mapInPandas(rows, schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    empty = []  # the reader passes over files without a byte
+    while listed.hasNext():
+        f = listed.next()
+        name = f.getPath().toString()
+        if f.getLen() == 0 and name.endswith((".yaml", ".yml")):
+            empty.append((name.split(root, 1)[-1].lstrip("/") or name.rsplit("/", 1)[-1], None, "empty configuration"))
+    return read.unionByName(spark.createDataFrame(empty, schema)) if empty else read
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
