@@ -61,29 +61,27 @@ def test_best_fit_and_search():
     assert len(packing.plan({}, 10)) == 0
 
 
-def test_search_ends_by_itself_and_in_tiles():
-    """Middle lengths, where best fit is far from the bound; then very many documents by tiles."""
+def test_search_ends_by_itself_at_every_size():
+    """Middle lengths, where best fit is far from the bound; then a thousand and a million times as many documents, in whole."""
     rng = random.Random(3)
-    counts = Counter(rng.randint(500, 1000) for _ in range(20_000))
-    start = packing.best_fit(counts, 2048)
-    end = packing.local_search(start, 2048)
-    assert sum(end.values()) < 0.97 * sum(start.values())
-    held = Counter()
-    for p, k in end.items():
-        for x in p:
-            held[x] += k
-    assert held == counts and all(sum(p) <= 2048 for p in end)
-    for capacity, low, high in ((100, 1, 100), (100, 20, 45)):
-        counts = Counter(rng.randint(low, high) for _ in range(5000))
-        many = Counter({k: 1000 * n + rng.randint(0, 999) for k, n in counts.items()})
-        bins, held = packing.solve(many, capacity, tile=5000), Counter()
-        for p, k in bins.items():
-            assert sum(p) <= capacity
-            for x in p:
-                held[x] += k
-        one = packing.solve(counts, capacity)
-        full = lambda c: sum(k * n for k, n in c.items()) / capacity
-        assert held == many and sum(bins.values()) / full(many) <= 1.003 * sum(one.values()) / full(counts)
+    full = lambda c: -(-sum(k * n for k, n in c.items()) // capacity)
+    # how far above the bound by volume, and how much of best fit's bins is left
+    for capacity, low, high, slack, left in ((2048, 500, 1000, 1.2, 0.97), (2048, 400, 900, 1.03, 0.97), (100, 1, 100, 1.01, 1.0), (100, 20, 45, 1.01, 1.0)):
+        few = Counter(rng.randint(low, high) for _ in range(20_000))
+        for times in (1, 1000, 1_000_000):
+            counts = Counter({k: times * n + rng.randrange(times) for k, n in few.items()})
+            bins, held = packing.solve(counts, capacity), Counter()
+            for p, k in bins.items():
+                assert sum(p) <= capacity and k > 0
+                for x in p:
+                    held[x] += k
+            assert held == counts and sum(bins.values()) <= slack * full(counts) + 2
+            assert sum(bins.values()) <= left * sum(packing.best_fit(counts, capacity).values()) + 2
+
+
+def test_bins_of_one_pattern_exchange():
+    end = packing.local_search(Counter({(9, 4, 4): 7}), 20)
+    assert sum(n * sum(p) ** 2 for p, n in end.items()) > 7 * 17**2 and sum(n * p.count(9) for p, n in end.items()) == 7
 
 
 def test_no_exchange_is_left():
