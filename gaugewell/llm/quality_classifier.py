@@ -155,7 +155,7 @@ def score_quality(df: DataFrame, labels: DataFrame, text: str = "text", id: str
 
     Null texts score as empty ones; very long texts are read whole. Null labels and labels without a text are not learnt from;
     without any label every score is one half. An id that labels repeats counts once for each
-    row. A null id is not held out. Repeated rows score alike. Extra columns are ignored.
+    row; of an id that documents repeat one row, the first by a hash of its text, is learnt from, so max_labelled bounds what is learnt from whatever repeats. A null id is not held out. Repeated rows score alike. Extra columns are ignored.
     Empty input gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "classifier")
@@ -169,7 +169,10 @@ def score_quality(df: DataFrame, labels: DataFrame, text: str = "text", id: str
     known = known.withColumn("at", F.xxhash64(F.lit(5), "x_id")).orderBy("at", "x_id", "label").limit(max_labelled)
     known = scratch.table(known, "labels")
     n_meta = len(metadata)
-    learnt = picked.where("x_text is not null").join(F.broadcast(known), "x_id").select("at", F.col("x_text").alias("text"), "label", *(f"m{i}" for i in range(n_meta)))
+    facts = ["x_text", *(f"m{i}" for i in range(n_meta))]
+    counted = known.groupBy("at", "x_id", "label").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    own = picked.where("x_text is not null").join(F.broadcast(counted), "x_id").groupBy("at", "x_id", "label", "times").agg(F.min_by(F.struct(*facts), F.xxhash64(*facts)).alias("own"))
+    learnt = own.select("at", "label", F.explode(F.array_repeat("own", F.col("times"))).alias("own")).select("at", F.col("own.x_text").alias("text"), "label", *(f"own.m{i}" for i in range(n_meta)))
     model = train(learnt, n_meta)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,6 +116,24 @@ def test_classifier(spark, docs, none):
     assert all(by[r.doc_id] == r.score for r in score_quality(odd, more).collect() if r.doc_id < 7000)
 
 
+def test_max_labelled_bounds_what_is_learnt_from(spark, monkeypatch):
+    """However many rows repeat an id, and however many labels."""
+    from gaugewell.llm import quality_classifier
+
+    df = spark.createDataFrame([(i, prose(20, i)) for i in range(200)] + [(7, prose(20, 500 + i)) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(7, 1)] * 5, "doc_id long, quality int")
+    seen = []
+    train = quality_classifier.train
+    monkeypatch.setattr(quality_classifier, "train", lambda rows, n: (seen.append(rows.count()), train(rows, n))[1])
+    a = score_quality(df, labels, max_labelled=50).where("doc_id < 20").collect()
+    assert len(seen) == 1 and seen[0] <= 50
+    b = score_quality(df.repartition(7), labels.repartition(3), max_labelled=50).where("doc_id < 20").collect()
+    key = lambda r: (r.doc_id, r.score)
+    assert sorted(map(key, a)) == sorted(map(key, b))
+    score_quality(df, labels)
+    assert seen[-1] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in [*range(200), *[7] * 5])
+
+
 def test_metadata_are_features(spark):
     """Texts alike, labels by n_chars alone."""
     rows = [(i, prose(60, i % 41, 20), 50 if i % 2 else 50_000, i % 2) for i in range(600)]
