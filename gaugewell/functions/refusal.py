@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .patterns import any_of, found
 from .text import strip
 
 #: Patterns over lower-cased text with their confidence, in order of trial.
@@ -55,7 +56,7 @@ def _told(c: Column, text: Column, threshold: float, custom: list[tuple[str, flo
     kept = [(p, v) for p, v in [*PATTERNS, *(custom or [])] if v >= threshold and p not in without]
     short = (F.length(text) < 20) & text.rlike("|".join(KEYWORDS))
     yes = (F.coalesce(c, F.lit("")) == "") | text.rlike(_any([p for p, _ in EMPTY])) | short
-    yes = yes | text.rlike(_any([p for p, _ in kept])) if kept else yes
+    yes = yes | any_of(text, [p for p, _ in kept])
     verdict = lambda is_, pattern, p: F.struct(F.lit(is_).alias("is_refusal"), F.lit(pattern).cast("string").alias("pattern_matched"), F.lit(p).alias("confidence"))
     chain = F.when(~yes, verdict(False, None, 0.0)).when(F.coalesce(c, F.lit("")) == "", verdict(True, "empty_input", 1.0))
     chain = reduce(lambda w, r: w.when(text.rlike(r[0]), verdict(True, r[0], r[1])), [*EMPTY, *kept], chain)
@@ -88,5 +89,12 @@ def analysis(c: Column) -> Column:
 
 def all_matches(c: Column) -> Column:
     """Every pattern that occurs, also those below the threshold."""
-    text = F.lower(strip(F.coalesce(c, F.lit(""))))
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(p)) for p, _ in PATTERNS]))
+    return found(_plain(c), [p for p, _ in PATTERNS])
+
+
+def analysed(df: DataFrame, text: str, name: str = "analysis") -> DataFrame:
+    """df with analysis's struct, the plain text in a column of its own first."""
+    out = df.withColumn("x_plain", _plain(F.col(text)))
+    c = F.coalesce(text, F.lit(""))
+    told = F.struct(found(F.col("x_plain"), [p for p, _ in PATTERNS]).alias("matches"), F.length(c).cast("long").alias("n_chars"), F.left(c, F.lit(200)).alias("preview"))
+    return out.withColumn(name, told).drop("x_plain")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import any_of
+
 #: What each family of errors says, over lower-cased text.
 FAMILIES = {
     "syntax_error": [r"syntax\s*error", r"unexpected\s+token", r"invalid\s+syntax", r"indentation\s*error"],
@@ -47,13 +49,13 @@ def haystack() -> Column:
 
 
 def hits(text: Column) -> dict[str, Column]:
-    return {k: text.rlike("|".join(f"(?:{p})" for p in ps)) for k, ps in FAMILIES.items()}
+    return {k: any_of(text, ps) for k, ps in FAMILIES.items()}
 
 
 def patterns(df: DataFrame) -> DataFrame:
     """Failed rows by family: a row counts once in each family that it has."""
-    marked = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in hits(haystack()).items()]))
-    return failed(df).select(F.explode(marked).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    marked = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in hits(F.col("x_text")).items()]))
+    return failed(df).withColumn("x_text", haystack()).select(F.explode(marked).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 def category() -> Column:

@@ -188,8 +188,8 @@ def leaderboard_detail_rows(spark, d):
 
 @query(f"select idx, {' + '.join(f'regexp_matches({_L}, {_q(p)})::int' for p, _ in refusal.PATTERNS)} as n_matches, length({_J}) as n_chars, left({_J}, 200) as preview from {OUT}")
 def refusal_analysis(spark, d):
-    r = refusal.analysis(F.col("raw_output"))
-    return model_outputs(spark, d).select("idx", F.size(r["matches"]).alias("n_matches"), r["n_chars"].alias("n_chars"), r["preview"].alias("preview"))
+    r = refusal.analysed(model_outputs(spark, d), "raw_output")
+    return r.select("idx", F.size("analysis.matches").alias("n_matches"), "analysis.n_chars", "analysis.preview")
 
 
 @query("select event_id, case event_id % 3 when 0 then 'json,os.path,re' when 1 then '' else 'math' end as imports from events")
