@@ -10,25 +10,68 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_IM = {r: f"<|im_start|>{r}\n{{content}}<|im_end|>\n" for r in ("system", "user", "assistant")}
-_BAR = {r: f"<|{r}|>\n{{content}}<|end|>\n" for r in ("system", "user", "assistant")}
-_TURN = {r: f"<start_of_turn>{w}\n{{content}}<end_of_turn>\n" for r, w in (("system", "model"), ("user", "user"), ("assistant", "model"))}
-_HEAD = {r: f"<|start_header_id|>{r}<|end_header_id|>\n\n{{content}}<|eot_id|>" for r in ("system", "user", "assistant")}
-_INST = {"user": "{content} [/INST] ", "assistant": "{content} </s><s>[INST] "}
 #: Formats of each model family, by role.
 TEMPLATES: dict[str, dict[str, str]] = {
-    "llama": _HEAD | {"system": "<|begin_of_text|>" + _HEAD["system"]},
-    "llama-2": _INST | {"system": "<s>[INST] <<SYS>>\n{content}\n<</SYS>>\n\n"},
-    "qwen": _IM,
-    "qwen2": _IM,
-    "gemma": _TURN,
-    "gemma-2": _TURN,
-    "phi": _BAR,
-    "phi-3": _BAR,
-    "mistral": _INST | {"system": "<s>[INST] {content}\n\n"},
-    "mixtral": _INST | {"system": "<s>[INST] {content}\n\n"},
-    "chatml": _IM,
-    "default": {"system": "System: {content}\n\n", "user": "User: {content}\n", "assistant": "Assistant: {content}\n"},
+    "llama": {
+        "system": "<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n{content}<|eot_id|>",
+        "user": "<|start_header_id|>user<|end_header_id|>\n\n{content}<|eot_id|>",
+        "assistant": "<|start_header_id|>assistant<|end_header_id|>\n\n{content}<|eot_id|>",
+    },
+    "llama-2": {
+        "system": "<s>[INST] <<SYS>>\n{content}\n<</SYS>>\n\n",
+        "user": "{content} [/INST] ",
+        "assistant": "{content} </s><s>[INST] ",
+    },
+    "qwen": {
+        "system": "<|im_start|>system\n{content}<|im_end|>\n",
+        "user": "<|im_start|>user\n{content}<|im_end|>\n",
+        "assistant": "<|im_start|>assistant\n{content}<|im_end|>\n",
+    },
+    "qwen2": {
+        "system": "<|im_start|>system\n{content}<|im_end|>\n",
+        "user": "<|im_start|>user\n{content}<|im_end|>\n",
+        "assistant": "<|im_start|>assistant\n{content}<|im_end|>\n",
+    },
+    "gemma": {
+        "system": "<start_of_turn>model\n{content}<end_of_turn>\n",
+        "user": "<start_of_turn>user\n{content}<end_of_turn>\n",
+        "assistant": "<start_of_turn>model\n{content}<end_of_turn>\n",
+    },
+    "gemma-2": {
+        "system": "<start_of_turn>model\n{content}<end_of_turn>\n",
+        "user": "<start_of_turn>user\n{content}<end_of_turn>\n",
+        "assistant": "<start_of_turn>model\n{content}<end_of_turn>\n",
+    },
+    "phi": {
+        "system": "<|system|>\n{content}<|end|>\n",
+        "user": "<|user|>\n{content}<|end|>\n",
+        "assistant": "<|assistant|>\n{content}<|end|>\n",
+    },
+    "phi-3": {
+        "system": "<|system|>\n{content}<|end|>\n",
+        "user": "<|user|>\n{content}<|end|>\n",
+        "assistant": "<|assistant|>\n{content}<|end|>\n",
+    },
+    "mistral": {
+        "system": "<s>[INST] {content}\n\n",
+        "user": "{content} [/INST] ",
+        "assistant": "{content} </s><s>[INST] ",
+    },
+    "mixtral": {
+        "system": "<s>[INST] {content}\n\n",
+        "user": "{content} [/INST] ",
+        "assistant": "{content} </s><s>[INST] ",
+    },
+    "chatml": {
+        "system": "<|im_start|>system\n{content}<|im_end|>\n",
+        "user": "<|im_start|>user\n{content}<|im_end|>\n",
+        "assistant": "<|im_start|>assistant\n{content}<|im_end|>\n",
+    },
+    "default": {
+        "system": "System: {content}\n\n",
+        "user": "User: {content}\n",
+        "assistant": "Assistant: {content}\n",
+    },
 }
 #: Patterns of model names, in order of trial.
 FAMILIES = [
@@ -44,8 +87,20 @@ FAMILIES = [
     (r"mixtral", "mixtral"),
 ]
 #: Where generation stops, by template.
-STOPS = {"llama": ["<|eot_id|>", "<|end_of_text|>"], "llama-2": ["</s>"], "mistral": ["</s>"], "mixtral": ["</s>"], "default": []}
-STOPS |= dict.fromkeys(("qwen", "qwen2", "chatml"), ["<|im_end|>"]) | dict.fromkeys(("gemma", "gemma-2"), ["<end_of_turn>"]) | dict.fromkeys(("phi", "phi-3"), ["<|end|>"])
+STOPS: dict[str, list[str]] = {
+    "llama": ["<|eot_id|>", "<|end_of_text|>"],
+    "llama-2": ["</s>"],
+    "qwen": ["<|im_end|>"],
+    "qwen2": ["<|im_end|>"],
+    "gemma": ["<end_of_turn>"],
+    "gemma-2": ["<end_of_turn>"],
+    "phi": ["<|end|>"],
+    "phi-3": ["<|end|>"],
+    "mistral": ["</s>"],
+    "mixtral": ["</s>"],
+    "chatml": ["<|im_end|>"],
+    "default": [],
+}
 
 
 def detect(model: Column) -> Column:
@@ -78,6 +133,38 @@ def chat(messages: Column, template: str = "default", generation_prompt: bool =
     return F.concat(head, body, opening)
 
 
+def one_shot(model: Column, prompt: Column, system: Column | None = None, generation_prompt: bool = True) -> Column:
+    """A prompt, after a system message if there is one, in the form of the model's family, which its name tells."""
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    user = F.array(turn("user", prompt))
+    messages = user if system is None else F.when(F.coalesce(system, F.lit("")) != "", F.concat(F.array(turn("system", system)), user)).otherwise(user)
+    family = detect(model)
+    names = list(dict.fromkeys([name for _, name in FAMILIES]))
+    first, *rest = names
+    chain = F.when(family == first, chat(messages, first, generation_prompt))
+    return reduce(lambda w, n: w.when(family == n, chat(messages, n, generation_prompt)), rest, chain).otherwise(chat(messages, "default", generation_prompt))
+
+
+#: Entries of a history that an assistant is told of.
+HISTORY = 8
+
+
+def history(messages: Column, last: int = HISTORY) -> Column:
+    """The last entries of array<struct(role, content)>, and of those the users' and assistants' turns with a text, which is stripped: the cut comes before the filter."""
+    tail = F.slice(messages, F.greatest(F.size(messages) - last + 1, F.lit(1)), F.lit(last))
+    bare = F.transform(tail, lambda m: F.struct(m["role"].alias("role"), F.regexp_replace(F.coalesce(m["content"], F.lit("")), r"(?U)^\s+|\s+$", "").alias("content")))
+    return F.filter(bare, lambda m: m["role"].isin("user", "assistant") & (m["content"] != ""))
+
+
+def until_stop(text: Column, template: str) -> Column:
+    """A text up to the first of the template's stops."""
+    places = [F.nullif(F.position(F.lit(s), text), F.lit(0)) for s in STOPS.get(template, [])]
+    if not places:
+        return text
+    at = places[0] if len(places) == 1 else F.least(*places)
+    return F.when(at.isNull(), text).otherwise(F.left(text, at - 1))
+
+
 def render(template: str, prompt: Column) -> Column:
     """A task's template; only {prompt} is replaced."""
     return F.replace(F.lit(template), F.lit("{prompt}"), prompt)

@@ -677,13 +677,12 @@ def func_call_validate(spark, d):
     return table(spark, d, "events").select("event_id", scoring.call_is_valid(name, F.create_map(F.lit("k"), value), known).alias("valid"))
 
 
-@query("""select conv_id, coalesce(string_agg(role || ': ' || text, chr(10) order by turn) filter (role in ('user', 'assistant') and text <> ''), '') as history
- from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r <= 3 group by conv_id""")
+@query(r"""select conv_id, coalesce(string_agg(role || ': ' || t, chr(10) order by turn, role, text) filter (role in ('user', 'assistant') and t <> ''), '') as history
+ from (select *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as t, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as r from conversations) where r <= 8 group by conv_id""")
 def chat_history(spark, d):
     """The last entries of a conversation, and of those the turns with a text: the cut comes before the filter."""
-    rows = chat_messages(spark, d).withColumn("last", F.slice("messages", F.greatest(F.size("messages") - 2, F.lit(1)), F.lit(3)))
-    kept = F.filter("last", lambda m: m["role"].isin("user", "assistant") & (F.coalesce(m["content"], F.lit("")) != ""))
-    return rows.select("conv_id", F.array_join(F.transform(kept, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("history"))
+    kept = templates.history(F.col("messages"))
+    return chat_messages(spark, d).select("conv_id", F.array_join(F.transform(kept, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("history"))
 
 
 @query(f"select sum(pos)::bigint as total_samples_evaluated, count(distinct model) as models_compared from {SCORES_SQL}")
@@ -739,4 +738,4 @@ def upsert_skipped(spark, d):
     return leaderboard.skipped(board, table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
 
 
-from . import evaluation, parts, runs  # noqa: E402, F401  their queries register themselves above
+from . import documents, evaluation, parts, runs  # noqa: E402, F401  their queries register themselves above

@@ -15,8 +15,6 @@ HUMANEVAL = "task_id string, prompt string, entry_point string, canonical_soluti
 HELLASWAG = "ind long, ctx string, ctx_a string, ctx_b string, endings array<string>, label string, activity_label string, split_type string"
 BFCL = "id string, question variant, function variant, chat_history variant, function_call_type string"
 ANSWERS = "id string, ground_truth array<map<string,map<string,array<string>>>>"
-#: File of each subset; any other is the simple one.
-BFCL_FILES = {s: f"BFCL_v3_{s}.json" for s in ("simple", "multiple", "parallel", "parallel_multiple", "java", "javascript", "rest", "sql", "irrelevance", "live_simple", "live_multiple", "live_parallel", "live_parallel_multiple", "live_irrelevance", "live_relevance", "multi_turn_base", "multi_turn_miss_func", "multi_turn_miss_param", "multi_turn_long_context", "chatable")}
 
 
 def read_split(spark: SparkSession, path: str, schema: str, split: str | None = None, fmt: str = "json") -> DataFrame:
