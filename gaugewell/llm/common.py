@@ -45,6 +45,8 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 
 #: A row's place in a written table: a hash of its file's name, and its number in the file.
 FILE, ROW = "__x_file", "__x_row"
+#: Of a folder of notes, the file that says which files there are.
+INDEX = "files"
 _roots: list[str] = []
 
 
@@ -100,10 +102,11 @@ class Scratch:
             where, base = filesystem(folder)
             where.create_dir(base, recursive=True)
             held: list[pa.RecordBatch] = []
-            n = 0
+            files: list[int] = []
 
             def out() -> None:
                 file = held[0].column(FILE)[0].as_py()
+                files.append(file)
                 under = f"{base}/.{file}-{uuid.uuid4().hex}"
                 table = pa.Table.from_batches(held).drop_columns([FILE]).combine_chunks()
                 with where.open_output_stream(under) as f, pa.ipc.new_file(f, table.schema) as sink:
@@ -116,14 +119,18 @@ class Scratch:
                         out()
                         held = []
                     held.append(part)
-                    n += part.num_rows
             if held:
                 out()
-            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64())], ["file"])
 
         dealt = notes.select(F.col(FILE).alias(FILE), F.col(ROW).alias(ROW), *(c for c in notes.columns if c not in (FILE, ROW)))
         dealt = dealt.repartition(FILE).sortWithinPartitions(FILE, ROW)
-        dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+        files = sorted({r[0] for r in dealt.mapInArrow(write, "file long").collect()})  # a number per file that has notes
+        where, base = filesystem(folder)
+        where.create_dir(base, recursive=True)
+        index = pa.table({FILE: pa.array(files, pa.int64())})
+        with where.open_output_stream(f"{base}/{INDEX}") as f, pa.ipc.new_file(f, index.schema) as sink:
+            sink.write_table(index)
         return folder
 
 
@@ -141,16 +148,18 @@ def _by_file(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def noted(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.RecordBatch]]:
-    """Batches of a located table with their notes: (rows of one file, which of them are noted, their notes)."""
+    """Batches of a located table with their notes: (rows of one file, which of them are noted, their notes). A file of notes that was written and can't be found is an error."""
     where, base = filesystem(folder)
     held: int | None = None
+    known: set[int] | None = None
     for b in batches:
         for part in _by_file(b):
             file = part.column(FILE)[0].as_py()
             if file != held:
-                held, path = file, f"{base}/{file}"
-                there = where.get_file_info(path).type != fs.FileType.NotFound
-                notes = pa.ipc.open_file(where.open_input_file(path)).read_all().combine_chunks() if there else None
+                if known is None:
+                    known = set(pa.ipc.open_file(where.open_input_file(f"{base}/{INDEX}")).read_all().column(FILE).to_pylist())
+                held, there = file, file in known
+                notes = pa.ipc.open_file(where.open_input_file(f"{base}/{file}")).read_all().combine_chunks() if there else None
                 rows = notes.column(ROW).to_numpy() if there else np.empty(0, np.int64)
             own = part.column(ROW).to_numpy()
             at = np.searchsorted(rows, own)
@@ -173,9 +182,10 @@ def without_noted(table: DataFrame, folder: str) -> DataFrame:
 
 
 def written_order(df: DataFrame, major: str, minor: str) -> DataFrame:
-    """df with the order of its rows as they were written: the files' names, which writers number, and places in files. Of a frame that reads no files, its partitions and places in them."""
+    """df with the order of its rows as they were written: the files by the numbers that writers give them and then by name, and places in files. Of a frame that reads no files, its partitions and places in them."""
+    number = F.lpad(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1), 12, "0")
     try:
-        return df.select("*", F.col("_metadata.file_path").alias(major), F.col("_metadata.row_index").alias(minor))
+        return df.select("*", F.concat(number, F.lit("/"), F.col("_metadata.file_path")).alias(major), F.col("_metadata.row_index").alias(minor))
     except AnalysisException:
         at = F.monotonically_increasing_id()
         return df.select("*", F.lpad(F.shiftright(at, 33).cast("string"), 10, "0").alias(major), at.bitwiseAND(F.lit((1 << 33) - 1)).alias(minor))

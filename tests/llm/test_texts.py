@@ -240,3 +240,56 @@ def test_a_cluster_must_name_its_shared_folder():
         with pytest.raises(ValueError):
             shared_dir(session(master, None))
     assert shared_dir(session("yarn", "hdfs:///scratch/")) == "hdfs:///scratch" and shared_dir(session("local[2]", None)).startswith("file://")
+
+
+def test_notes_that_are_lost_are_an_error(spark):
+    """A file without notes has none; one that had some must have them."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from gaugewell.llm.common import FILE, ROW, filesystem, located, without_noted
+
+    scratch = Scratch(spark, "notes")
+    table = scratch.table(spark.range(40).repartition(4), "rows")
+    folder = scratch.notes(located(table).where("id < 3").select(FILE, ROW), "gone")
+    assert sorted(r.id for r in without_noted(table, folder).collect()) == list(range(3, 40))
+    where, base = filesystem(folder)
+    names = [i.base_name for i in where.get_file_info(__import__("pyarrow").fs.FileSelector(base)) if i.base_name != "files"]
+    where.delete_file(f"{base}/{names[0]}")
+    try:
+        without_noted(table, folder).collect()
+    except PySparkException as e:
+        assert names[0] in str(e)
+    else:
+        raise AssertionError("no error")
+    nothing = scratch.notes(located(table).where(F.lit(False)).select(FILE, ROW), "none")
+    assert without_noted(table, nothing).count() == 40
+    assert without_noted(table.limit(0), nothing).count() == 0
+
+
+def test_files_are_ordered_by_their_numbers(spark, tmp_path):
+    from gaugewell.llm.common import written_order
+
+    for name, first in (("part-99999-a", 0), ("part-100000-a", 10)):
+        spark.range(first, first + 3).coalesce(1).write.parquet(str(tmp_path / "x"))
+        made = next((tmp_path / "x").glob("part-*.parquet"))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        made.rename(tmp_path / "all" / f"{name}.parquet")
+        __import__("shutil").rmtree(tmp_path / "x")
+    got = written_order(spark.read.parquet(str(tmp_path / "all")), "f", "r").orderBy("f", "r").collect()
+    assert [r.id for r in got] == [0, 1, 2, 10, 11, 12]
+
+
+def test_operators_that_keep_rows_and_names_that_clash(docs, none):
+    """Columns stay, whatever they are called; an empty table stays empty."""
+    from gaugewell.llm.near_dedup import drop_near_duplicates
+    from gaugewell.llm.quality_rules import keep_good
+
+    data = {(r[0], r[1]) for r in rows()}
+    for f in (keep_good, drop_near_duplicates, cut_repeated_passages):
+        got = f(docs)
+        assert got.columns == docs.columns and f(none).columns == docs.columns
+        for r in got.collect():
+            assert (r.doc_id, r.text) in data or f is cut_repeated_passages
+            assert r.label == 4 and r.offset == 15 and r.q_text == 12
+        assert f(none).count() == 0
