@@ -213,10 +213,6 @@ def script_fault(completion: Column, tests: Column, entry_point: Column) -> Colu
     return F.when(tests.isNull(), "no tests").when(completion.isNull(), "no code").when(called & (F.coalesce(F.trim(entry_point), F.lit("")) == ""), "no entry point for check()")
 
 
-def output_contains(expected: Column) -> Column:
-    return F.col("success") & F.contains(F.col("output"), expected)
-
-
 @dataclass(frozen=True)
 class ModelInfo:
     """What is known of a backend's model."""

@@ -38,11 +38,6 @@ def left_with_default(questions: DataFrame, answers: DataFrame, key: str, value:
     return questions.join(last, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
-def checkpoint_info(df: DataFrame) -> DataFrame:
-    """Completed samples per task and model."""
-    return df.groupBy("task_name", "model_name").agg(F.max(F.size("completed_indices")).alias("completed"), F.max("timestamp").alias("timestamp"))
-
-
 def completed(df: DataFrame, *by: str, order: str) -> DataFrame:
     """Completed rows of each run and its last one, counted where the results are."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("completed"), F.max(order).alias("timestamp"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import choice, code, jsons, refusal, robust, scoring, templates, text
 from ..operators import diagnostics, execution, leaderboard, metrics, resume
+from ..sources import reports
 from ..sources.derived import MODEL_OUTPUTS_SQL as OUT
 from ..sources.derived import CODE_OK_SQL, SCORES_SQL, attempts, chat_messages, latency_runs, model_outputs, scores, table
 from . import config
@@ -727,9 +728,10 @@ def throughput_and_memory(spark, d):
     return e.select("event_id", F.round(scoring.throughput(F.col("event_id") % 257, F.col("value")), 6).alias("tokens_per_second"), F.round(scoring.gigabytes(F.col("value") * 1e9), 6).alias("gb"))
 
 
-@query(f"select sample_id, to_json({{'sample_id': sample_id, 'passed': passed, 'n': idx}}) as json from {SCORED}")
+@query(f"select to_json({{'sample_id': sample_id, 'passed': passed, 'score': score::double, 'execution_time': execution_time, 'error': error}})::varchar as json from {SCORED}")
 def diagnostic_json(spark, d):
-    return scored(spark, d).select("sample_id", F.to_json(F.struct("sample_id", "passed", F.col("idx").alias("n"))).alias("json"))
+    """Results as the lines of a diagnostic report's JSON."""
+    return reports.diagnostics_json(scored(spark, d))
 
 
 @query("select s_suppkey, s_name from supplier where s_suppkey not in (select c_custkey from customer where c_custkey % 2 = 0)")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import templates
 from ..operators.running import running_sums
+from .runlog import shared_root
 
 HUMANEVAL = "task_id string, prompt string, entry_point string, canonical_solution string, test string"
 HELLASWAG = "ind long, ctx string, ctx_a string, ctx_b string, endings array<string>, label string, activity_label string, split_type string"
@@ -22,22 +23,32 @@ def read_split(spark: SparkSession, path: str, schema: str, split: str | None =
     return spark.read.schema(schema).format(fmt).load(f"{path}/{split}" if split else path)
 
 
+#: File parts whose first numbers are sent to every task, about 200 bytes each; with more, rows are shuffled to them.
+MOST_PARTS = 200_000
+
+
 def numbered(df: DataFrame, name: str = "idx") -> DataFrame:
     """df with idx, the rows' places from 0 in the order of the files' names and of rows in them.
 
     Counts by file part give each part its first number, so numbers do not depend on how parts are dealt to tasks, and a row costs
-    no shuffle. A frame that reads no files is numbered by its partitions.
+    no shuffle unless there are more than MOST_PARTS parts. A frame that reads no files is written once to a folder that the cluster shares, and numbered
+    by its partitions as they are written.
     """
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     try:
-        parts = [F.col("_metadata.file_path").alias("x_file"), F.col("_metadata.file_block_start").alias("x_start")]
-        df.select(*parts)
+        rows = df.select("*", file.alias("x_file"), start.alias("x_start"))
     except AnalysisException:
-        parts = [F.lit("").alias("x_file"), F.spark_partition_id().cast("long").alias("x_start")]
-    rows = df.select("*", *parts, F.monotonically_increasing_id().alias("x_at"))
+        path = f"{shared_root(df.sparkSession)}/rows"
+        df.write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
+        rows = df.select("*", file.alias("x_file"), start.alias("x_start"))
+    at_most = len(df.inputFiles()) + 2 * rows.rdd.getNumPartitions()  # a partition ends in one file and begins in one
+    rows = rows.withColumn("x_at", F.monotonically_increasing_id())
     sizes = rows.groupBy("x_file", "x_start").agg(F.min("x_at").alias("x_first"), F.count(F.lit(1)).alias("x_n"))
     before = Window.orderBy("x_file", "x_start").rowsBetween(Window.unboundedPreceding, -1)  # a row per file part
     sizes = sizes.withColumn("x_base", F.coalesce(F.sum("x_n").over(before), F.lit(0))).drop("x_n")
-    return rows.join(F.broadcast(sizes), ["x_file", "x_start"]).select(*df.columns, (F.col("x_base") + F.col("x_at") - F.col("x_first")).alias(name))
+    sizes = sizes.hint("broadcast" if at_most <= MOST_PARTS else "merge")
+    return rows.join(sizes, ["x_file", "x_start"]).select(*df.columns, (F.col("x_base") + F.col("x_at") - F.col("x_first")).alias(name))
 
 
 def samples(df: DataFrame, extract: Callable[[DataFrame], DataFrame], n: int | None = None) -> DataFrame:
@@ -93,8 +104,3 @@ def bfcl(questions: DataFrame, answers: DataFrame) -> DataFrame:
     empty = F.array().cast("array<map<string,map<string,array<string>>>>")
     joined = questions.join(last, "id", "left")
     return joined.select("idx", "id", bfcl_question(F.col("question")).alias("prompt"), bfcl_functions(F.col("function")).alias("functions"), F.coalesce("ground_truth", empty).alias("reference"), F.coalesce("function_call_type", F.lit("simple")).alias("call_type"))
-
-
-def info(df: DataFrame, path: str, split: str) -> dict:
-    """A dataset's path, split, number of rows and schema."""
-    return {"path": path, "split": split, "num_samples": df.count(), "schema": df.schema.simpleString()}

@@ -106,6 +106,10 @@ class Dataset:
         """(file, text) of rows that are no JSON objects of this schema."""
         return self._read().where(f"r is null or r.{BAD} is not null").select(F.element_at(F.split("x_file", "/"), -1).alias("file"), F.col("value").alias("text"))
 
+    def info(self) -> dict:
+        """The dataset's path, loader, split, number of rows that can be read, and schema."""
+        return {"path": self.path, "loader": self.loader, "split": self.split, "num_samples": self.rows().count(), "schema": self.schema().simpleString()}
+
     def answers(self) -> DataFrame:
         """Answers to a subset's questions; none where their file isn't there."""
         at = f"{self.path.rstrip('/')}/{ANSWERS}/{subset_file(self.subset)}"

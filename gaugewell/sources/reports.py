@@ -1,4 +1,4 @@
-"""Reports, checkpoints and exports."""
+"""Reports and exports."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from ..operators.leaderboard import export_columns
 
 SCORE = "accuracy double, samples bigint, passed bigint, failed bigint, avg_time_per_sample double, note string, ttft_ms double, throughput_tok_s double, peak_ram_gb double, model_size_gb double, model_ram_usage_gb double, quantization string"
 REPORT = f"models map<string,map<string,struct<{', '.join(f'{a}:{b}' for a, b in (x.split() for x in SCORE.split(', ')))}>>>, generated_at string"
-CHECKPOINT = "task_name string, model_name string, completed_indices array<int>, timestamp string, metadata string, _corrupt_record string"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -24,21 +23,6 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return models.select(F.col("m.key").alias("model"), "pos", F.explode("m.value").alias("benchmark", "s")).select("model", "pos", "benchmark", "s.*")
 
 
-def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """Checkpoints of a folder, newest first, without the corrupt ones."""
-    rows = spark.read.schema(CHECKPOINT).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    return rows.where("_corrupt_record is null and task_name is not null").drop("_corrupt_record").orderBy(F.desc("timestamp"))
-
-
-def write_results(df: DataFrame, path: str) -> None:
-    """Results by task, atomically by Spark's committer."""
-    df.write.mode("overwrite").partitionBy("task").json(path)
-
-
-def append_checkpoint(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("task", "model").parquet(path)
-
-
 def write_csv(models: DataFrame, path: str) -> None:
     """The table export with its fixed header, in one small file."""
     export_columns(models).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

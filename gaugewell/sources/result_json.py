@@ -65,3 +65,14 @@ def write(df: DataFrame, path: str) -> None:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return from_json(spark.read.text(path).select("value"), "value")
+
+
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """Results that stand in checkpoint documents, one document per file: the fields of each result with the document's task, model, timestamp
+    and metadata, and idx as completed_indices has it where a result has none. Documents that are no JSON or name no task are left out."""
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
+    get = lambda p, kind: F.try_variant_get("doc", p, kind)
+    docs = text.select(get("$.task_name", "string").alias("said_task"), get("$.model_name", "string").alias("said_model"), get("$.timestamp", "string").alias("timestamp"), F.to_json(get("$.metadata", "variant")).alias("metadata"), get("$.completed_indices", "array<long>").alias("done"), get("$.results", "array<variant>").alias("results"))
+    each = docs.where("said_task is not null").select("said_task", "said_model", "timestamp", "metadata", "done", F.posexplode("results").alias("at", "one"))
+    rows = from_json(each.select("said_task", "said_model", "timestamp", "metadata", F.get("done", F.col("at")).alias("said_idx"), F.to_json("one").alias("one")), "one").where("wrong is null")
+    return rows.withColumns({"idx": F.coalesce("idx", "said_idx"), "task": F.coalesce("task", "said_task"), "model": F.coalesce("model", "said_model")}).drop("said_task", "said_model", "said_idx", "wrong")

@@ -40,6 +40,7 @@ def test_datasets(spark, tmp_path):
     assert generic.schema().simpleString() == "struct<n:bigint,t:string>" and sorted((r.n, r.t) for r in generic.rows().collect()) == [(1, "x"), (2, None)]
     assert [r.text for r in generic.bad_rows().collect()] == ["[1]"]
     assert datasets.Dataset(spark, str(tmp_path / "g"), split="empty").schema().fields == [] and datasets.Dataset(spark, str(tmp_path / "g"), split="empty").rows().count() == 0
+    assert generic.info() == {"path": str(tmp_path / "g"), "loader": "generic", "split": "test", "num_samples": 2, "schema": "struct<n:bigint,t:string>"}
     with pytest.raises(ValueError, match="extract"):
         generic.samples()
     time.sleep(1.1)  # file systems tell times of change by the second
@@ -83,6 +84,14 @@ def test_results_as_json(spark, tmp_path):
     assert got[0].more == {"later": "[1]"} and [r.wrong for r in got] == [None, None, "[]", "no json"]
 
 
+def test_checkpoint_documents(spark, tmp_path):
+    doc = {"task_name": "t", "model_name": "m", "completed_indices": [4, 7], "timestamp": "2024", "metadata": {"k": [1]}, "results": [{"sample_id": "a", "parsed_result": {"content": "x", "confidence": 0.5}, "score": 1.0, "passed": True, "x": 1}, {"sample_id": "b", "parsed_result": None, "error": "e", "idx": 9}, "no object"]}
+    for name, text in (("a", json.dumps(doc)), ("bad", '{"task'), ("other", '{"results": [{}]}'), ("none", json.dumps({"task_name": "u", "results": []}))):
+        (tmp_path / f"{name}.json").write_text(text)
+    got = sorted(result_json.read_checkpoints(spark, str(tmp_path)).collect(), key=lambda r: r.idx)
+    assert [(r.idx, r.task, r.model, r.sample_id, r.content, r.score, r.passed, r.error, r.more, r.metadata) for r in got] == [(4, "t", "m", "a", "x", 1.0, True, None, {"x": "1"}, '{"k":[1]}'), (9, "t", "m", "b", None, None, None, "e", {}, '{"k":[1]}')]
+
+
 def test_token_stream_equals_the_batch(spark, tmp_path):
     rng = random.Random(4)
     rows = []
