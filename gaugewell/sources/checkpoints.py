@@ -53,9 +53,10 @@ def delete(spark: SparkSession, root: str, task: str, model: str) -> bool:
 
 
 def clear(spark: SparkSession, root: str) -> int:
-    """Delete all runs, also those in progress; how many there were."""
+    """Delete all runs, also those in progress and those that can't be read; how many there were."""
     store = runlog.Store(spark)
-    return sum(store.delete(path) for path, _ in listed(spark, root))
+    paths = [f"{root.rstrip('/')}/{name}" for name in store.names(root)]
+    return sum(store.delete(path) for path in paths if store.exists(f"{path}/log"))
 
 
 def prune(spark: SparkSession, root: str, keep: int = 5) -> int:
