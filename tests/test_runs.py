@@ -3,6 +3,7 @@
 import json
 import warnings
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,33 @@ def test_what_programs_may_do():
     assert run("import numpy as np\nprint(np.arange(4).sum())")[1] == "6\n"
 
 
+def test_programs_share_an_interpreter_and_nothing_else():
+    with execution.Sandbox() as box:
+        run = lambda x, t=5.0: box.run(x, t, 512)
+        assert run("import math\nmath.pi = 3\nprint(math.pi)")[1] == "3\n"
+        server = box.server.pid
+        assert run("import math\nprint(math.pi > 3)")[1] == "True\n"
+        assert run("while True:\n    pass", 0.5)[5] and run("x = 'a' * 10**10")[0] is False
+        assert run("import atexit\natexit.register(print, 'late')\nraise SystemExit(3)")[1:4] == ("late\n", None, 3)
+        assert run("print('é' * 3, end='\\r')")[1] == "ééé\r" and "surrogates" in run("\ud800")[2]
+        assert [len(run("print('x' * 3_000_000)")[1]), run("print(1)")[1]] == [execution.KEPT, "1\n"]
+        assert box.server.pid == server and box.server.poll() is None
+        box.server.kill()
+        assert run("print(2)")[:4] == (True, "2\n", None, 0)
+        server = box.server
+    assert server.poll() is not None
+
+
+def test_outcomes_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(execution, "PIECE_ROWS", 3), monkeypatch.setattr(execution, "PIECE_CHARS", 100)
+    codes = ["print('x' * 99)", "print(1)", None, "print(3)", "import os", "print(5)", "print(6)"]
+    frames = [pd.DataFrame({"i": range(k, k + 7), "code": codes}, index=range(7, 14)) for k in (0, 7)] + [pd.DataFrame({"i": [], "code": []})]
+    got = list(execution.outcomes(iter(frames), "code", 5.0, 512, set(execution.BLOCKED_MODULES), set(execution.BLOCKED_CALLS)))
+    assert [len(x) for x in got] == [1, 3, 3] * 2
+    rows = pd.concat(got)
+    assert list(rows["i"]) == list(range(14)) and list(rows["output"].fillna("null")) == ["x" * 99 + "\n", "1\n", "null", "3\n", "", "5\n", "6\n"] * 2
+
+
 CASES = [
     ({"type": ["integer", "null"], "minimum": 2}, ["2", "2.0", "null", "1", "2.5", "true", '"2"'], [None, None, None, "$: less than 2", "$: not of type integer or null", "$: not of type integer or null", "$: not of type integer or null"]),
     ({"required": ["k", "it's"], "properties": {"k": {"enum": [1, "b", None, [1, 2], {"z": 1, "a": True}]}}}, ['{"k": [1, 2], "it\'s": 0}', '{"k": {"a": true, "z": 1}, "it\'s": null}', '{"k": 2, "it\'s": 0}', '{"k": 1}', "[]"], [None, None, "$.k: not one of [1, 'b', None, [1, 2], {'z': 1, 'a': True}]", "$: it's is missing", None]),
