@@ -100,6 +100,14 @@ def test_sandbox_limits():
     assert execution.imports("import b, a.c\nfrom z import q") == ["a.c", "b", "z"] and execution.imports("(") == []
 
 
+def test_tests_of_a_task_are_run_from_one_interpreter(spark):
+    """Programs of one task share the hash seed that interpreters of their own would differ in, and no state."""
+    code = "import math\nn = getattr(math, 'n', 0) + 1\nmath.n = n\nprint(hash('a'), n)"
+    rows = spark.range(6).coalesce(1).select("id", F.lit(code).alias("content"), F.lit("").alias("reference"), F.lit("assert n == 1").alias("test"), F.lit("f").alias("entry_point"))
+    got = evaluate.scored(rows, "pass_at_k").collect()
+    assert [r.passed for r in got] == [True] * 6 and len({r.output for r in got}) == 1
+
+
 def test_rows_are_numbered_as_read(spark, tmp_path):
     rows = [{"n": i, "prompt": None if i % 5 == 2 else f"p{i}"} for i in range(200)]
     for k in range(4):
