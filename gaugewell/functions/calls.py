@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jsons
@@ -14,6 +16,11 @@ def _of(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def _let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of c, where c is computed once however often body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def _object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
@@ -25,9 +32,12 @@ def _list(v: Column) -> Column:
 
 def canonical(v: Column) -> Column:
     """A JSON value as a text that equal values share: numbers by value, with true as 1, and anything else as JSON."""
-    kind = F.schema_of_variant(v)
-    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    return F.when(number, _of(v, "$", "double").cast("string")).when(kind == "BOOLEAN", _of(v, "$", "boolean").cast("double").cast("string")).otherwise(F.to_json(v))
+
+    def text(kind: Column) -> Column:
+        number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        return F.when(number, _of(v, "$", "double").cast("string")).when(kind == "BOOLEAN", _of(v, "$", "boolean").cast("double").cast("string")).otherwise(F.to_json(v))
+
+    return _let(F.schema_of_variant(v), text)
 
 
 def _call(v: Column) -> Column:
@@ -48,24 +58,34 @@ def parse(c: Column, named: bool = True) -> Column:
     an empty array. Otherwise the text must be JSON, calls have name and arguments, others count as calls without a name, and a
     text that is no list or object gives null.
     """
-    text = jsons.extract(c) if named else c
-    v = F.when(jsons.is_json(text), F.try_parse_json(text))
+    value = lambda text: F.when(jsons.shaped(text), F.try_parse_json(text))
     if named:
-        found = F.filter(F.transform(F.filter(_list(v), _object), _call), lambda x: x.isNotNull())
+        found = _let(_let(jsons.extract(c), value), lambda v: F.filter(F.transform(F.filter(_list(v), _object), _call), lambda x: x.isNotNull()))
         shaped = F.transform(found, lambda x: F.struct(x["name"].alias("name"), _of(x["args"], "$", _ANY).alias("args")))
         return F.coalesce(shaped, F.array().cast(f"array<struct<name:string,args:{_ANY}>>"))
+    return _let(value(c), _unnamed)
+
+
+def _unnamed(v: Column) -> Column:
     return F.transform(_list(v), lambda x: F.struct(_of(x, "$.name", "string").alias("name"), _of(x, "$.arguments", _ANY).alias("args")))
 
 
-def expected(c: Column) -> Column:
-    """array<struct(name, params map<string, variant>)> of a reference in JSON: a list of objects by function name; of one function the last counts."""
-    v = F.try_parse_json(c)
+def _entries(v: Column) -> Column:
+    """The fields of the objects in a list, one after another."""
     items = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.filter(_of(v, "$", "array<variant>"), _object))
-    pairs = F.flatten(F.transform(items, lambda x: F.map_entries(_of(x, "$", _ANY))))
+    return F.flatten(F.transform(items, lambda x: F.map_entries(_of(x, "$", _ANY))))
+
+
+def _last(pairs: Column) -> Column:
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]))
     return F.transform(last, lambda p: F.struct(p["key"].alias("name"), _of(p["value"], "$", _ANY).alias("params")))
 
 
+def expected(c: Column) -> Column:
+    """array<struct(name, params map<string, variant>)> of a reference in JSON: a list of objects by function name; of one function the last counts."""
+    return _let(_entries(F.try_parse_json(c)), _last)
+
+
 def match(found: Column, wanted: Column) -> Column:
     """The share of found calls that are right.
 
@@ -80,6 +100,14 @@ def match(found: Column, wanted: Column) -> Column:
 
     def right(call: Column) -> Column:
         one = F.try_element_at(F.filter(wanted, lambda w: w["name"] == call["name"]), F.lit(1))
-        return F.coalesce(one.isNotNull() & F.forall(F.map_entries(one["params"]), lambda p: held(call, p)), F.lit(False))
+        return F.coalesce(F.forall(F.map_entries(one["params"]), lambda p: held(call, p)), F.lit(False))
 
     return F.when((F.size(found) > 0) & (F.size(wanted) > 0), F.size(F.filter(found, right)) / F.size(found)).otherwise(0.0)
+
+
+def with_match(df: DataFrame, content: Column, reference: Column, name: str) -> DataFrame:
+    """df with the match of a content's calls (parse without named) and a reference's, each text parsed once a row and each step a column of its own."""
+    df = df.withColumns({"x_found": F.when(jsons.shaped(content), F.try_parse_json(content)), "x_pairs": F.try_parse_json(reference)})
+    df = df.withColumns({"x_found": _unnamed(F.col("x_found")), "x_pairs": _entries(F.col("x_pairs"))})
+    df = df.withColumn("x_wanted", F.when(F.size("x_found") > 0, _last(F.col("x_pairs"))))
+    return df.withColumn(name, match(F.col("x_found"), F.col("x_wanted"))).drop("x_found", "x_pairs", "x_wanted")

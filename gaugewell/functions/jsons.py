@@ -26,10 +26,14 @@ def is_json_exact(s: pd.Series) -> pd.Series:
     return s.map(ok)
 
 
+def shaped(c: Column) -> Column:
+    """One value and nothing beside it, by its outer form."""
+    return c.rlike(r"(?s)^\s*(\{.*\}|\[.*\]|\"(?:[^\"\\]|\\.)*\"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)\s*$")
+
+
 def is_json(c: Column) -> Column:
     """Valid JSON, natively: it parses, and nothing follows a first value."""
-    one = r"(?s)^\s*(\{.*\}|\[.*\]|\"(?:[^\"\\]|\\.)*\"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)\s*$"
-    return F.coalesce(F.try_parse_json(c).isNotNull() & c.rlike(one), F.lit(False))
+    return F.coalesce(F.try_parse_json(c).isNotNull() & shaped(c), F.lit(False))
 
 
 def fenced(c: Column) -> Column:

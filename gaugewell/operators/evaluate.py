@@ -67,6 +67,8 @@ def parsed(df: DataFrame, text: str, parser: str | robust.Chain | Callable[[Colu
     known_parser(parser)
     if parser == "robust" or isinstance(parser, robust.Chain):
         df = robust.parsed(df, text, chain=parser) if isinstance(parser, robust.Chain) else robust.parsed(df, text)
+    elif parser == "json":
+        df = jsons.with_json(df.withColumn("x_text", F.coalesce(text, F.lit(""))), "x_text", "content", "confidence").withColumn("parser_used", F.lit("json")).drop("x_text")
     else:
         build = parser if callable(parser) else PARSERS[parser]
         df = df.withColumn("x_parsed", build(F.col(text))).select("*", "x_parsed.content", "x_parsed.confidence", "x_parsed.parser_used").drop("x_parsed")
@@ -90,7 +92,7 @@ def scored(df: DataFrame, metric: str | Callable[[Column, Column], Column], refe
         ran = ran.withColumn("error", F.coalesce("x_fault", "error")).withColumn("passed", F.coalesce(passed, F.lit(False)))
         return ran.withColumn("score", F.col("passed").cast("double")).drop("x_script", "x_fault")
     if metric == "function_call_match":
-        out = df.withColumn("score", calls.match(calls.parse(pred, named=False), calls.expected(ref)))
+        out = calls.with_match(df, pred, ref, "score")
         return out.withColumn("passed", F.col("score") > 0)
     rule = metric if callable(metric) else RULES[known_metric(metric)]
     out = df.withColumn("score", F.coalesce(rule(pred, ref).cast("double"), F.lit(0.0)))

@@ -78,7 +78,8 @@ def evaluate_tasks(samples: DataFrame, tasks: Plan, task: str = "task", text: st
             df = df.withColumnRenamed("x_error_before", "error")
             value, more = F.col(f"x_score{i}"), F.coalesce(more, F.when(mine, F.col(f"x_error{i}")))
         elif metric == "function_call_match":
-            value = calls.match(calls.parse(pred, named=False), calls.expected(ref))
+            df = calls.with_match(df, pred, F.when(mine, ref), f"x_share{i}")
+            value = F.col(f"x_share{i}")
         else:
             rule = metric if callable(metric) else evaluate.RULES[metric]
             value = rule(pred, ref).cast("double")

@@ -56,7 +56,7 @@ def _call_texts(spark, d):
     ]
     text = F.get(F.array(*forms), (F.col("event_id") % 6).cast("int"))
     reference = F.lit('[{"g": {}}, {"f": {"k": [0]}}, {"f": {"k": [1, 2]}}]')
-    return table(spark, d, "events").select("event_id", text.alias("text"), reference.alias("reference"))
+    return spread(table(spark, d, "events")).select("event_id", text.alias("text"), reference.alias("reference"))
 
 
 @query(f"""select event_id, score, score > 0 as passed from (select event_id, (case event_id % 6 when 0 then case when {_K} in (1, 2) then 1.0 else 0.0 end

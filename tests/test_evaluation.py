@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewell.functions import calls, code, jsons, refusal, robust, templates, text
-from gaugewell.operators import evaluate, execution, metrics, report, resume
+from gaugewell.operators import evaluate, execution, manytasks, metrics, report, resume
 from gaugewell.plans import config, registry
 from gaugewell.sources import benchmarks, checkpoints, inference, reports
 from gaugewell.sources.derived import CODE_OK, SHAPES
@@ -88,6 +88,21 @@ def test_call_match(spark, found, wanted, score):
     assert df.select(calls.match(calls.parse(F.col("a"), named=False), calls.expected(F.col("b")))).first()[0] == score
 
 
+def test_call_match_parses_each_text_once(spark):
+    """As one expression each use of the parsed texts parsed them again, for each call and parameter too; the results are those of that expression."""
+    found = ['[{"name": "f", "arguments": {"k": 1}}, {"name": "g", "arguments": {}}]', '{"name": "f", "arguments": {"k": true}}', 'Calls: [{"name": "f", "arguments": {"k": [1]}}] ok', "```json\n[]\n```", "{'name': 'f'}", "[1", "", None]
+    wanted = ['[{"f": {"k": [0]}}, {"f": {"k": [1, 2]}}, {"g": 1}]', '[{"f": {"k": 1}}, 3]', '[{"f": {"k": [[1.0]]}}]', '{"f": {}}', "[]", "[", None]
+    df = spark.createDataFrame([(a, b) for a in found for b in wanted], "text string, reference string").coalesce(1)
+    out = evaluate.evaluate(df, "function_call_match", "json")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("parseJson") <= 8
+    many = manytasks.evaluate_tasks(df.withColumn("task", F.lit("t")), {"t": ("json", "function_call_match")})
+    plain = df.select("text", "reference", jsons.extract(F.col("text")).alias("content"), jsons.confidence(F.col("text")).alias("confidence"))
+    plain = plain.withColumn("score", calls.match(calls.parse(F.col("content"), named=False), calls.expected(F.col("reference"))))
+    rows = [x.select("text", "reference", "content", "confidence", "score").collect() for x in (out, many, plain)]
+    assert rows[0] == rows[1] == rows[2] and {r.score for r in rows[0]} == {0.0, 0.5, 1.0}
+
+
 def test_sandbox_limits():
     run = lambda x, t=5.0: execution.execute(x, t, 512)
     assert run("print('a')\nimport json, math, re, collections")[:2] == (True, "a\n")
