@@ -8,7 +8,7 @@ from ..functions import calls, refusal, schemas, templates, text
 from ..operators import evaluate, execution, leaderboard, report
 from ..sources import benchmarks, inference
 from ..sources.derived import MODEL_OUTPUTS_SQL as OUT
-from ..sources.derived import SCORES_SQL, model_outputs, scores, spread, table
+from ..sources.derived import SCORES_SQL, dealt, model_outputs, scores, spread, table
 from .catalog import CATEGORY, JSON, SCORED, _family, _J, _L, _q, _valid, query, rounded, scored
 
 _BROKEN = "case when event_id % 13 = 0 then 'error' else finish_reason end"
@@ -85,7 +85,7 @@ def evaluate_pass_at_1(spark, d):
     k = (F.col("s_suppkey") % 7).cast("int")
     rows = table(spark, d, "supplier").select("s_suppkey", F.get(forms, k).alias("text"), F.lit("").alias("reference"), F.lit("def check(candidate):\n    assert candidate(3) == 6\n").alias("test"), F.when(k != 5, "f").alias("entry_point"))
     parser = lambda c: F.when(c.isNotNull(), evaluate.PARSERS["code"](c))
-    out = evaluate.evaluate(spread(rows), "pass_at_k", parser)
+    out = evaluate.evaluate(dealt(rows), "pass_at_k", parser)
     fault = F.when(F.col("error").startswith("no "), F.col("error"))
     return out.select("s_suppkey", "passed", "score", F.coalesce(F.col("error").startswith("Blocked"), F.lit(False)).alias("blocked"), fault.alias("fault"))
 

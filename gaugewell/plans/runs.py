@@ -12,7 +12,7 @@ from ..operators.evaluate import evaluate
 from ..operators.isolation import RowMetric, RowParser
 from ..sources import runlog
 from ..sources.derived import MODEL_OUTPUTS_SQL as OUT
-from ..sources.derived import model_outputs, spread, table
+from ..sources.derived import dealt, model_outputs, table
 from . import config
 from .catalog import _BLOCKS, _CLEAN, _T, JSON, SCORED, _q, _strip, _valid, query
 
@@ -92,7 +92,7 @@ _ended = " ".join(f"when {i} then {_q(e)}" for i, (_, e) in enumerate(ESCAPES) i
 def sandbox_escapes(spark, d):
     """Programs that reach for files, processes, sockets or foreign code by other names end with an error inside their run; what they may do runs."""
     rows = table(spark, d, "supplier").select("s_suppkey", F.get(F.array(*[F.lit(c) for c, _ in ESCAPES]), (F.col("s_suppkey") % len(ESCAPES)).cast("int")).alias("code"))
-    ran = execution.sandbox(spread(rows), "code")
+    ran = execution.sandbox(dealt(rows), "code")
     last = F.regexp_extract(F.coalesce("error", F.lit("")), r"(?s).*\n(\w+Error)\b", 1)
     return ran.select("s_suppkey", "success", F.when(last != "", last).alias("error"))
 

@@ -81,6 +81,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt out row by row, at least two tasks a core, for rows that cost milliseconds each.
+
+    The number of partitions doesn't tell where rows are: of the splits of a file with one row group a single one holds them all.
+    """
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spread(table(spark, sf_dir, "events"))
     inner = events.select("event_id", *[F.expr(sql).alias(name) for name, sql in MODEL_OUTPUTS.items()])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugewell.functions import robust, schemas
 from gaugewell.operators import evaluate, execution, manytasks
 from gaugewell.operators.isolation import RowMetric, RowParser
-from gaugewell.plans import config
+from gaugewell.plans import config, evaluation, runs
 from gaugewell.plans.runs import ESCAPES
 from gaugewell.sources import checkpoints, runlog
 
@@ -250,6 +250,63 @@ def test_programs_share_an_interpreter_and_nothing_else():
     assert server.poll() is not None
 
 
+def faults(box):
+    """Pages that the programs of a sandbox have touched."""
+    return int(open(f"/proc/{box.server.pid}/stat").read().rsplit(")", 1)[1].split()[8])
+
+
+@pytest.mark.parametrize("end,ok", [("", True), ("import math\nmath.x = f", True), ("assert f(1) == 2", False), ("raise SystemExit(3)", False)])
+def test_a_program_ends_without_taking_the_interpreter_apart(end, ok):
+    with execution.Sandbox() as box:
+        box.run("", 5.0, 512)
+        before = faults(box)
+        assert [box.run(f"def f(x):\n    return x\n{end}", 5.0, 512)[0] for _ in range(20)] == [ok] * 20
+        # a function that a module of the library holds might still act, so the interpreter is taken apart
+        assert ((faults(box) - before) / 20 < 1000) == ("math" not in end)
+
+
+SAYS = "class A:\n    def __del__(self):\n        print('gone')\na = A()\n"
+ENDS = [
+    (SAYS, True, "gone\n", 0),
+    (SAYS + "a.a = a", True, "gone\n", 0),
+    (SAYS + "a.a = a\n1 / 0", False, "gone\n", 1),
+    (SAYS + "import math\nmath.a = a\ndel a\nraise SystemExit(4)", False, "gone\n", 4),
+    ("import math\ndef g():\n    try:\n        yield\n    finally:\n        print('closed')\nmath.g = g()\nnext(math.g)", True, "closed\n", 0),
+    ("import atexit, weakref\nclass A: pass\na = A()\nweakref.finalize(a, print, 'fin')\natexit.register(print, 'late')\nprint('no end', end=' ')\n1 / 0", False, "no end late\nfin\n", 1),
+    ("import atexit\natexit._run_exitfuncs()\nprint('still here')", True, "still here\n", 0),
+    ("import inspect, io\nprint('first')\ninspect.sys.stdout = io.StringIO()\nprint('lost')", True, "first\n", 0),
+    ("import inspect\ndef hook(*a): raise SystemExit(9)\ninspect.sys.excepthook = hook\n1 / 0", False, "", 9),
+    ("raise SystemExit('no')", False, "", 1),
+    ("raise SystemExit(256)", True, "", 0),
+    ("raise SystemExit", True, "", 0),
+    ("raise KeyboardInterrupt", False, "", -2),
+]
+
+
+def test_ends_of_programs_are_as_ever():
+    with execution.Sandbox() as box:
+        for code, ok, said, status in ENDS:
+            got = box.run(code, 5.0, 512)
+            assert (got[0], got[1], got[3]) == (ok, said, status), code
+
+
+def test_programs_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """Of the splits of a file with one row group one holds all rows, so their number says nothing of how the programs are spread."""
+    pd.DataFrame({"s_suppkey": range(800), "s_name": [f"{k:>60}" for k in range(800)]}).to_parquet(tmp_path / "supplier.parquet")
+    names = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        for query in (evaluation.evaluate_pass_at_1, runs.sandbox_escapes):
+            out = query(spark, str(tmp_path))
+            counts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(counts) == 800 and max(counts) <= 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_outcomes_in_bounded_pieces(monkeypatch):
     monkeypatch.setattr(execution, "PIECE_ROWS", 3), monkeypatch.setattr(execution, "PIECE_CHARS", 100)
     codes = ["print('x' * 99)", "print(1)", None, "print(3)", "import os", "print(5)", "print(6)"]
